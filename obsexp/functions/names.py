@@ -9,6 +9,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters that have no accent decomposition, written out as the match key spells them.
 BASE_LETTERS = {"ı": "i", "ø": "o", "đ": "d", "ł": "l", "ß": "ss"}
@@ -52,7 +53,7 @@ def _accent_table() -> tuple[str, str]:
     return "".join(source + marks), "".join(target)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_any_script(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         folded = texts.str.normalize("NFKD")

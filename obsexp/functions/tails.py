@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_two_sided(z: float) -> float:
@@ -86,27 +87,27 @@ def _safe(fn):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value."""
     return pd.Series([_safe(normal_two_sided)(v) for v in z.astype(float)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided Student p-value."""
     return pd.Series([_safe(student_two_sided)(a, b) for a, b in zip(t.astype(float), dof.astype(float))],
                      dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_t95(dof: pd.Series) -> pd.Series:
     """Half-width multiplier of a 95 % t interval."""
     return pd.Series([_safe(lambda d: student_quantile(0.025, d))(v) if v > 0 else None for v in dof.astype(float)],
                      dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper-tail chi-square p-value."""
     return pd.Series([_safe(chi2_upper)(a, b) for a, b in zip(x.astype(float), dof.astype(float))], dtype="float64")

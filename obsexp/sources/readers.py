@@ -20,10 +20,13 @@ def read_events_csv(spark: SparkSession, path: str, schema: T.StructType | str)
 
 
 def read_table(spark: SparkSession, path: str, produced_by: str = "", schema: T.StructType | None = None) -> DataFrame:
-    """Parquet table; if it is not there, the error names the step that writes it."""
+    """Parquet table of this library (missing values are NULL already, so filters reach the files).
+
+    If it is not there, the error names the step that writes it.
+    """
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return nan_to_null(reader.parquet(path))
+        return reader.parquet(path)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
