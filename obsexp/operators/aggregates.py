@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .ordered import exact_quantiles, value_ranks, with_ranks
+from ..session import materialise
+from .ordered import exact_quantiles, quantiles_of, value_ranks, with_ranks
 
 
 def _drop_null_keys(df: DataFrame, keys: Sequence[str], keep: bool) -> DataFrame:
@@ -104,7 +105,7 @@ def context_exposure(
 def calibration(df: DataFrame, predicted: str, outcome: str, q: int = 10) -> DataFrame:
     """Mean prediction and mean outcome by quantile bin; edges interpolate, bins close on the right, equal edges merge."""
     by_value = value_ranks(df, predicted, {"_successes": F.col(outcome)})
-    edges = exact_quantiles(df, predicted, [i / q for i in range(1, q)]).scalar()
+    edges = quantiles_of(by_value, predicted, [i / q for i in range(1, q)]).scalar()
     inner = F.array_distinct(F.col("_edges"))
     tagged = by_value.withColumn("_edges", edges).withColumn(
         "bin", F.size(F.filter(inner, lambda e: e < F.col(predicted))))
@@ -167,9 +168,10 @@ def profile(
 
 def board_summary(entities: DataFrame) -> DataFrame:
     """One row describing a scored board: size, separable entities, events, interval width, reliability."""
+    entities = materialise(entities, "board")
     half = (F.col("total_hi") - F.col("total_lo")) / 2
-    events_median = exact_quantiles(entities, "n", [0.5]).scalar()
-    weight_median = exact_quantiles(entities, "reliability", [0.5]).scalar()
+    events_median = exact_quantiles(entities, "n", [0.5], store=False).scalar()
+    weight_median = exact_quantiles(entities, "reliability", [0.5], store=False).scalar()
     return entities.agg(
         F.count(F.lit(1)).alias("n_entities"),
         F.count_if("separable").alias("n_separable"),

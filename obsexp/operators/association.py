@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_p, normal_p, student_p, student_t95, student_two_sided
+from ..session import materialise
 from .ordered import value_ranks, with_ranks
 
 Pairs = Sequence[tuple[str, str]]
@@ -32,12 +33,16 @@ def pearson(df: DataFrame, pairs: Pairs, by: Sequence[str] = (), p_value: bool =
     return out.withColumn("p", student_p(F.col("r") * F.sqrt(F.try_divide(dof, 1 - F.col("r") * F.col("r"))), dof))
 
 
-def spearman(df: DataFrame, pairs: Pairs, by: Sequence[str] = (), p_value: bool = True) -> DataFrame:
+def spearman(
+    df: DataFrame, pairs: Pairs, by: Sequence[str] = (), p_value: bool = True, store: bool = True,
+) -> DataFrame:
     """Rank correlation of each pair (ties share their average rank), over the rows that hold both."""
+    if store:
+        df = materialise(df.select(*dict.fromkeys([*by, *[c for pair in pairs for c in pair]])), "spearman")
     out = None
     for a, b in pairs:
         both = df.dropna(subset=[a, b]).select(*by, a, b)
-        ranked = with_ranks(both, {"_ra": (a, "average", False), "_rb": (b, "average", False)}, by=by)
+        ranked = with_ranks(both, {"_ra": (a, "average", False), "_rb": (b, "average", False)}, by, False)
         one = pearson(ranked, [("_ra", "_rb")], by, p_value).withColumns({"a": F.lit(a), "b": F.lit(b)})
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("r", "rho")
@@ -135,6 +140,7 @@ def residualise(
     df: DataFrame, y: str, xs: Sequence[str], n: str = "n", total: str | None = None,
 ) -> DataFrame:
     """Remove the linear effect of the covariates from ``y``, keep its mean, and rank totals before and after."""
+    df = materialise(df, "entities")
     fit = ols(df, y, xs)
     coefficients = fit.agg(F.map_from_entries(F.collect_list(F.struct("term", "beta"))).alias("b")).scalar()
     means = df.dropna(subset=[y, *xs]).agg(F.avg(y)).scalar()
@@ -145,17 +151,19 @@ def residualise(
     out = out.withColumn("adjusted", F.col(y) - fitted + F.col("_mean")).drop("_b", "_mean")
     out = out.withColumn("total_before", F.col(total) if total else F.col(y) * F.col(n))
     out = out.withColumn("total_after", F.col("adjusted") * F.col(n))
-    ranked = with_ranks(out, {"rank_before": ("total_before", "min", True), "rank_after": ("total_after", "min", True)})
+    ranked = with_ranks(out, {"rank_before": ("total_before", "min", True), "rank_after": ("total_after", "min", True)},
+                        store=False)
     return ranked.withColumn("shift", F.col("rank_before") - F.col("rank_after"))
 
 
 def shift_summary(adjusted: DataFrame, top: int = 20) -> DataFrame:
     """One row: how far an adjustment moves the board overall and among its first places."""
+    adjusted = materialise(adjusted, "adjusted")
     first = F.when(F.col("rank_before") <= top, F.abs("shift"))
     moved = adjusted.agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs("shift")).alias("mean_abs_shift"),
         F.avg(first).alias("top_mean_abs_shift"), F.max(first).alias("top_max_abs_shift"))
-    rho = spearman(adjusted, [("total_before", "total_after")], p_value=False).select("rho").scalar()
+    rho = spearman(adjusted, [("total_before", "total_after")], p_value=False, store=False).select("rho").scalar()
     return moved.withColumn("spearman", rho)
 
 

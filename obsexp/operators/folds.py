@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import bucket_of, fast_uniform, md5_hex, md5_uniform
+from ..session import materialise
 from .joins import small
 from .ordered import global_position
 
@@ -28,7 +29,7 @@ def group_folds(
     if method != "balanced" or outcome is None:
         raise ValueError("method must be 'hash', or 'balanced' with an outcome column")
     groups = df.groupBy(group).agg(F.avg(outcome).alias("_rate")).withColumn("_tie", md5_hex(group, F.lit(seed)))
-    placed = global_position(groups, "_rate", "_tie", "_pos")
+    placed = global_position(materialise(groups, "groups"), "_rate", "_tie", "_pos")
     turn, seat = F.floor((F.col("_pos") - 1) / k), (F.col("_pos") - 1) % k
     dealt = placed.select(F.col(group).alias("_g"),
                           F.when(turn % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias(out))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalise_key
+from ..session import materialise
 from .ordered import Scan, running
 
 BROADCAST_ROWS = 100_000
@@ -120,7 +121,7 @@ def best_pair(
     No pairs are formed. Rates are cut into blocks one tolerance wide; the entities within reach of a rate are then
     its own block, the end of the block below and the start of the block above, each a running minimum.
     """
-    chosen = df.where(eligible).dropna(subset=[rate, score])
+    chosen = materialise(df.where(eligible).select(entity, rate, score).dropna(subset=[rate, score]), "eligible")
     item = F.struct(F.col(score).alias("score"), F.col(entity).alias("entity"), F.col(rate).alias("rate"))
     mirrored = F.struct((-F.col(score)).alias("neg"), F.col(entity).alias("entity"), F.col(rate).alias("rate"))
     points = chosen.groupBy(F.col(rate).alias("at")).agg(F.min(item).alias("low"), F.min(mirrored).alias("high"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
+
 BUCKET_BITS = 8
 
 
@@ -134,12 +136,13 @@ def value_bucket(df: DataFrame, value: str, out: str, bits: int = BUCKET_BITS) -
 
 
 def value_ranks(
-    df: DataFrame, value: str, weight: Mapping[str, Column] | None = None, by: Sequence[str] = (),
+    df: DataFrame, value: str, weight: Mapping[str, Column] | None = None, by: Sequence[str] = (), store: bool = True,
 ) -> DataFrame:
     """One row per distinct value: ``n_equal``, ``n_below`` and ``n_total``, for ranks, quantiles and AUC.
 
     Rows are counted by value before anything is ordered, so a value held by a third of the table is one row.
-    ``weight`` adds further sums per distinct value; ``by`` ranks inside each label of a few (periods, floors).
+    ``weight`` adds further sums per distinct value; ``by`` ranks inside each label of a few (periods, floors). The
+    counts are read several times, so they are stored first; ``store=False`` is for a table that is stored already.
     """
     weight, by = weight or {}, list(by)
     counts = (
@@ -147,13 +150,14 @@ def value_ranks(
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n_equal"), *[F.sum(e).alias(n) for n, e in weight.items()])
     )
-    bucketed = value_bucket(counts, value, "_bucket")
-    ranked = running(bucketed, by, "_bucket", [value], {"n_below": Scan("sum", F.col("n_equal"), inclusive=False)})
-    ranked = ranked.withColumn("n_below", F.col("n_below").cast("long")).drop("_bucket")
-    if not by:
-        return ranked.withColumn("n_total", counts.agg(F.sum("n_equal")).scalar())
-    totals = counts.groupBy(*[F.col(b).alias(f"_t_{b}") for b in by]).agg(F.sum("n_equal").alias("n_total"))
-    return ranked.join(totals, [F.col(b).eqNullSafe(F.col(f"_t_{b}")) for b in by]).drop(*[f"_t_{b}" for b in by])
+    counts = materialise(counts, "value-counts") if store else counts
+    ranked = running(value_bucket(counts, value, "_bucket"), by, "_bucket", [value], {
+        "n_below": Scan("sum", F.col("n_equal"), inclusive=False),
+        "_n_above": Scan("sum", F.col("n_equal"), reverse=True, inclusive=False),
+    })
+    total = F.col("n_below") + F.col("n_equal") + F.col("_n_above")
+    return ranked.withColumns({"n_below": F.col("n_below").cast("long"), "n_total": total.cast("long")}).drop(
+        "_bucket", "_n_above")
 
 
 def _rank_expr(method: str, descending: bool) -> Column:
@@ -168,15 +172,20 @@ def _rank_expr(method: str, descending: bool) -> Column:
     raise ValueError(f"unknown rank method {method!r}")
 
 
-def with_ranks(df: DataFrame, ranks: Mapping[str, tuple[str, str, bool]], by: Sequence[str] = ()) -> DataFrame:
-    """Add ranks: ``{out: (column, 'min' | 'average' | 'percent', descending)}``. A missing value has no rank."""
-    out = df
+def with_ranks(
+    df: DataFrame, ranks: Mapping[str, tuple[str, str, bool]], by: Sequence[str] = (), store: bool = True,
+) -> DataFrame:
+    """Add ranks: ``{out: (column, 'min' | 'average' | 'percent', descending)}``. A missing value has no rank.
+
+    The table is stored first, since every rank reads it again; ``store=False`` is for one that is stored already.
+    """
+    out = df = materialise(df, "ranked") if store else df
     by_value: dict[str, dict[str, tuple[str, bool]]] = {}
     for name, (value, method, descending) in ranks.items():
         by_value.setdefault(value, {})[name] = (method, descending)
     for value, wanted in by_value.items():
         keys = [*by, value]
-        table = value_ranks(df, value, by=by).select(
+        table = value_ranks(df, value, by=by, store=False).select(
             *[F.col(k).alias(f"_r_{k}") for k in keys], *[_rank_expr(m, d).alias(n) for n, (m, d) in wanted.items()]
         )
         on = [F.col(b).eqNullSafe(F.col(f"_r_{b}")) for b in by] + [F.col(value) == F.col(f"_r_{value}")]
@@ -187,13 +196,14 @@ def with_ranks(df: DataFrame, ranks: Mapping[str, tuple[str, str, bool]], by: Se
 def global_position(df: DataFrame, value: str, tie_hex: str, out: str = "position") -> DataFrame:
     """1-based position in the order (value, tie text), where the tie text is a hex digest.
 
-    Rows sharing a value are spread over 256 tasks by the first two digits of the digest.
+    Rows sharing a value are spread over 256 tasks by the first two digits of the digest. ``df`` is read several times
+    and should be stored.
     """
     tagged = df.withColumn("_prefix", F.substring(tie_hex, 1, 2))
     counts = tagged.groupBy(value, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy(value).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_in_value", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    starts = value_ranks(tagged, value).select(F.col(value).alias("_v"), "n_below")
+    starts = value_ranks(tagged, value, store=False).select(F.col(value).alias("_v"), "n_below")
     offsets = offsets.join(starts, F.col(value) == F.col("_v")).select(
         "_v", F.col("_prefix").alias("_p"), (F.col("n_below") + F.col("_in_value")).alias("_offset")
     )
@@ -203,9 +213,15 @@ def global_position(df: DataFrame, value: str, tie_hex: str, out: str = "positio
     return joined.select(*df.columns, (F.col("_offset") + F.col("_local")).cast("long").alias(out))
 
 
-def exact_quantiles(df: DataFrame, value: str, levels: Sequence[float], out: str = "quantiles") -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, levels: Sequence[float], out: str = "quantiles", store: bool = True,
+) -> DataFrame:
     """One row holding the linearly interpolated quantiles of a column, exact at any size."""
-    ranks = value_ranks(df, value)
+    return quantiles_of(value_ranks(df, value, store=store), value, levels, out)
+
+
+def quantiles_of(ranks: DataFrame, value: str, levels: Sequence[float], out: str = "quantiles") -> DataFrame:
+    """The same from a table of ranked distinct values."""
     reach = F.col("n_below") + F.col("n_equal")
     picks = []
     for i, level in enumerate(levels):

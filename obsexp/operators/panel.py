@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .association import pearson, spearman
 
 
@@ -25,10 +26,11 @@ def panel_correlations(
     p_value: bool = True,
 ) -> DataFrame:
     """Period-to-period correlation of each metric: n, Pearson r (and p), Spearman rho."""
+    joined = materialise(joined, "panel")
     pairs = [(m + suffixes[0], m + suffixes[1]) for m in metrics]
     names = F.create_map(*[F.lit(x) for m, (a, _) in zip(metrics, pairs) for x in (a, m)])
     r = pearson(joined, pairs, by, p_value).withColumn("metric", names[F.col("a")]).drop("a", "b")
-    rho = spearman(joined, pairs, by, p_value=False).select(*by, names[F.col("a")].alias("metric"), "rho")
+    rho = spearman(joined, pairs, by, p_value=False, store=False).select(*by, names[F.col("a")].alias("metric"), "rho")
     return r.join(rho, [*by, "metric"], "left")
 
 

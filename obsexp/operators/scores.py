@@ -7,17 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import Scan, running, value_bucket
 
 LOG_LOSS_EPS = 2.220446049250313e-16
 
 
 def auc(df: DataFrame, outcome: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve: for each success, the failures predicted lower plus half of those predicted equal."""
+    """Area under the ROC curve: for each success, the failures predicted lower plus half of those predicted equal.
+
+    Events are first counted by distinct prediction; the counts are stored, then ordered.
+    """
     by = list(by)
     counts = df.where(F.col(predicted).isNotNull()).groupBy(*by, predicted).agg(
         F.sum(outcome).cast("double").alias("_pos"), F.count(F.lit(1)).alias("_n")
     ).withColumn("_neg", F.col("_n") - F.col("_pos"))
+    counts = materialise(counts, "score-counts")
     ordered = running(value_bucket(counts, predicted, "_bucket"), by, "_bucket", [predicted],
                       {"_neg_below": Scan("sum", F.col("_neg"), inclusive=False)})
     won = F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2))

@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import parity
 
 
-def dersimonian_laird(entities: DataFrame, x: str = "oe_rate", se: str = "oe_se") -> DataFrame:
-    """One row (k, mu, tau2): inverse-variance moments of a random-effects model."""
+def dersimonian_laird(entities: DataFrame, x: str = "oe_rate", se: str = "oe_se", store: bool = True) -> DataFrame:
+    """One row (k, mu, tau2): inverse-variance moments of a random-effects model.
+
+    The entity table is read three times, so it is stored first unless it is stored already.
+    """
+    entities = materialise(entities, "entities") if store else entities
     w = 1 / (F.col(se) * F.col(se))
     fixed = entities.agg((F.sum(w * F.col(x)) / F.sum(w)).alias("m")).scalar()
     centred = entities.withColumn("_m", fixed)
@@ -26,9 +31,10 @@ def dersimonian_laird(entities: DataFrame, x: str = "oe_rate", se: str = "oe_se"
     return moments.select("k", mu.alias("mu"), "tau2")
 
 
-def shrink(entities: DataFrame, x: str = "oe_rate", se: str = "oe_se", n: str = "n") -> DataFrame:
+def shrink(entities: DataFrame, x: str = "oe_rate", se: str = "oe_se", n: str = "n", store: bool = True) -> DataFrame:
     """Pull each rate towards the overall mean by how little of it is repeatable; add the shrunk total."""
-    moments = dersimonian_laird(entities, x, se).select(F.struct("mu", "tau2").alias("m")).scalar()
+    entities = materialise(entities, "entities") if store else entities
+    moments = dersimonian_laird(entities, x, se, store=False).select(F.struct("mu", "tau2").alias("m")).scalar()
     weight = F.col("_m.tau2") / (F.col("_m.tau2") + F.col(se) * F.col(se))
     return (
         entities.withColumn("_m", moments)
@@ -65,7 +71,7 @@ def split_half(
     days = known.groupBy(*keys, F.unix_date(F.to_date(date)).alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
     middle = days.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys]).agg(
-        F.percentile("_day", 0.5, "_n").alias("_mid"))
+        F.percentile("_day", 0.5, F.col("_n")).alias("_mid"))
     halved = days.join(middle, [F.col(k) == F.col(f"_m_{k}") for k in keys]).withColumn(
         "_half", (F.col("_day") > F.col("_mid")).cast("int"))
     return _by_entity(halved, keys, "_v", "_half", floor)
