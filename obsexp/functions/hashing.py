@@ -47,10 +47,14 @@ def poisson1_thresholds(terms: int = 12) -> list[float]:
     return out
 
 
-def poisson1(u: Column) -> Column:
-    """Poisson(1) count by inversion of a uniform draw."""
-    thresholds = poisson1_thresholds()
-    count = F.when(u < thresholds[0], 0)
-    for j, t in enumerate(thresholds[1:], start=1):
-        count = count.when(u < t, j)
-    return count.otherwise(len(thresholds))
+def poisson1_hex(word: Column) -> Column:
+    """Poisson(1) count from an 8-digit hexadecimal word, by inversion.
+
+    Digits of equal length compare like the numbers they spell, so no word is converted: a uniform draw word / 2^32 lies
+    below t exactly when the word lies below the next whole number from t * 2^32 on.
+    """
+    limits = [f"{math.ceil(t * _RANGE):08x}" for t in poisson1_thresholds() if math.ceil(t * _RANGE) < _RANGE]
+    count = F.when(word < limits[0], 0)
+    for j, limit in enumerate(limits[1:], start=1):
+        count = count.when(word < limit, j)
+    return count.otherwise(len(limits))

@@ -159,39 +159,51 @@ _CHAIN = ["game_id", "period", "actor_id", "chain"]
 
 
 def _claim_chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Settles events in order; each takes a candidate no earlier event of its chain has claimed."""
+    """Settles events in order; each takes a candidate no earlier event of its chain has claimed.
+
+    Rows arrive sorted by chain, event and position. The last event of a batch waits for the next batch, which may
+    hold more of its candidates.
+    """
     names = ["game_id", "event_id", "pos", "release_confidence"]
     chain, claims, rest = None, [], None
 
-    def settle(event: pd.DataFrame):
+    def settle(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         nonlocal chain, claims
-        key = tuple(event[_CHAIN].iloc[0])
-        if key != chain:
-            chain, claims = key, []
-        pos, clock = event["pos"].to_numpy(), event["clock"].to_numpy()
-        free = np.ones(len(pos), dtype=bool)
-        for taken_pos, taken_clock in claims:
-            free &= ~((np.abs(pos - taken_pos) <= CLAIM_POSITIONS) & (np.abs(clock - taken_clock) <= CLAIM_SECONDS))
-        if not free.any():
-            return None
-        gap, height = event["ball_distance"].to_numpy(), event["ball_z"].to_numpy()
-        held = free & (gap <= HELD_DISTANCE)
-        at = int(np.argmax(np.where(held, height, -np.inf)) if held.any() else np.argmin(np.where(free, gap, np.inf)))
-        claims.append((pos[at], clock[at]))
-        return key[0], int(event["event_id"].iloc[0]), int(pos[at]), "high" if held.any() else "low"
+        keys = list(zip(*[pdf[c].to_numpy()[starts] for c in _CHAIN]))
+        events, pos, clock = pdf["event_id"].to_numpy(), pdf["pos"].to_numpy(), pdf["clock"].to_numpy()
+        gap, height, out = pdf["ball_distance"].to_numpy(), pdf["ball_z"].to_numpy(), []
+        for key, a, b in zip(keys, starts, ends):
+            if key != chain:
+                chain, claims = key, []
+            free = np.ones(b - a, dtype=bool)
+            for taken_pos, taken_clock in claims:
+                free &= ~((np.abs(pos[a:b] - taken_pos) <= CLAIM_POSITIONS) &
+                          (np.abs(clock[a:b] - taken_clock) <= CLAIM_SECONDS))
+            if not free.any():
+                continue
+            held = free & (gap[a:b] <= HELD_DISTANCE)
+            sure = held.any()
+            at = a + int(np.argmax(np.where(held, height[a:b], -np.inf)) if sure
+                         else np.argmin(np.where(free, gap[a:b], np.inf)))
+            claims.append((pos[at], clock[at]))
+            out.append((key[0], int(events[a]), int(pos[at]), "high" if sure else "low"))
+        return pd.DataFrame(out, columns=names)
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        unit = pdf[[*_CHAIN, "event_id"]]
-        cuts = np.flatnonzero((unit != unit.shift()).any(axis=1).to_numpy())
-        settled = [settle(pdf.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        changed = np.zeros(len(pdf), dtype=bool)
+        changed[0] = True
+        for column in (*_CHAIN, "event_id"):
+            values = pdf[column].to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(changed)
+        yield settle(pdf, cuts[:-1], cuts[1:])
         rest = pdf.iloc[cuts[-1]:]
-        yield pd.DataFrame([s for s in settled if s], columns=names)
-    if rest is not None and not rest.empty:
-        last = settle(rest)
-        yield pd.DataFrame([last] if last else [], columns=names)
+    if rest is not None and len(rest):
+        rest = rest.reset_index(drop=True)
+        yield settle(rest, np.array([0]), np.array([len(rest)]))
 
 
 def claim_frames(events: DataFrame, contacts: DataFrame, window: float = RELEASE_WINDOW_S) -> DataFrame:

@@ -20,13 +20,13 @@ SEED = 42
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
-    """The most frequent value of each column (the smallest on ties); every column is reduced by one aggregate."""
-    found = {}
-    for col in cols:
-        row = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("v"))
-               .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").first())
-        found[col] = row.v if row else "missing"
-    return found
+    """The most frequent value of each column (the smallest on ties): one row per column, from one aggregate."""
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    counts = df.select(pairs.alias("x")).where("x.v is not null").groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    modes = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
+    return {**dict.fromkeys(cols, "missing"), **{row.c: row.v for row in modes.collect()}}
 
 
 class FeaturePipeline:
@@ -104,9 +104,10 @@ def cross_fit(
 ) -> DataFrame:
     """Score every row with a model fitted on the other folds.
 
-    The features are written to the shared folder once, so the k fits read them instead of recomputing them.
+    The features are written to the shared folder once, one directory per fold: the k fits read them instead of
+    recomputing them, and a fit skips the files of the fold it leaves out.
     """
-    stored = materialise(df, "cross-fit")
+    stored = materialise(df, "cross-fit", [fold])
     scored = None
     for i in range(k):
         model = fit(stored.where(F.col(fold) != i))

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import hex_word, md5_hex, poisson1, poisson1_thresholds
+from ..functions.hashing import md5_hex, poisson1_hex, poisson1_thresholds
 
-_RANGE = 2.0**32
 ROWS_PER_CHUNK = 100_000
 _SLAB = 4_000_000
 
@@ -30,29 +29,40 @@ def _finish(point: DataFrame, spread: DataFrame, keys: Sequence[str]) -> DataFra
         "separable", (F.col("total_lo") > 0) | (F.col("total_hi") < 0))
 
 
+def _arranged(df: DataFrame, point: DataFrame, keys: list[str], value: str, row: Column, rows_per_chunk: int) -> DataFrame:
+    """Slim rows of the qualifying entities, hashed by (entity, chunk): ``_x``, ``_row``, ``_n`` and ``_chunk``.
+
+    An entity has as many chunks as its size needs, so the largest is spread like the rest.
+    """
+    sizes = point.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("n").alias("_n"))
+    slim = df.dropna(subset=keys).select(*keys, F.col(value).cast("double").alias("_x"), row.alias("_row"))
+    chunk = F.pmod(F.xxhash64("_row"), F.ceil(F.col("_n") / F.lit(rows_per_chunk)))
+    rows = slim.join(sizes, [F.col(k) == F.col(f"_p_{k}") for k in keys])
+    return rows.select(*keys, "_x", "_row", "_n", chunk.alias("_chunk")).repartition(*keys, "_chunk")
+
+
 def hash_bootstrap(
     df: DataFrame, keys: Sequence[str], value: str, row_id: Sequence[Column | str], replicates: int = 20,
-    seed: int = 42, floor: int = 150,
+    seed: int = 42, floor: int = 150, rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Poisson bootstrap with weights from md5 of (row, replicate), reproducible in any SQL engine.
 
-    Every digest serves four replicates. Replicate sums combine on the map side, keyed by entity and replicate, so an
-    entity's rows are never gathered.
+    Every digest serves four replicates, whose sums are columns of one aggregate per entity, chunk and digest; only
+    those sums are combined across chunks.
     """
     keys = list(keys)
     point = _point(df, keys, value, floor)
-    quarter = F.explode(F.sequence(F.lit(0), F.lit((replicates + 3) // 4 - 1))).alias("_q")
-    row = md5_hex(*row_id).alias("_row")
-    drawn = df.dropna(subset=keys).select(*keys, F.col(value).alias("_x"), row, quarter).withColumn(
-        "_hex", md5_hex("_row", "_q", F.lit(seed)))
-    words = F.explode(F.array(*[F.struct((F.col("_q") * 4 + w).alias("rep"),
-                                         poisson1(hex_word(F.col("_hex"), w) / F.lit(_RANGE)).alias("w"))
-                                for w in range(4)])).alias("_d")
-    sums = drawn.select(*keys, "_x", words).where(F.col("_d.rep") < replicates).groupBy(*keys, "_d.rep").agg(
-        F.sum(F.col("_d.w") * F.col("_x")).alias("wx"), F.sum("_d.w").alias("w"))
-    sizes = point.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("n").alias("_n"))
-    rates = sums.join(sizes, [F.col(k) == F.col(f"_p_{k}") for k in keys]).withColumn(
-        "rate", F.try_divide(F.col("wx").cast("double"), F.col("w")))
+    rows = _arranged(df, point, keys, value, md5_hex(*row_id), rows_per_chunk)
+    digests = F.explode(F.sequence(F.lit(0), F.lit((replicates + 3) // 4 - 1))).alias("_q")
+    drawn = rows.select(*keys, "_chunk", "_n", "_x", "_row", digests).withColumn("_hex", md5_hex("_row", "_q", F.lit(seed)))
+    sums, unpacked = [], []
+    for i in range(4):
+        weight = poisson1_hex(F.substring("_hex", 1 + 8 * i, 8))
+        sums += [F.sum(weight * F.col("_x")).alias(f"_wx{i}"), F.sum(weight).alias(f"_w{i}")]
+        unpacked.append(F.struct((F.col("_q") * 4 + i).alias("rep"), F.col(f"_wx{i}").alias("wx"), F.col(f"_w{i}").alias("w")))
+    partial = drawn.groupBy(*keys, "_chunk", "_q", "_n").agg(*sums)
+    rates = partial.select(*keys, "_n", F.explode(F.array(*unpacked)).alias("r")).where(F.col("r.rep") < replicates).groupBy(
+        *keys, "_n", "r.rep").agg(F.try_divide(F.sum("r.wx"), F.sum("r.w")).alias("rate"))
     spread = rates.groupBy(*keys).agg(
         F.percentile(F.col("rate") * F.col("_n"), F.array(F.lit(0.025), F.lit(0.975))).alias("_q"),
         F.stddev_samp("rate").alias("oe_se"),
@@ -112,13 +122,8 @@ def bootstrap(
         raise ValueError("method must be 'poisson' or 'multinomial'")
     keys = list(keys)
     point = _point(df, keys, value, floor)
-    sizes = point.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("n").alias("_n"))
-    slim = df.dropna(subset=keys).select(*keys, F.col(value).cast("double").alias("_x"),
-                                         F.xxhash64(F.lit(seed), *row_id).alias("_row"))
-    chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
-    rows = slim.join(sizes, [F.col(k) == F.col(f"_p_{k}") for k in keys]).select(
-        *keys, "_x", "_row", "_n", F.pmod(F.col("_row"), chunks).alias("_chunk"))
-    arranged = rows.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk")
+    rows = _arranged(df, point, keys, value, F.xxhash64(F.lit(seed), *row_id), rows_per_chunk)
+    arranged = rows.sortWithinPartitions(*keys, "_chunk")
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([*key_fields, T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
                            T.StructField("se", T.DoubleType()),

@@ -177,7 +177,7 @@ def stream_dedup(spark, folder):
 
 
 _STREAM_WINDOWS = """
-WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, sum(CAST(value > 50 AS INTEGER))::BIGINT AS actual, (round(sum(0.4), 6) + 0.0) AS expected_total FROM events GROUP BY 1, 2)
+WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, sum(CAST(value > 50 AS INTEGER))::BIGINT AS actual, (round(sum(0.4::DOUBLE), 6) + 0.0) AS expected_total FROM events GROUP BY 1, 2)
 SELECT event_type, CAST(window_start AS DATE) AS day, n, actual, expected_total FROM w WHERE window_start + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)"""
 
 

@@ -354,7 +354,8 @@ def residualise(spark, folder):
 
 @query("shift_summary", _ADJ + f""" SELECT count(*) AS n, {s6('avg(abs(rank_before - rank_after))')} AS mean_abs_shift,
   {s6('avg(abs(rank_before - rank_after)) FILTER (WHERE rank_before <= 20)')} AS top_mean_abs_shift, max(abs(rank_before - rank_after)) FILTER (WHERE rank_before <= 20) AS top_max_abs_shift,
-  {s6('corr(rank_before, rank_after)')} AS spearman FROM rk""")
+  {s6('corr(avg_before, avg_after)')} AS spearman FROM (SELECT *, rank_before + (count(*) OVER (PARTITION BY total_before) - 1) / 2.0 AS avg_before,
+    rank_after + (count(*) OVER (PARTITION BY total_after) - 1) / 2.0 AS avg_after FROM rk)""")
 def shift_summary(spark, folder):
     return st.shift_summary(adjusted(spark, folder)).select(
         "n", r6("mean_abs_shift").alias("mean_abs_shift"), r6("top_mean_abs_shift").alias("top_mean_abs_shift"),
