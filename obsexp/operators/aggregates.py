@@ -140,18 +140,6 @@ def bucket_share(df: DataFrame, bucket: str, outcome: str) -> DataFrame:
     return counts.withColumns({"rate_pct": F.col("made") / F.col("n") * 100, "share_pct": F.col("n") / total * 100})
 
 
-def calibration_gap(df: DataFrame, by: Sequence[str], outcome: str, expected: str) -> DataFrame:
-    """Mean expected, mean actual, their gap and the AUC, per design and period."""
-    from .scores import auc
-
-    means = df.groupBy(*by).agg(F.avg(expected).alias("mean_expected"), F.avg(outcome).alias("mean_actual"))
-    areas = auc(df, outcome, expected, by)
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]
-    areas = areas.select(*[F.col(k).alias(f"_k_{k}") for k in by], "auc")
-    return means.join(areas, on, "left").select(
-        *by, "mean_expected", "mean_actual", (F.col("mean_expected") - F.col("mean_actual")).alias("gap"), "auc")
-
-
 def profile(
     df: DataFrame, distinct: Mapping[str, str], date: str | None = None, shares: Mapping[str, Column] | None = None,
     approximate: bool = False,

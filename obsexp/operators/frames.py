@@ -127,7 +127,11 @@ def nearest_by_rows(
     left: DataFrame, others: DataFrame, keys: Sequence[str], left_xy: tuple[str, str], other_xy: tuple[str, str],
     other_side: Column, left_id: Sequence[str], close: float,
 ) -> DataFrame:
-    """The row form of ``nearest_others``: an equality join on the frame keys, reduced to two distances and a count."""
+    """The row form of ``nearest_others``, for frames stored one entity per row.
+
+    One actor per frame meets the frame's other rows, so the join is as long as ``others``; it is reduced to the closest
+    distance and two counts.
+    """
     other = others.withColumnsRenamed({k: f"_o_{k}" for k in keys})
     on = [F.col(k) == F.col(f"_o_{k}") for k in keys]
     paired = left.join(other, on).where(other_side)

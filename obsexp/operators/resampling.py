@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
 from ..functions.hashing import md5_hex, poisson1_hex, poisson1_thresholds
 
 ROWS_PER_CHUNK = 100_000
@@ -17,9 +18,12 @@ _SLAB = 4_000_000
 
 
 def _point(df: DataFrame, keys: Sequence[str], value: str, floor: int) -> DataFrame:
-    return df.dropna(subset=list(keys)).groupBy(*keys).agg(
+    """Point estimates of the qualifying entities. Stored: the resampling reads their sizes, the result their values, and
+    a stored table's size is known to the planner, which broadcasts it only if it is small."""
+    point = df.dropna(subset=list(keys)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("oe_total"), F.avg(value).alias("oe_rate"),
     ).where(F.col("n") >= floor)
+    return materialise(point, "point-estimates")
 
 
 def _finish(point: DataFrame, spread: DataFrame, keys: Sequence[str]) -> DataFrame:

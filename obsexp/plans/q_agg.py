@@ -183,7 +183,7 @@ SELECT period, {s6('avg(p)')} AS mean_expected, {s6('avg(y)')} AS mean_actual, {
   {s6('(sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))')} AS auc FROM ranked GROUP BY 1"""))
 def calibration_gap(spark, folder):
     tagged = scored(spark, folder).withColumn("period", F.when(F.year("l_shipdate") <= 1998, "early").otherwise("late"))
-    return ag.calibration_gap(tagged, ["period"], "made", "expected").withColumns(
+    return sc.calibration_gap(tagged, ["period"], "made", "expected").withColumns(
         {c: r6(c) for c in ("mean_expected", "mean_actual", "gap", "auc")})
 
 

@@ -56,15 +56,18 @@ def ticks_dedup(spark, folder):
 
 
 @query("knn_at_frame", f"""
-WITH p AS (SELECT vec_id, label, vec_id // 50 AS frame, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings),
-d AS (SELECT a.vec_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.frame = b.frame AND a.label <> b.label)
+WITH p AS (SELECT vec_id, label, vec_id // 11 AS frame, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y FROM embeddings),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY vec_id) AS rn FROM p) WHERE rn = 1),
+d AS (SELECT a.vec_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM a JOIN p b ON a.frame = b.frame AND a.label <> b.label)
 SELECT vec_id, {s6('min(d)')} AS closest_distance, count(*) FILTER (WHERE d <= 6.0) AS n_close, count(*) AS n_others FROM d GROUP BY 1""")
 def knn_at_frame(spark, folder):
+    """Frames of eleven vectors; the first of each is the actor, those of other labels are the other side."""
     at = load(spark, folder, "embeddings").select(
-        "vec_id", "label", F.floor(F.col("vec_id") / 50).alias("frame"),
+        "vec_id", "label", F.floor(F.col("vec_id") / 11).alias("frame"),
         (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
     others = at.select("frame", F.col("label").alias("o_label"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    found = fr.nearest_by_rows(at, others, ["frame"], ("x", "y"), ("ox", "oy"), F.col("label") != F.col("o_label"),
+    actors = od.first_per_key(at, ["frame"], [F.asc("vec_id")])
+    found = fr.nearest_by_rows(actors, others, ["frame"], ("x", "y"), ("ox", "oy"), F.col("label") != F.col("o_label"),
                                ["vec_id"], 6.0)
     return found.withColumn("closest_distance", r6("closest_distance"))
 

@@ -62,7 +62,7 @@ def score_with(spark, folder):
     early = F.year("l_shipdate") <= 1998
     all_lines = lines(spark, folder).withColumn("period", F.when(early, "early").otherwise("late"))
     model = logistic(all_lines.where(early))
-    return ag.calibration_gap(md.score_with(model, all_lines), ["period"], "made", "expected")
+    return sc.calibration_gap(md.score_with(model, all_lines), ["period"], "made", "expected")
 
 
 FEATURES = ("avg_shot_dist", "avg_def_dist", "avg_touch_time", "avg_dribbles", "three_rate")
