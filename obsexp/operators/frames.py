@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import distance
-from .ordered import Scan, first_per_key, neighbours, row_numbers, running
+from .ordered import Scan, first_per_key, neighbours, row_numbers, running, value_bucket
 from .timejoin import band_join
 
 # Frame conventions and release detection.
@@ -50,8 +50,7 @@ def dedup_frames(frames: DataFrame, game: str = "game_id", ts: str = "ts_ms",
 def number_frames(frames: DataFrame, keys: Sequence[str] = ("game_id", "period"), clock: str = "clock",
                   order: Sequence[str] = ("event_idx", "moment_idx"), out: str = "pos") -> DataFrame:
     """Position within the period: clock downwards (a missing clock counts as 0), then arrival order."""
-    elapsed = frames.withColumn("_down", -F.coalesce(F.col(clock), F.lit(0.0))).withColumn(
-        "_chunk", F.floor(F.col("_down") / 10))
+    elapsed = value_bucket(frames.withColumn("_down", -F.coalesce(F.col(clock), F.lit(0.0))), "_down", "_chunk")
     return row_numbers(elapsed, keys, "_chunk", ["_down", *order], out).drop("_down", "_chunk")
 
 

@@ -70,7 +70,8 @@ def running(
     """Running aggregates per key along ``order``, computed chunk by chunk.
 
     ``chunk`` must never decrease along ``order`` within a key, and ``order`` must be unique within a key for a fixed
-    result. All scans share one shuffle of the rows and one table of chunk summaries.
+    result. All scans share one shuffle of the rows and one table of chunk summaries. ``value_bucket`` makes chunks that
+    hold equal shares of the table whatever the density; a day or a clock interval will do where density is bounded.
     """
     keys, names = list(keys), list(outputs)
     scans = [outputs[n] for n in names]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import Scan, running
+from .ordered import Scan, running, value_bucket
 
 
 def band_join(
@@ -52,13 +52,16 @@ def pick_release(
     )
 
 
-def _tagged(left: DataFrame, right: DataFrame, keys, left_time, right_time, left_id, right_id, chunk_width: float):
+def _tagged(left: DataFrame, right: DataFrame, keys, left_time, right_time, left_id, right_id, chunk_width: float | None):
+    """Both sides in one table with a chunk per row: of fixed width, or cut so that chunks hold equal shares of all rows."""
     l = left.select(*keys, F.col(left_time).cast("double").alias("_t"), F.lit(1).alias("_side"),
                     F.col(left_id).alias("_id"))
     r = right.select(*keys, F.col(right_time).cast("double").alias("_t"), F.lit(0).alias("_side"),
                      F.col(right_id).alias("_id"))
-    return l.unionByName(r).where(F.col("_t").isNotNull()).withColumn(
-        "_chunk", F.floor(F.col("_t") / F.lit(float(chunk_width))))
+    both = l.unionByName(r).where(F.col("_t").isNotNull())
+    if chunk_width is None:
+        return value_bucket(both, "_t", "_chunk")
+    return both.withColumn("_chunk", F.floor(F.col("_t") / F.lit(float(chunk_width))))
 
 
 def nearest(
@@ -70,7 +73,7 @@ def nearest(
     Both sides are merged in time order and scanned once each way, so the cost is linear and no pairs are formed. Equal
     gaps go to the earlier right row, then to the smaller id. Result: left id, right id and gap.
     """
-    both = _tagged(left, right, keys, left_time, right_time, left_id, right_id, chunk_width or 100 * tolerance)
+    both = _tagged(left, right, keys, left_time, right_time, left_id, right_id, chunk_width)
     both = both.withColumn("_back", -F.col("_id"))
     hit = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))
     both = running(both.withColumn("_turn", 1 - F.col("_side")), keys, "_chunk", ["_t"], {
@@ -134,7 +137,7 @@ def nearest_unused(
     are matched independently. Result: left_id, right_id, gap for matched rows.
     """
     keys = list(keys)
-    both = _tagged(left, right, keys, left_time, right_time, left_id, right_id, chunk_width or 100 * tolerance)
+    both = _tagged(left, right, keys, left_time, right_time, left_id, right_id, chunk_width)
     order = ["_t", "_side", "_id"]
     both = running(both, keys, "_chunk", order, {"_prev": Scan("last", F.col("_t"), inclusive=False)})
     opens = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > tolerance)

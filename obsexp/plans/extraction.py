@@ -14,10 +14,12 @@ def extract_events(frames: DataFrame, events: DataFrame, store: bool = False) ->
     """Release frame, distances, contact time and bounces for every event that a frame can be found for.
 
     ``frames`` comes from ``read_frames``; ``events`` holds event_num, game_id, period, player_id, player_name, made,
-    is_3pt, reported_distance and clock_s. With ``store`` the ordered frames and the contacts are written once to the
-    shared folder and read by the later steps; leave it off for small inputs.
+    is_3pt, reported_distance and clock_s. With ``store`` the parsed frames, the ordered frames and the contacts are
+    written once to the shared folder, so documents are parsed once; leave it off for small inputs.
     """
-    ordered = fr.number_frames(fr.dedup_frames(fr.split_roles(frames)))
+    parsed = fr.split_roles(frames)
+    parsed = materialise(parsed, "parsed") if store else parsed
+    ordered = fr.number_frames(fr.dedup_frames(parsed))
     ordered = materialise(ordered, "frames") if store else ordered
     contacts = fr.actor_contacts(ordered)
     contacts = materialise(contacts, "contacts") if store else contacts

@@ -265,8 +265,9 @@ def percentile_gap(spark, folder):
 WITH o AS (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 2 AS half FROM events)
 SELECT user_id, half::INTEGER AS half, count(*) AS n, {s6('sum(value)')} AS total FROM o GROUP BY ALL""")
 def sequence_parity(spark, folder):
-    events = load(spark, folder, "events").withColumn("day", F.to_date("ts"))
-    return od.parity(events, ["user_id"], "day", ["ts", "event_id"]).groupBy("user_id", "half").agg(
+    events = load(spark, folder, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    chunked = od.value_bucket(events, "t", "chunk")
+    return od.parity(chunked, ["user_id"], "chunk", ["t", "event_id"]).groupBy("user_id", "half").agg(
         F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
 
 

@@ -20,6 +20,11 @@ def ticks(spark, folder):
                          F.to_date("ts").alias("day"), F.col("value").alias("height"), "event_type")
 
 
+def chunked_ticks(spark, folder):
+    """Ticks with chunks that hold equal shares of the table, so a hot user or a hot day is cut up as well."""
+    return od.value_bucket(ticks(spark, folder), "t", "chunk")
+
+
 @query("touch_run", f"""
 WITH o AS (SELECT *, epoch_us(ts) AS t, value <= {_LIMIT} AS held, row_number() OVER w AS i, lag(value) OVER w AS pv, lead(value) OVER w AS nv, lag(value <= {_LIMIT}) OVER w AS ph, lead(value <= {_LIMIT}) OVER w AS nh
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -29,7 +34,7 @@ r AS (SELECT *, first_value(t) OVER (PARTITION BY user_id, broken, held ORDER BY
   coalesce(sum(low) OVER (PARTITION BY user_id, broken, held ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lows FROM b)
 SELECT event_id, CASE WHEN held THEN i - broken ELSE 0 END::BIGINT AS run_rows, CASE WHEN held THEN t - t0 ELSE 0 END::BIGINT AS run_span, CASE WHEN held THEN lows ELSE 0 END::BIGINT AS run_minima FROM r""")
 def touch_run(spark, folder):
-    runs = fr.contact_runs(ticks(spark, folder), ["user_id"], "day", ["t", "event_id"], F.col("height") <= _LIMIT, "height",
+    runs = fr.contact_runs(chunked_ticks(spark, folder), ["user_id"], "chunk", ["t", "event_id"], F.col("height") <= _LIMIT, "height",
                            "t", bounce_height=40.0)
     return runs.select("event_id", "run_rows", "run_span", "run_minima")
 
@@ -38,7 +43,7 @@ def touch_run(spark, folder):
 WITH o AS (SELECT *, lag(value) OVER w AS pv, lead(value) OVER w AS nv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) AS n, count(*) FILTER (WHERE value < pv AND value <= nv AND value < 40.0) AS minima FROM o GROUP BY 1""")
 def local_minima(spark, folder):
-    flagged = fr.local_minima(ticks(spark, folder), ["user_id"], "day", ["t", "event_id"], "height", 40.0)
+    flagged = fr.local_minima(chunked_ticks(spark, folder), ["user_id"], "chunk", ["t", "event_id"], "height", 40.0)
     return flagged.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_minimum").alias("minima"))
 
 
@@ -165,6 +170,6 @@ def nearest_at_frame(spark, folder):
 WITH o AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
 SELECT user_id, count(gap) AS gaps, max(gap)::BIGINT AS widest FROM o GROUP BY 1""")
 def movement_gaps(spark, folder):
-    seen = od.neighbours(ticks(spark, folder), ["user_id"], "day", ["t", "event_id"], previous={"before": F.col("t")})
+    seen = od.neighbours(chunked_ticks(spark, folder), ["user_id"], "chunk", ["t", "event_id"], previous={"before": F.col("t")})
     gap = F.col("t") - F.col("before")
     return seen.groupBy("user_id").agg(F.count(gap).alias("gaps"), F.max(gap).alias("widest"))

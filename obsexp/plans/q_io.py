@@ -8,7 +8,7 @@ from ..operators import frames as fr
 from ..operators.ordered import top_k
 from ..session import scratch_path
 from ..sources import ledger as lg
-from ..sources.manifest import build_manifest, flat_manifest
+from ..sources.manifest import build_manifest, flat_manifest, test_table
 from ..sources.readers import read_documents, read_events_csv, read_frames, read_periods, read_table
 from ..sources.writers import compact, write_table
 from ..streaming import jobs
@@ -145,6 +145,17 @@ def manifest(spark, folder):
     return build_manifest(spark, _sections(spark, folder)).select("document")
 
 
+@query("test_table", with_scored(q_stat.SHRUNK_SQL + q_stat._HALF_ALT + """
+SELECT 'Error bars' AS test, printf('%d of %d entities separable', count(*) FILTER (WHERE separable), count(*)) AS headline FROM shrunk UNION ALL
+SELECT 'Reliability', printf('r %.3f over %d entities, corrected %.3f', corr(half_a, half_b), count(*), 2 * corr(half_a, half_b) / (1 + corr(half_a, half_b))) FROM halves"""))
+def test_rows(spark, folder):
+    return test_table([
+        ("Error bars", q_stat.board_summary(spark, folder), "%d of %d entities separable", ["n_separable", "n_entities"]),
+        ("Reliability", q_stat.half_correlation(spark, folder), "r %.3f over %d entities, corrected %.3f",
+         ["half_r", "n", "corrected"]),
+    ])
+
+
 def _streamed(spark, folder, table):
     stream = jobs.read_stream(spark, folder, load(spark, folder, table).schema, pattern=f"{table}.parquet")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))

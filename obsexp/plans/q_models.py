@@ -28,8 +28,8 @@ def boosted(train):
     return md.fit_boosted(train, "made", NUMERIC, CATEGORICAL, max_iter=ROUNDS, step_size=0.1)
 
 
-@query("feature_pipeline")
-def feature_pipeline(spark, folder):
+@query("model_features")
+def model_features(spark, folder):
     """Feature vectors of the training rows, summarised per category."""
     train = lines(spark, folder)
     features = md.FeaturePipeline(NUMERIC, CATEGORICAL, scale=True)

@@ -1,8 +1,8 @@
-"""The result manifest: one nested document, and one flat row per test."""
+"""The result manifest: one nested document, one flat row per number, and one row per test."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,3 +25,12 @@ def flat_manifest(sections: Mapping[str, DataFrame]) -> DataFrame:
         rows = table.select(F.lit(name).alias("section"), F.explode(pairs).alias("x")).select("section", "x.*")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def test_table(tests: Sequence[tuple[str, DataFrame, str, Sequence[str]]]) -> DataFrame:
+    """One row per test: its name and its headline, written from columns of a one-row table by a format pattern."""
+    out = None
+    for name, table, pattern, columns in tests:
+        row = table.select(F.lit(name).alias("test"), F.format_string(pattern, *columns).alias("headline"))
+        out = row if out is None else out.unionByName(row)
+    return out
