@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secrets
+from . import mixing, pieces, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,35 @@ def query(name: str, sql: str | None = None):
 @query("op4_secret_scans")
 def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
+
+
+MIX_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    md5('11|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS m FROM documents),
+t AS (SELECT *, ('0x' || substr(m, 1, 8))::BIGINT * 1048576 + ('0x' || substr(m, 9, 5))::BIGINT AS draw FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source),
+w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+o AS (SELECT *, sum(cap) OVER q - cap AS held, sum(weight) OVER () - (sum(weight) OVER q - weight) AS open,
+    sum(source_size) OVER () AS total FROM w WINDOW q AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT max((total - held) / open) FILTER ((total - held) / open * weight <= cap) AS rate FROM o),
+g AS (SELECT source, source_size, least(cap, weight * coalesce(rate, 0)) AS target FROM w, r),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM g),
+k AS (SELECT t.*, source_size, target, whole, target - whole * source_size AS rest,
+    sum(size) OVER (PARTITION BY t.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+  (size * (whole + CASE WHEN size > 0 AND (upto <= rest OR (upto - size < rest AND upto - rest < rest - upto + size))
+    THEN 1 ELSE 0 END))::BIGINT AS taken FROM k
+"""
+
+
+@query("op2_source_mixing", MIX_SQL)
+def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.mix(table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, folder, "documents"))
