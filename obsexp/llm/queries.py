@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, secrets
+from . import mixing, pieces, secrets, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op2_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(table(spark, folder, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
