@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, mixing, pieces, secrets, toxicity
+from . import ann, embedding_dedup, html_text, mixing, pieces, secrets, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_nearest_neighbours")
 def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
