@@ -10,7 +10,7 @@ from ..session import apply_runtime_conf, materialise
 # What separates words in every contract of this subpackage: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows and bytes of one Arrow batch: texts may be long, so the default of 10,000 rows is no bound on memory.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
