@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_text, mixing, near_dedup, pieces, secrets, toxicity
+from . import ann, embedding_dedup, html_text, katz, mixing, near_dedup, pieces, secrets, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_minhash_dedup")
 def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op7_katz_scores")
+def op7_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_documents(table(spark, folder, "documents"))
