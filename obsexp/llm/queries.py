@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_text, katz, mixing, near_dedup, pieces, secrets, toxicity
+from . import ann, embedding_dedup, html_text, katz, mixing, near_dedup, pieces, secrets, toxicity, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,62 @@ def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_katz_scores")
 def op7_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score_documents(table(spark, folder, "documents"))
+
+
+# The tables hold no fetch dates and no lists. Both follow from the pages by rule: a page is fetched on a day that its
+# number fixes; every host, parent domain and every seventh folder has a history of three entries whose days and actions
+# follow from the smallest page number seen under it.
+
+def dated_captures(pages: DataFrame) -> DataFrame:
+    day = F.date_add(F.lit("2020-01-01").cast("date"), ((F.col("page_id") * 37) % 700).cast("int"))
+    return pages.select("page_id", "url", day.alias("fetched"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    host = url_filters.host_of(F.col("url"))
+    folder = F.when(F.col("page_id") % 7 == 0, F.lower(url_filters.folder_of(F.col("url"))))
+    names = pages.select("page_id", F.explode(F.array(host, F.regexp_replace(host, r"^[^.]*\.", ""), folder)).alias("pattern"))
+    seen = names.where(F.col("pattern").isNotNull() & (F.col("page_id") % 3 != 1)).groupBy("pattern").agg(F.min("page_id").alias("n"))
+    start = F.lit("2019-12-01").cast("date")
+    first = F.when(F.col("n") % 2 == 0, "block").otherwise("allow")
+    history = F.array(*[F.struct(a.alias("action"), F.date_add(start, d.cast("int")).alias("listed")) for a, d in (
+        (first, F.col("n") * 53 % 400), (F.lit("remove"), 200 + F.col("n") * 29 % 300), (F.lit("block"), 380 + F.col("n") * 17 % 300))])
+    return seen.select("pattern", F.inline(history))
+
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, date '2020-01-01' + ((page_id * 37) % 700)::INTEGER AS fetched,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^/?#]*)?', 1)), '\.+$', ''), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^/?#]*)?', 2) AS segment
+  FROM pages),
+rows AS (SELECT *, CASE WHEN length(segment) > 1 THEN host || segment END AS folder FROM parts),
+names AS (
+  SELECT page_id, unnest([host, regexp_replace(host, '^[^.]*\.', ''), CASE WHEN page_id % 7 = 0 THEN lower(folder) END]) AS pattern FROM rows),
+seen AS (SELECT pattern, min(page_id) AS n FROM names WHERE pattern IS NOT NULL AND page_id % 3 <> 1 GROUP BY pattern),
+entries AS (
+  SELECT pattern, CASE WHEN n % 2 = 0 THEN 'block' ELSE 'allow' END AS action, date '2019-12-01' + (n * 53 % 400)::INTEGER AS listed FROM seen
+  UNION ALL SELECT pattern, 'remove', date '2019-12-01' + (200 + n * 29 % 300)::INTEGER FROM seen
+  UNION ALL SELECT pattern, 'block', date '2019-12-01' + (380 + n * 17 % 300)::INTEGER FROM seen),
+daily AS (
+  SELECT pattern, listed, arg_max(action, CASE action WHEN 'remove' THEN 3 WHEN 'block' THEN 2 ELSE 1 END) AS action
+  FROM entries GROUP BY pattern, listed),
+spans AS (SELECT *, lead(listed) OVER (PARTITION BY pattern ORDER BY listed) AS until FROM daily),
+keys AS (
+  SELECT row_number() OVER () AS r, page_id, url, fetched, host,
+    CASE WHEN folder IS NULL THEN [] ELSE [folder] END || list_transform(range(1, len(string_split(host, '.')) + 1),
+      lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')) AS ks FROM rows),
+places AS (SELECT r, fetched, unnest(ks) AS k, generate_subscripts(ks, 1) AS place FROM keys),
+found AS (
+  SELECT p.r, arg_min(struct_pack(action := s.action, pattern := s.pattern, listed := s.listed), p.place) AS x
+  FROM places p JOIN spans s ON p.k = s.pattern AND s.action <> 'remove' AND p.fetched >= s.listed AND (s.until IS NULL OR p.fetched < s.until)
+  GROUP BY p.r)
+SELECT page_id, url, fetched, host, coalesce(x.action, 'default') AS decision, x.pattern AS pattern, x.listed AS listed
+FROM keys LEFT JOIN found ON keys.r = found.r
+"""
+
+
+@query("op3_url_filters", URL_SQL)
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return url_filters.judge(dated_captures(pages), dated_list(pages))
