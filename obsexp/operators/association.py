@@ -181,13 +181,15 @@ def incremental_r2(df: DataFrame, y: str, base: Sequence[str], extra: str) -> Da
 
 
 def variance_share(entities: DataFrame, moments: DataFrame, residual_variance: Column | None = None) -> DataFrame:
-    """One row: share of rate variance explained by expectation, and share of residual-rate variance that is repeatable."""
+    """One row: share of rate variance explained by expectation, share of residual-rate variance that is repeatable, and,
+    if given, the residual variance of single events that both stand against."""
     r = F.corr("actual_rate", "expected_rate")
     return entities.agg(
         (r * r).alias("r2_expected"), F.corr("expected_rate", "oe_rate").alias("corr_expected_oe"),
         F.var_samp("oe_rate").alias("var_oe_rate"),
-    ).withColumn("tau2", moments.select("tau2").scalar()).withColumn(
-        "repeatable_share", F.try_divide("tau2", "var_oe_rate"))
+    ).withColumn("tau2", moments.select("tau2").scalar()).withColumns({
+        "repeatable_share": F.try_divide("tau2", "var_oe_rate"),
+        "residual_variance": F.lit(None).cast("double") if residual_variance is None else residual_variance})
 
 
 def n_for_reliability(

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import bucket_of, fast_uniform, md5_hex, md5_uniform
 from ..session import materialise
-from .joins import small
 from .ordered import global_position
 
 
@@ -49,22 +48,23 @@ def base_rate(df: DataFrame, outcome: str, train: Column, out: str = "base_rate"
 
 
 def cell_mean(
-    df: DataFrame, cells: Sequence[str], max_cells: int, outcome: str, fold: str = "fold", k: int = 5,
-    smoothing: float = 20.0, out: str = "expected",
+    df: DataFrame, cells: Sequence[str], outcome: str, fold: str = "fold", smoothing: float = 20.0, out: str = "expected",
 ) -> DataFrame:
     """Cross-fitted expectation: the mean outcome of the row's difficulty cell over the other folds.
 
-    Cell means are pulled towards the other folds' overall mean as if by ``smoothing`` events. ``max_cells`` is the
-    product of the bin counts (plus one each for missing), so the lookup of cells by folds has a size known beforehand.
+    Cell means are pulled towards the other folds' overall mean as if by ``smoothing`` events. The sums per cell and fold
+    are stored, so the planner knows their size and broadcasts them only if they are small.
     """
     cells = list(cells)
-    sums = df.groupBy(*cells, fold).agg(F.count(F.lit(1)).alias("_n"), F.sum(outcome).alias("_s"))
-    per_cell, per_fold, whole = Window.partitionBy(*cells), Window.partitionBy(fold), Window.partitionBy()
+    sums = materialise(df.groupBy(*cells, fold).agg(F.count(F.lit(1)).alias("_n"), F.sum(outcome).alias("_s")), "cell-sums")
+    per_cell, whole = Window.partitionBy(*cells), Window.partitionBy()
+    folds = sums.groupBy(F.col(fold).alias("_fold")).agg(F.sum("_n").alias("_fn"), F.sum("_s").alias("_fs"))  # a row per fold
+    prior = F.try_divide((F.sum("_fs").over(whole) - F.col("_fs")).cast("double"), F.sum("_fn").over(whole) - F.col("_fn"))
+    folds = folds.select("_fold", prior.alias("_prior"))
     other_n = F.sum("_n").over(per_cell) - F.col("_n")
     other_s = F.sum("_s").over(per_cell) - F.col("_s")
-    prior = F.try_divide((F.sum("_s").over(whole) - F.sum("_s").over(per_fold)).cast("double"),
-                         F.sum("_n").over(whole) - F.sum("_n").over(per_fold))
-    scored = sums.select(*[F.col(c).alias(f"_c_{c}") for c in [*cells, fold]],
-                         ((other_s + smoothing * prior) / (other_n + smoothing)).alias(out))
+    scored = sums.withColumns({"_on": other_n, "_os": other_s}).join(folds, F.col(fold).eqNullSafe(F.col("_fold"))).select(
+        *[F.col(c).alias(f"_c_{c}") for c in [*cells, fold]],
+        ((F.col("_os") + smoothing * F.col("_prior")) / (F.col("_on") + smoothing)).alias(out))
     on = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in [*cells, fold]]
-    return df.join(small(scored, max_cells * k), on, "left").drop(*[f"_c_{c}" for c in [*cells, fold]])
+    return df.join(scored, on, "left").drop(*[f"_c_{c}" for c in [*cells, fold]])

@@ -1,7 +1,7 @@
 """Joins on equality, with coverage checks, and the constrained pair search.
 
-No side is broadcast by hint unless its size follows from the plan; otherwise the adaptive planner broadcasts a side it
-has measured, and splits skewed partitions of the sort-merge join when it has not.
+No side is broadcast by hint: the planner broadcasts a side whose size it knows or has measured to be small, and splits
+skewed partitions of the sort-merge join otherwise.
 """
 
 from __future__ import annotations
@@ -16,14 +16,6 @@ from ..functions.names import normalise_key
 from ..session import materialise
 from .ordered import Scan, running
 
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a side that cannot exceed ``max_rows``, a number known when the plan is built."""
-    return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
-
-
 @dataclass(frozen=True)
 class Dimension:
     """A lookup table: its (fact key, own key) pairs and the columns it adds."""
@@ -127,7 +119,11 @@ def best_pair(
     points = chosen.groupBy(F.col(rate).alias("at")).agg(F.min(item).alias("low"), F.min(mirrored).alias("high"))
     tol = F.lit(float(tolerance))
     points = points.withColumn("block", F.floor(F.col("at") / tol))
-    blocks = points.groupBy("block").agg(F.min("low").alias("own_low"))
+    blocks = materialise(points.groupBy("block").agg(F.min("low").alias("own_low")), "rate-blocks")
+    # An entity that is the lowest of its own block is paired with the next one there.
+    rest = chosen.withColumn("block", F.floor(F.col(rate) / tol)).join(blocks, "block").where(
+        F.col(entity) != F.col("own_low.entity")).groupBy("block").agg(F.min(item).alias("own_second"))
+    blocks = blocks.join(rest, "block", "left")
 
     def reach(step: int) -> DataFrame:
         """Lowest score in the neighbouring block on one side, up to the tolerance."""
@@ -145,7 +141,8 @@ def best_pair(
     for step in (-1, 1):
         side = reach(step)
         found = found.join(side, found["at"] == side["asker"], "left").drop("asker")
-    best = found.select(F.col("high").alias("h"), F.least("own_low", "low_0", "low_2").alias("l")).select(
+    own = F.when(F.col("own_low.entity") != F.col("high.entity"), F.col("own_low")).otherwise(F.col("own_second"))
+    best = found.select(F.col("high").alias("h"), F.least(own, "low_0", "low_2").alias("l")).select(
         F.col("h.entity").alias("entity_high"), F.col("l.entity").alias("entity_low"),
         (-F.col("h.neg")).alias("score_high"), F.col("l.score").alias("score_low"),
         F.col("h.rate").alias("rate_high"), F.col("l.rate").alias("rate_low"),

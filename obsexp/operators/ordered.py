@@ -8,6 +8,7 @@ once, hashed by (key, chunk); only summaries meet in one place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,10 @@ from pyspark.sql.window import Window
 
 from ..session import materialise
 
-BUCKET_BITS = 8
+# Rows that one chunk of an ordered scan should hold at most, ties aside.
+CHUNK_ROWS = 50_000
+# Edges of one cut; beyond that many chunks every chunk is cut again.
+MAX_EDGES = 4096
 
 
 def _cols(items: Sequence[Column | str]) -> list[Column]:
@@ -120,20 +124,38 @@ def parity(df: DataFrame, keys, chunk: str, order, out: str = "half") -> DataFra
     return numbered.withColumn(out, ((F.col("_position") - 1) % 2).cast("int")).drop("_position")
 
 
-def value_bucket(df: DataFrame, value: str, out: str, bits: int = BUCKET_BITS) -> DataFrame:
-    """Order-keeping bucket 0..2^bits-1 of a numeric column, cut at approximate quantiles of ``df``.
+def _edges(value: str, size: int) -> Column:
+    """size - 1 approximate quantiles, close enough for parts that differ little in size."""
+    levels = [i / size for i in range(1, size)]
+    return F.percentile_approx(F.col(value).cast("double"), levels, max(10_000, 20 * size))
 
-    Equal values share a bucket. The edges are one small row, read as a scalar subquery.
+
+def _place(edges: Column, value: str, size: int) -> Column:
+    """How many edges lie below the value, by halving."""
+    steps = F.array(*[F.lit(2**b) for b in range(size.bit_length() - 2, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.element_at(edges, at + step) < F.col(value).cast("double"), at + step).otherwise(at))
+
+
+def value_bucket(df: DataFrame, value: str, out: str, rows_per_chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Order-keeping chunk number of a numeric column, for chunks of about ``rows_per_chunk`` rows of ``df``.
+
+    The number of chunks follows from the counted rows, and the edges from their quantiles, so that rows crowded into a
+    short stretch are cut there. Equal values share a chunk. ``df`` is counted first and should be stored. Edges come as
+    one small row, or, above ``MAX_EDGES`` chunks, as one row per coarse chunk, which is then cut again.
     """
-    size = 2**bits
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / size for i in range(1, size)]).alias("e"))
-    tagged = df.withColumn("_edges", edges.scalar())
-    steps = F.array(*[F.lit(2**b) for b in range(bits - 1, -1, -1)])
-    found = F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: F.when(F.element_at("_edges", at + step) < F.col(value).cast("double"), at + step).otherwise(at),
-    )
-    return tagged.withColumn(out, found).drop("_edges")
+    chunks = max(1, math.ceil(df.count() / rows_per_chunk))
+    size = min(MAX_EDGES, 2 ** math.ceil(math.log2(chunks)))
+    if size == 1:
+        return df.withColumn(out, F.lit(0))
+    tagged = df.withColumn("_edges", df.agg(_edges(value, size).alias("e")).scalar())
+    tagged = tagged.withColumn(out, _place(F.col("_edges"), value, size)).drop("_edges")
+    if chunks <= size:
+        return tagged
+    fine = min(MAX_EDGES, 2 ** math.ceil(math.log2(chunks / size)))
+    cuts = tagged.groupBy(F.col(out).alias("_coarse")).agg(_edges(value, fine).alias("_edges"))
+    cut = tagged.join(cuts, F.col(out) == F.col("_coarse"), "left")
+    return cut.withColumn(out, F.col(out) * fine + _place(F.col("_edges"), value, fine)).drop("_edges", "_coarse")
 
 
 def value_ranks(
@@ -197,10 +219,11 @@ def with_ranks(
 def global_position(df: DataFrame, value: str, tie_hex: str, out: str = "position") -> DataFrame:
     """1-based position in the order (value, tie text), where the tie text is a hex digest.
 
-    Rows sharing a value are spread over 256 tasks by the first two digits of the digest. ``df`` is read several times
-    and should be stored.
+    Rows sharing a value are spread by leading digits of the digest, as many as the counted rows need. ``df`` is read
+    several times and should be stored.
     """
-    tagged = df.withColumn("_prefix", F.substring(tie_hex, 1, 2))
+    digits = max(1, math.ceil(math.log(max(1, df.count() / CHUNK_ROWS), 16)))
+    tagged = df.withColumn("_prefix", F.substring(tie_hex, 1, digits))
     counts = tagged.groupBy(value, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy(value).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_in_value", F.coalesce(F.sum("_n").over(within), F.lit(0)))

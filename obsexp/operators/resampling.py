@@ -74,10 +74,16 @@ def hash_bootstrap(
     return _finish(point, spread, keys)
 
 
-def _weight_table() -> np.ndarray:
-    """Poisson(1) count for each value of a 16-bit slice."""
-    u = (np.arange(65536) + 0.5) / 65536
-    return np.searchsorted(np.array(poisson1_thresholds()), u, side="right").astype(np.float32)
+# Cumulative Poisson(1) probabilities as 48-bit whole numbers: counts up to 16 occur.
+_LIMITS = np.array([int(t * 2.0**48) for t in poisson1_thresholds(18) if t < 1.0 - 2.0**-50], dtype=np.uint64)
+
+
+def _weight_table() -> tuple[np.ndarray, np.ndarray]:
+    """Poisson(1) count for each 16-bit prefix of a draw, and whether the prefix leaves it open."""
+    low = np.arange(65536, dtype=np.uint64) << np.uint64(32)
+    first = np.searchsorted(_LIMITS, low, side="right")
+    last = np.searchsorted(_LIMITS, low + np.uint64(2**32 - 1), side="right")
+    return first.astype(np.float32), first != last
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -88,42 +94,40 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _poisson_sums(x: np.ndarray, row: np.ndarray, replicates: int, table: np.ndarray):
-    """(sum of weight times value, sum of weights) per replicate; each hash gives four replicates."""
+def _poisson_sums(x: np.ndarray, row: np.ndarray, replicates: int, table: tuple[np.ndarray, np.ndarray]):
+    """(sum of weight times value, sum of weights) per replicate; each hash gives the prefixes of four draws.
+
+    Few prefixes leave the count open; those draws take 32 more bits from a second hash.
+    """
+    counts_of, undecided = table
     words = (replicates + 3) // 4
     steps = _mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     sums, counts = np.zeros(words * 4), np.zeros(words * 4)
     slab = max(1, _SLAB // (words * 4))
     for at in range(0, len(x), slab):
         part = _mix(row[at:at + slab, None] ^ steps[None, :])
-        w = table[np.ascontiguousarray(part).view(np.uint16)]
+        prefix = np.ascontiguousarray(part).view(np.uint16)
+        w = counts_of[prefix]
+        i, j = np.nonzero(undecided[prefix])
+        if len(i):
+            more = _mix(part[i, j // 4] ^ _mix(j.astype(np.uint64) % np.uint64(4) + np.uint64(1))) >> np.uint64(32)
+            w[i, j] = np.searchsorted(_LIMITS, (prefix[i, j].astype(np.uint64) << np.uint64(32)) | more, side="right")
         sums += x[at:at + slab] @ w
         counts += w.sum(axis=0, dtype=np.float64)
     return sums[:replicates], counts[:replicates]
 
 
-def _multinomial_rates(x: np.ndarray, row: np.ndarray, replicates: int, seed: int) -> np.ndarray:
-    """Replicate means of a plain resample; rows are put in hash order so arrival order does not matter."""
-    x = x[np.argsort(row, kind="stable")]
-    rng = np.random.default_rng([seed, int(np.bitwise_xor.reduce(row))])
-    block = max(1, _SLAB // len(x))
-    return np.concatenate([x[rng.integers(0, len(x), (min(block, replicates - b), len(x)))].mean(axis=1)
-                           for b in range(0, replicates, block)])
-
-
 def bootstrap(
     df: DataFrame, keys: Sequence[str], value: str, row_id: Sequence[Column | str], replicates: int = 2000,
-    seed: int = 42, floor: int = 150, method: str = "poisson", rows_per_chunk: int = ROWS_PER_CHUNK,
+    seed: int = 42, floor: int = 150, rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Per entity: 95 % interval of the total, standard error of the rate, and whether the interval excludes zero.
 
     Slim rows (keys, value, row hash) move once, hashed by (entity, chunk), where an entity is cut into as many chunks
-    as its size needs. An entity of one chunk is resampled and finished inside its task (``method='multinomial'`` draws
-    a plain resample there). Larger entities use Poisson weights, whose replicate sums add up across chunks. Weights
-    depend on the row hash, so neither row order nor a retried task changes them.
+    as its size needs. The replicate weights are Poisson draws at every size: their sums add up across chunks, so the
+    result doesn't depend on ``rows_per_chunk``. An entity of one chunk is finished inside its task. Weights depend on
+    the row hash, so neither row order nor a retried task changes them.
     """
-    if method not in ("poisson", "multinomial"):
-        raise ValueError("method must be 'poisson' or 'multinomial'")
     keys = list(keys)
     point = _point(df, keys, value, floor)
     rows = _arranged(df, point, keys, value, F.xxhash64(F.lit(seed), *row_id), rows_per_chunk)
@@ -144,13 +148,10 @@ def bootstrap(
             row = np.concatenate([h[1] for h in held]).view(np.uint64)
             *key, _, n = current
             whole = n <= rows_per_chunk
-            if whole and method == "multinomial":
-                rate = _multinomial_rates(x, row, replicates, seed)
-            else:
-                sums, weights = _poisson_sums(x, row, replicates, table)
-                if not whole:
-                    return (*key, None, None, None, sums.tolist(), weights.tolist(), n)
-                rate = sums[weights > 0] / weights[weights > 0]
+            sums, weights = _poisson_sums(x, row, replicates, table)
+            if not whole:
+                return (*key, None, None, None, sums.tolist(), weights.tolist(), n)
+            rate = sums[weights > 0] / weights[weights > 0]
             lo, hi = np.percentile(rate * n, [2.5, 97.5])
             return (*key, lo, hi, rate.std(ddof=1), None, None, n)
 

@@ -21,8 +21,11 @@ def band_join(
 
     Time is cut into buckets one window wide. An event looks into its own bucket and the two beside it, so the join is
     an equality join on (keys, bucket) whose partitions stay small, with the exact range test on top. Frame columns
-    must not share names with event columns other than the keys.
+    must not share names with event columns other than the keys. ``how="left"`` adds the events without a pair, once
+    each.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
     width = F.lit(float(window))
     own = F.floor(F.col(event_time) / width)
     left = events.withColumn("_bucket", F.explode(F.array(own - 1, own, own + 1)))
@@ -30,7 +33,14 @@ def band_join(
         "_fbucket", F.floor(F.col(frame_time) / width))
     on = [F.col(k) == F.col(f"_f_{k}") for k in keys] + [F.col("_bucket") == F.col("_fbucket")]
     near = F.abs(F.col(frame_time) - F.col(event_time)) <= width
-    return left.join(right, [*on, near], how).drop("_bucket", "_fbucket", *[f"_f_{k}" for k in keys])
+    pairs = left.join(right, [*on, near]).drop("_bucket", "_fbucket", *[f"_f_{k}" for k in keys])
+    if how == "inner":
+        return pairs
+    # An event is without a pair only if none of its three buckets has one.
+    row = F.struct(*[F.col(c) for c in events.columns])
+    met = pairs.select(row.alias("_row")).distinct()
+    alone = events.withColumn("_own", row).join(met, F.col("_own").eqNullSafe(F.col("_row")), "left_anti").drop("_own")
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def pick_release(

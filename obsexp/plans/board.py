@@ -17,12 +17,12 @@ from ..operators.resampling import bootstrap
 
 
 def score_by_cells(
-    df: DataFrame, group: str, outcome: str, cells: Sequence[str], max_cells: int, k: int = 5, seed: int = 42,
+    df: DataFrame, group: str, outcome: str, cells: Sequence[str], k: int = 5, seed: int = 42,
     hash_method: str = "xxhash64",
 ) -> DataFrame:
     """Hash folds and cell-mean expectations; adds fold, expected and residual."""
     folded = group_folds(df, group, k, seed, hash_method=hash_method)
-    scored = cell_mean(folded, cells, max_cells, outcome, "fold", k)
+    scored = cell_mean(folded, cells, outcome, "fold")
     return scored.withColumn("residual", F.col(outcome) - F.col("expected"))
 
 

@@ -50,7 +50,7 @@ def periods_scan(spark, folder):
 SELECT year(l_shipdate)::INTEGER AS season, count(*) AS n, {s6("avg(CAST(l_linestatus = 'O' AS INTEGER))")} AS confident_share FROM lineitem GROUP BY 1""")
 def compact_query(spark, folder):
     lines = load(spark, folder, "lineitem").withColumn("season", F.year("l_shipdate"))
-    report = compact(lines, scratch_path(spark, "season"), "season", F.col("l_linestatus") == "O", 4)
+    report = compact(lines, scratch_path(spark, "season"), "season", F.col("l_linestatus") == "O")
     return report.withColumn("confident_share", r6("confident_share"))
 
 
@@ -62,7 +62,8 @@ def _extract(spark):
         docs = read_documents(spark, files, multi_line=False)
         rows = docs.select("file", "gameid", F.size("events").alias("n_events"))
         units = docs.groupBy("file").agg(
-            F.count(F.lit(1)).alias("n_frames"), F.sum(F.size("events")).alias("n_events"), F.count(F.lit(1)).alias("n_rows"))
+            F.count(F.lit(1)).alias("n_frames"), F.sum(F.size("events")).alias("n_events"), F.count(F.lit(1)).alias("n_rows"),
+            F.bool_or(F.col("corrupt").isNotNull()).alias("corrupt"))
         return rows, units
     return run
 

@@ -19,10 +19,14 @@ from .registry import banded, line_row_id, load, query, r6, s6, scored, with_sco
 
 _U = poisson1_thresholds()
 _POISSON = "CASE " + " ".join(f"WHEN u < {t!r} THEN {j}" for j, t in enumerate(_U)) + f" ELSE {len(_U)} END"
-BOOT_SQL = f""",
-point AS (SELECT l_suppkey, count(*) AS n, sum(residual) AS oe_total, avg(residual) AS oe_rate FROM scored GROUP BY 1 HAVING count(*) >= 150),
+# Driver tables carry no entity effect, so one is planted: without it nothing is repeatable and shrinkage is constant.
+EFFECT = 0.02
+PLANTED_SQL = f""",
+planted AS (SELECT * REPLACE (residual + (l_suppkey % 7 - 3) * {EFFECT} AS residual) FROM scored)"""
+BOOT_SQL = PLANTED_SQL + f""",
+point AS (SELECT l_suppkey, count(*) AS n, sum(residual) AS oe_total, avg(residual) AS oe_rate FROM planted GROUP BY 1 HAVING count(*) >= 150),
 ids AS (SELECT l_suppkey, residual, md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, CAST(round(l_quantity * 100) AS BIGINT),
-  CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))) AS row_id FROM scored),
+  CAST(round(l_extendedprice * 100) AS BIGINT), CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))) AS row_id FROM planted),
 hexed AS (SELECT l_suppkey, residual, q, md5(row_id || '|' || q || '|42') AS h FROM ids, (SELECT unnest(generate_series(0, 4)) AS q)),
 draws AS (SELECT l_suppkey, residual, q * 4 + w AS rep, CAST('0x' || substr(h, 1 + 8 * w::INTEGER, 8) AS BIGINT) / 4294967296.0 AS u FROM hexed, (SELECT unnest(generate_series(0, 3)) AS w)),
 reps AS (SELECT l_suppkey, rep, sum(residual * ({_POISSON})) AS wx, sum({_POISSON}) AS w FROM draws GROUP BY 1, 2),
@@ -39,8 +43,12 @@ shrunk AS (SELECT b.*, tau2 / (tau2 + oe_se * oe_se) AS reliability, mu + tau2 /
   (mu + tau2 / (tau2 + oe_se * oe_se) * (oe_rate - mu)) * n AS total_shrunk FROM board b, mom)"""
 
 
+def planted(spark, folder):
+    return scored(spark, folder).withColumn("residual", F.col("residual") + (F.col("l_suppkey") % 7 - 3) * F.lit(EFFECT))
+
+
 def board_md5(spark, folder):
-    return hash_bootstrap(scored(spark, folder), ["l_suppkey"], "residual", line_row_id(), 20)
+    return hash_bootstrap(planted(spark, folder), ["l_suppkey"], "residual", line_row_id(), 20)
 
 
 def shrunk(spark, folder):
@@ -61,11 +69,6 @@ def bootstrap_poisson(spark, folder):
     return bootstrap(scored(spark, folder), ["l_suppkey"], "residual", line_row_id(), 2000)
 
 
-@query("bootstrap_multinomial")
-def bootstrap_multinomial(spark, folder):
-    return bootstrap(scored(spark, folder), ["l_suppkey"], "residual", line_row_id(), 2000, method="multinomial")
-
-
 @query("random_effects", with_scored(DL_SQL + f" SELECT k, {s6('mu', 9)} AS mu, {s6('tau2', 12)} AS tau2 FROM mom"))
 def random_effects(spark, folder):
     return sh.dersimonian_laird(board_md5(spark, folder)).select("k", r6("mu", 9).alias("mu"), r6("tau2", 12).alias("tau2"))
@@ -111,18 +114,16 @@ def leaderboard(spark, folder):
 @query("entity_card", with_scored(SHRUNK_SQL + f""",
 pct AS (SELECT *, (rank() OVER (ORDER BY rate_shrunk) + (count(*) OVER (PARTITION BY rate_shrunk) - 1) / 2.0) / count(*) OVER () AS percentile FROM shrunk),
 late AS (SELECT l_suppkey, count(*) AS n_late, avg(residual) AS late_rate FROM scored WHERE year(l_shipdate) > 1998 GROUP BY 1 HAVING count(*) >= 100)
-SELECT l_suppkey, n, {s6('rate_shrunk')} AS rate_shrunk, CASE WHEN (SELECT max(tau2) FROM mom) > 0 THEN {s6('percentile')} END AS percentile, n_late, {s6('late_rate')} AS late_rate
+SELECT l_suppkey, n, {s6('rate_shrunk')} AS rate_shrunk, {s6('percentile')} AS percentile, n_late, {s6('late_rate')} AS late_rate
 FROM pct LEFT JOIN late USING (l_suppkey) WHERE l_suppkey = 7"""))
 def entity_card(spark, folder):
     entities = materialise(board_md5(spark, folder), "board")
-    moments = sh.dersimonian_laird(entities, store=False).select("tau2").scalar()
     ranked = od.with_ranks(sh.shrink(entities, store=False), {"percentile": ("rate_shrunk", "percent", False)})
     late = scored(spark, folder).where(F.year("l_shipdate") > 1998).groupBy(F.col("l_suppkey").alias("_k")).agg(
         F.count(F.lit(1)).alias("n_late"), F.avg("residual").alias("late_rate")).where("n_late >= 100")
     card = ranked.where("l_suppkey = 7").join(late, F.col("l_suppkey") == F.col("_k"), "left")
-    # with tau2 = 0 all shrunk rates coincide up to rounding and a percentile says nothing
     return card.select("l_suppkey", "n", r6("rate_shrunk").alias("rate_shrunk"),
-                       F.when(moments > 0, r6("percentile")).alias("percentile"), "n_late", r6("late_rate").alias("late_rate"))
+                       r6("percentile").alias("percentile"), "n_late", r6("late_rate").alias("late_rate"))
 
 
 _HALF_ALT = """,
@@ -375,37 +376,38 @@ def incremental_r2(spark, folder):
 
 
 def _oe_estimates(spark, folder):
-    return scored(spark, folder).groupBy("l_suppkey").agg(
+    return planted(spark, folder).groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("n"), F.avg("made").alias("actual_rate"), F.avg("expected").alias("expected_rate"),
-        F.avg("residual").alias("oe_rate"), (F.stddev_samp("residual") / F.sqrt(F.count(F.lit(1))) * 0.5).alias("oe_se"))
+        F.avg("residual").alias("oe_rate"), (F.stddev_samp("residual") / F.sqrt(F.count(F.lit(1)))).alias("oe_se"))
 
 
-# half the closed-form standard error, so that the between-entity variance is above zero on this table
-_OE_EST = """,
-board AS (SELECT l_suppkey, count(*) AS n, avg(made) AS actual_rate, avg(expected) AS expected_rate, avg(residual) AS oe_rate, stddev_samp(residual) / sqrt(count(*)) * 0.5 AS oe_se FROM scored GROUP BY 1)""" + DL_SQL[len(BOOT_SQL):]
+_OE_EST = PLANTED_SQL + """,
+board AS (SELECT l_suppkey, count(*) AS n, avg(made) AS actual_rate, avg(expected) AS expected_rate, avg(residual) AS oe_rate, stddev_samp(residual) / sqrt(count(*)) AS oe_se FROM planted GROUP BY 1)""" + DL_SQL[len(BOOT_SQL):]
 
 
 @query("variance_share", with_scored(_OE_EST + f"""
 SELECT {s6('corr(actual_rate, expected_rate) ** 2')} AS r2_expected, {s6('corr(expected_rate, oe_rate)')} AS corr_expected_oe, {s6('var_samp(oe_rate)', 9)} AS var_oe_rate,
-  {s6('max(mom.tau2)', 9)} AS tau2, {s6('max(mom.tau2) / var_samp(oe_rate)')} AS repeatable_share FROM board, mom"""))
+  {s6('max(mom.tau2)', 9)} AS tau2, {s6('max(mom.tau2) / var_samp(oe_rate)')} AS repeatable_share,
+  (SELECT {s6('var_samp(residual)', 9)} FROM scored) AS residual_variance FROM board, mom"""))
 def variance_share(spark, folder):
     entities = materialise(_oe_estimates(spark, folder), "entities")
-    out = st.variance_share(entities, sh.dersimonian_laird(entities, store=False))
+    single = scored(spark, folder).agg(F.var_samp("residual")).scalar()
+    out = st.variance_share(entities, sh.dersimonian_laird(entities, store=False), single)
     return out.select(r6("r2_expected").alias("r2_expected"), r6("corr_expected_oe").alias("corr_expected_oe"),
                       r6("var_oe_rate", 9).alias("var_oe_rate"), r6("tau2", 9).alias("tau2"),
-                      r6("repeatable_share").alias("repeatable_share"))
+                      r6("repeatable_share").alias("repeatable_share"), r6("residual_variance", 9).alias("residual_variance"))
 
 
 @query("n_for_reliability", with_scored(_OE_EST + f""",
 s AS (SELECT var_samp(residual) AS s2 FROM scored),
-need AS (SELECT r AS reliability, CAST(round(s2 * r / ((1 - r) * tau2)) AS BIGINT) AS events_needed FROM s, mom, (SELECT unnest([0.5::DOUBLE, 0.6, 0.7, 0.8]) AS r) WHERE tau2 > 0)
+need AS (SELECT r AS reliability, CASE WHEN tau2 > 0 THEN CAST(round(s2 * r / ((1 - r) * tau2)) AS BIGINT) END AS events_needed FROM s, mom, (SELECT unnest([0.5::DOUBLE, 0.6, 0.7, 0.8]) AS r))
 SELECT reliability, events_needed, {s6('avg(CAST(n >= events_needed AS INTEGER))')} AS share_reaching FROM need, board GROUP BY 1, 2"""))
 def n_for_reliability(spark, folder):
     lines = scored(spark, folder)
     entities = materialise(_oe_estimates(spark, folder), "entities")
     s2 = lines.agg(F.var_samp("residual")).scalar()
     tau2 = sh.dersimonian_laird(entities, store=False).select("tau2").scalar()
-    out = st.n_for_reliability(entities, s2, tau2).where(F.col("events_needed").isNotNull())
+    out = st.n_for_reliability(entities, s2, tau2)
     return out.withColumn("share_reaching", r6("share_reaching"))
 
 

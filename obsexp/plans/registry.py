@@ -44,7 +44,6 @@ QUANTITY = ((-float("inf"), 10.0, 25.0, 40.0, float("inf")), ("q1", "q2", "q3",
 PRICE = ((-float("inf"), 20000.0, 40000.0, 60000.0, float("inf")), ("p1", "p2", "p3", "p4"))
 DISCOUNT = ((0.0, 0.025, 0.055, 0.085, 0.2), ("d1", "d2", "d3", "d4"))
 CELLS = ("q_band", "p_band", "d_band")
-MAX_CELLS = 5 * 5 * 5
 LINE_ID = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
 SEED = 42
 
@@ -60,7 +59,7 @@ def banded(lines: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Lineitem with cross-fitted cell-mean expectations; the md5 folds can be repeated in SQL."""
-    return score_by_cells(banded(load(spark, folder, "lineitem")), "l_orderkey", "made", CELLS, MAX_CELLS, 5, SEED, "md5")
+    return score_by_cells(banded(load(spark, folder, "lineitem")), "l_orderkey", "made", CELLS, 5, SEED, "md5")
 
 
 def line_row_id() -> list[Column]:

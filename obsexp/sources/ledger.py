@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 LEDGER = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("reason", T.StringType()), T.StructField("rows", T.LongType()),
@@ -38,12 +40,17 @@ def pending(listing: DataFrame, ledger: DataFrame) -> DataFrame:
     return listing.join(settled, "file", "left_anti")
 
 
-def route_outcomes(units: DataFrame, frames: str = "n_frames", events: str = "n_events", rows: str = "n_rows") -> DataFrame:
-    """Status of each unit from its counts: no frames is empty; no events, or nothing extracted, is a failure."""
-    status = (F.when(F.coalesce(F.col(frames), F.lit(0)) == 0, "empty")
+def route_outcomes(units: DataFrame, frames: str = "n_frames", events: str = "n_events", rows: str = "n_rows",
+                   corrupt: str | None = None) -> DataFrame:
+    """Status of each unit from its counts: no frames is empty; no events, or nothing extracted, is a failure.
+
+    ``corrupt`` names a flag of units whose document does not parse; they are failures with a reason of their own.
+    """
+    broken = F.coalesce(F.col(corrupt), F.lit(False)) if corrupt else F.lit(False)
+    status = (F.when(broken, "failed").when(F.coalesce(F.col(frames), F.lit(0)) == 0, "empty")
               .when(F.coalesce(F.col(events), F.lit(0)) == 0, "failed")
               .when(F.coalesce(F.col(rows), F.lit(0)) == 0, "failed").otherwise("ok"))
-    reason = (F.when(F.coalesce(F.col(frames), F.lit(0)) == 0, "no frames in any event")
+    reason = (F.when(broken, "document does not parse").when(F.coalesce(F.col(frames), F.lit(0)) == 0, "no frames in any event")
               .when(F.coalesce(F.col(events), F.lit(0)) == 0, "no event table")
               .when(F.coalesce(F.col(rows), F.lit(0)) == 0, "nothing extracted"))
     return units.withColumns({"status": status, "reason": reason})
@@ -56,7 +63,7 @@ def ingest_status(listing: DataFrame, ledger: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "ok").alias("extracted"),
         F.count_if(F.col("status") == "empty").alias("empty"),
         F.count_if(~F.coalesce(F.col("status").isin(*SETTLED), F.lit(False))).alias("remaining"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("status") == "ok", F.col("rows"))), F.lit(0)).alias("rows"),
         F.count_if(F.col("status") == "failed").alias("open_failures"),
     )
 
@@ -75,11 +82,13 @@ def ingest_new(
     spark: SparkSession, source: str, out: str, ledger_path: str,
     extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]], pattern: str = "*", limit: int | None = None,
 ) -> DataFrame:
-    """Extract files that are not settled, append their rows and their outcomes, and return the status report.
+    """Extract files that are not settled, write their rows and their outcomes, and return the status report.
 
-    ``extract`` maps the pending files (path, file, length) to (rows with a ``file`` column, per-file counts). Files are
-    processed by one job, not one at a time. Rows are written before the ledger, below a folder per file, so a run that
-    dies in between is repeated without duplicates.
+    ``extract`` maps the pending files (path, file, length) to (rows with a ``file`` column, per-file counts, with an
+    optional flag ``corrupt``). Every pending file gets its line in the ledger: one that ``extract`` says nothing about
+    has no frames. Only rows of files that came out ``ok`` are written, and a failure that repeats itself is not noted
+    twice. Files are processed by one job, not one at a time. Rows are written before the ledger, below a folder per
+    file, so a run that dies in between is repeated without duplicates.
     """
     listing = list_files(spark, source, pattern)
     todo = pending(listing, read_ledger(spark, ledger_path))
@@ -87,9 +96,16 @@ def ingest_new(
         todo = todo.orderBy("file").limit(limit)
     if not todo.isEmpty():
         rows, units = extract(todo)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(out)
-        outcomes = route_outcomes(units).select("file", "status", "reason", F.col("n_rows").cast("long").alias("rows"))
-        outcomes.write.mode("append").parquet(ledger_path)
+        flag = "corrupt" if "corrupt" in units.columns else None
+        seen = todo.select(F.col("file").alias("_file")).join(units, F.col("_file") == F.col("file"), "left").drop("file")
+        routed = materialise(route_outcomes(seen.withColumnRenamed("_file", "file"), corrupt=flag).select(
+            "file", "status", "reason", F.when(F.col("status") == "ok", F.col("n_rows")).cast("long").alias("rows")), "outcomes")
+        good = routed.where("status = 'ok'").select(F.col("file").alias("_good"))
+        rows.join(good, F.col("file") == F.col("_good"), "left_semi").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("file").parquet(out)
+        known = read_ledger(spark, ledger_path).select(*[F.col(c).alias(f"_{c}") for c in ("file", "status", "reason")])
+        repeat = (F.col("file") == F.col("_file")) & (F.col("status") == F.col("_status")) & F.col("reason").eqNullSafe(F.col("_reason"))
+        routed.join(known, repeat, "left_anti").write.mode("append").parquet(ledger_path)
     return ingest_status(listing, read_ledger(spark, ledger_path))
 
 

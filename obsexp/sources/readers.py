@@ -47,12 +47,16 @@ _DOCUMENT = T.StructType([
         T.StructField("eventId", T.StringType()),
         T.StructField("moments", T.ArrayType(T.StringType())),
     ]))),
+    T.StructField("corrupt", T.StringType()),
 ])
 
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Frame documents, one row each; the mixed arrays inside stay text until they are needed."""
-    docs = spark.read.schema(_DOCUMENT).json(path, multiLine=multi_line)
+    """Frame documents, one row each; the mixed arrays inside stay text until they are needed.
+
+    A document that does not parse is a row with its text in ``corrupt`` and nothing else.
+    """
+    docs = spark.read.schema(_DOCUMENT).json(path, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt")
     return docs.withColumn("file", F.col("_metadata.file_name"))
 
 

@@ -24,13 +24,12 @@ def write_table(
 
 
 def compact(source: DataFrame, path: str, period: str = "season", confident: Column | None = None,
-            files_per_period: int = 8) -> DataFrame:
+            rows_per_file: int = 5_000_000) -> DataFrame:
     """Rewrite many small outputs partitioned by period, and report rows and the share of confident ones.
 
-    Rows of one period are dealt over several files, so a period that holds most rows is not one task.
+    Rows gather by period; the adaptive planner splits a period that is too large for one task.
     """
-    sizes = F.pmod(F.xxhash64(*[c for c in source.columns]), F.lit(files_per_period))
-    source.withColumn("_part", sizes).repartition(period, "_part").drop("_part").write.mode("overwrite").partitionBy(
+    source.hint("rebalance", period).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(
         period).parquet(path)
     written = source.sparkSession.read.parquet(path)
     share = F.avg(F.coalesce(confident, F.lit(False)).cast("int")) if confident is not None else F.lit(None).cast("double")

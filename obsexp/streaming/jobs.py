@@ -33,7 +33,7 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
 def ingest_stream(
     units: DataFrame, status: Callable[[], Column], good: str, empty: str, failed: str, checkpoint: str,
 ) -> None:
-    """Route each arriving unit to the good, empty or failed table.
+    """Route each arriving unit to the good, empty or failed table; an unknown or missing status counts as failed.
 
     Every batch overwrites its own folder, so a batch replayed after a failure replaces its rows instead of adding them.
     """
@@ -41,6 +41,8 @@ def ingest_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         routed = batch.withColumn("status", status())
+        known = F.coalesce(F.col("status").isin(*targets), F.lit(False))
+        routed = routed.withColumn("status", F.when(known, F.col("status")).otherwise("failed"))
         routed.persist()
         for name, path in targets.items():
             routed.where(F.col("status") == name).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

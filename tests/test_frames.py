@@ -11,18 +11,19 @@ from obsexp.session import scratch_path
 from obsexp.sources.readers import read_frames
 from obsexp.sources import ledger as lg
 
-ACTOR, DEFENDER, BALL = 100, 200, -1
+SHOOTER, PARTNER, GUARD, HELPER, BALL = 31, 32, 62, 63, -1
+# Where everybody stands: the shooter is 15 feet from the near hoop, the two opponents 3 and 5 feet from the shooter.
+PLACES = ((5, SHOOTER, 17.25, 34.0), (5, PARTNER, 40.0, 10.0), (8, GUARD, 17.25, 37.0), (8, HELPER, 22.25, 34.0))
+# Clock, ball height, ball distance from the shooter. One bounce, then the ball rises and leaves after the seventh row.
+EARLY = ((64.40, 3.0, 2.2), (64.35, 2.0, 1.9), (64.30, 3.5, 1.5), (64.25, 5.0, 1.0), (64.20, 6.5, 0.4), (64.15, 7.75, 0.6),
+         (64.10, 8.25, 1.1), (64.05, 9.5, 4.0), (64.00, 10.0, 8.0))
+LATE = ((60.95, 4.5, 0.3), (60.90, 6.0, 0.5), (60.85, 7.5, 0.9), (60.80, 9.25, 5.0))
 
 
-def moment(period, ts, clock, z, dx=0.5):
-    return [period, ts, clock, 14.0, None,
-            [[-1, BALL, 20.0 + dx, 25.0, z], [1, ACTOR, 20.0, 25.0, 0.0], [2, DEFENDER, 24.0, 25.0, 0.0]]]
-
-
-def motion(clock, ts, base=6.0):
-    """Twelve frames: the ball rises in the actor's hands to the seventh, then leaves."""
-    return [moment(1, ts + k * 40, round(clock + (6 - k) * 0.04, 2), base + min(k, 6) * 0.5,
-                   0.5 if k <= 6 else 0.5 + (k - 6) * 3.0) for k in range(12)]
+def document_frames(table, first_ts):
+    return [[1, first_ts + 50 * i, clock, 11.0, None,
+             [[-1, BALL, PLACES[0][2] + away, PLACES[0][3], height], *[[team, who, x, y, 0.0] for team, who, x, y in PLACES]]]
+            for i, (clock, height, away) in enumerate(table)]
 
 
 def stored(spark, document, tmp):
@@ -36,39 +37,43 @@ PBP = ("event_num int, game_id string, period int, player_id long, player_name s
 
 
 def pbp(spark, *rows):
-    return spark.createDataFrame([(n, "g", 1, ACTOR, "Test", n % 2, 0, float(d), c) for n, d, c in rows], PBP)
+    return spark.createDataFrame([(n, "g", 1, SHOOTER, "Test", n % 2, 0, float(d), c) for n, d, c in rows], PBP)
+
+
+def game(*events):
+    return {"gameid": "g", "gamedate": "d", "events": [{"eventId": str(i), "moments": m} for i, m in enumerate(events)]}
+
+
+def test_highest_ball_in_reach_is_the_release(spark, tmp_path):
+    frames = stored(spark, game(document_frames(EARLY, 500)), tmp_path)
+    assert frames.count() == len(EARLY)
+    row = extract_events(frames, pbp(spark, (4, 16, 64.2))).first()
+    assert (row.ball_height_ft, row.release_confidence, row.game_clock) == (8.25, "high", 64.10)
+    assert (row.shot_dist_ft, row.closest_def_dist_ft, row.second_def_dist_ft, row.n_defenders_within_6ft) == (15.0, 3.0, 5.0, 2)
+    assert (row.touch_time_s, row.dribbles) == (0.3, 1)
 
 
-def test_apex_is_chosen_and_exclusion_honoured(spark, tmp_path):
-    frames = stored(spark, {"gameid": "g", "gamedate": "d", "events": [{"eventId": "1", "moments": motion(100.0, 1000)}]}, tmp_path)
-    assert frames.count() == 12
-    row = extract_events(frames, pbp(spark, (1, 15, 100.0))).first()
-    assert (row.ball_height_ft, row.release_confidence, row.shot_dist_ft, row.closest_def_dist_ft) == (9.0, "high", 14.75, 4.0)
-    assert (row.second_def_dist_ft, row.n_defenders_within_6ft, row.touch_time_s, row.dribbles) == (None, 1, 0.24, 0)
-    both = extract_events(frames, pbp(spark, (1, 15, 100.0), (2, 15, 100.0)))
-    assert both.count() == 1  # twelve frames lie within one claim: the second event finds none left
+def test_a_claimed_stretch_is_not_used_again(spark, tmp_path):
+    frames = stored(spark, game(document_frames(EARLY, 500)), tmp_path)
+    assert [r.event_num for r in extract_events(frames, pbp(spark, (4, 16, 64.2), (9, 16, 64.2))).collect()] == [4]
 
 
-def test_two_events_get_different_frames_and_bad_distance_is_low(spark, tmp_path):
-    doc = {"gameid": "g", "gamedate": "d", "events": [
-        {"eventId": "1", "moments": motion(100.0, 1000) + motion(97.0, 2000, 5.5)},
-        {"eventId": "2", "moments": motion(100.0, 1000)},   # repeats earlier timestamps
-        {"eventId": "3", "moments": []}]}
-    frames = stored(spark, doc, tmp_path)
-    assert fr.dedup_frames(frames).count() == 24
-    out = {r.event_num: r for r in extract_events(frames, pbp(spark, (1, 15, 100.0), (2, 23, 97.0)), store=True).collect()}
-    assert len(out) == 2 and out[1].game_clock != out[2].game_clock
-    assert out[1].release_confidence == "high" and out[2].release_confidence == "low"
-    assert out[1].dist_error_ft < 1.0 and out[2].dist_error_ft == 8.25
+def test_later_event_takes_the_later_stretch_and_a_far_report_lowers_it(spark, tmp_path):
+    early, late = document_frames(EARLY, 500), document_frames(LATE, 4000)
+    frames = stored(spark, game(early + late, early, []), tmp_path)  # the second event repeats timestamps of the first
+    assert fr.dedup_frames(frames).count() == len(EARLY) + len(LATE)
+    asked = pbp(spark, (8, 26, 60.9), (3, 16, 64.3))
+    out = {r.event_num: r for r in extract_events(frames, asked, store=True).collect()}
+    assert [(out[n].game_clock, out[n].ball_height_ft) for n in (3, 8)] == [(64.10, 8.25), (60.85, 7.5)]
+    assert [(out[n].release_confidence, out[n].dist_error_ft) for n in (3, 8)] == [("high", 1.0), ("low", 11.0)]
 
 
 def test_frames_without_actor_or_clock_are_no_candidates(spark, tmp_path):
-    frames = motion(100.0, 1000)
-    frames[3][5] = frames[3][5][:1]        # actor absent: breaks the contact run
-    frames[6][2] = None                    # the apex has no clock
-    out = extract_events(stored(spark, {"gameid": "g", "gamedate": "d", "events": [{"eventId": "1", "moments": frames}]}, tmp_path),
-                         pbp(spark, (1, 15, 100.0))).first()
-    assert out.ball_height_ft == 8.5 and out.touch_time_s == 0.04
+    frames = document_frames(EARLY, 500)
+    frames[3][5] = frames[3][5][:1]        # nobody on the floor: breaks the contact run
+    frames[6][2] = None                    # the highest ball in reach has no clock
+    out = extract_events(stored(spark, game(frames), tmp_path), pbp(spark, (4, 16, 64.2))).first()
+    assert (out.ball_height_ft, out.touch_time_s, out.dribbles) == (7.75, 0.05, 0)
 
 
 def test_contact_run_counts_bounces_inside_the_run(spark):
@@ -113,36 +118,42 @@ def test_claims_equal_the_sequential_rule(spark):
 
 def test_roles(spark, tmp_path):
     frames = stored(spark, {"gameid": "g", "gamedate": "d", "events": [{"eventId": "1", "moments": [
-        moment(1, 1, 10.0, 6.0), [1, 2, 9.0, None, None, [[-1, 5, 1.0, 2.0, 3.0], [3, 8, 1.0, 1.0, 0.0]]],
+        document_frames(EARLY, 1)[0], [1, 2, 9.0, None, None, [[-1, 5, 1.0, 2.0, 3.0], [3, 8, 1.0, 1.0, 0.0]]],
         [1, 3, 8.0, 1.0, None, []], [1, 4, 7.0]]}]}, tmp_path)
     rows = fr.split_roles(frames).orderBy("ts_ms").collect()
-    assert [(r.ball_z, [p.entity_id for p in r.players]) for r in rows] == [(6.0, [ACTOR, DEFENDER]), (3.0, [8])]
+    assert [(r.ball_z, [p.entity_id for p in r.players]) for r in rows] == [(3.0, [SHOOTER, PARTNER, GUARD, HELPER]), (3.0, [8])]
 
 
 def test_ingest_resumes_and_routes(spark, tmp_path):
     source = tmp_path / "games"
     source.mkdir()
-    for name, moments in (("a", motion(100.0, 1)), ("b", []), ("c", motion(50.0, 1))):
+    for name, moments in (("a", document_frames(EARLY, 1)), ("b", []), ("c", document_frames(LATE, 1))):
         (source / f"{name}.json").write_text(json.dumps({"gameid": name, "events": [{"eventId": "1", "moments": moments}]}))
+    (source / "d.json").write_text('{"gameid": "d", "events": [')
     from obsexp.sources.readers import read_documents
     seen = []
 
     def extract(todo):
         files = sorted(r.path for r in todo.collect())
         seen.append([f.rsplit("/", 1)[1] for f in files])
-        docs = read_documents(spark, files).select("file", "gameid", F.size(F.col("events")[0]["moments"]).alias("n"))
+        docs = read_documents(spark, files).select("file", "gameid", F.size(F.col("events")[0]["moments"]).alias("n"),
+                                                   F.col("corrupt").isNotNull().alias("corrupt"))
         return (docs.where("n > 0").select("file", "gameid"),
-                docs.select("file", F.col("n").alias("n_frames"),
+                docs.select("file", "corrupt", F.col("n").alias("n_frames"),
                             F.when(F.col("gameid") == "c", 0).otherwise(1).alias("n_events"), F.col("n").alias("n_rows")))
 
     out, book = scratch_path(spark, "t-out"), scratch_path(spark, "t-ledger")
     first = lg.ingest_new(spark, str(source), out, book, extract, "*.json", limit=1).first()
-    assert (first.total, first.extracted, first.remaining) == (3, 1, 2)
+    assert (first.total, first.extracted, first.remaining) == (4, 1, 3)
     second = lg.ingest_new(spark, str(source), out, book, extract, "*.json").first()
-    assert (second.extracted, second["empty"], second.open_failures, second.remaining, second.rows) == (1, 1, 1, 1, 24)
+    assert (second.extracted, second["empty"], second.open_failures, second.remaining, second.rows) == (1, 1, 2, 2, 9)
     lg.ingest_new(spark, str(source), out, book, extract, "*.json")
-    assert seen == [["a.json"], ["b.json", "c.json"], ["c.json"]]
-    assert spark.read.parquet(out).count() == 2
+    assert seen == [["a.json"], ["b.json", "c.json", "d.json"], ["c.json", "d.json"]]
+    assert [r.file for r in spark.read.parquet(out).collect()] == ["a.json"]  # rows of failed files are not written
+    book_rows = lg.read_ledger(spark, book).collect()
+    assert sorted((r.file, r.status, r.reason) for r in book_rows) == [  # and a repeated failure is noted once
+        ("a.json", "ok", None), ("b.json", "empty", "no frames in any event"), ("c.json", "failed", "no event table"),
+        ("d.json", "failed", "document does not parse")]
     assert not lg.all_settled(lg.list_files(spark, str(source), "*.json"), lg.read_ledger(spark, book))
 
 

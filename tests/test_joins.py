@@ -97,3 +97,23 @@ def test_pick_release_prefers_held_and_high_then_close(spark):
     cands = spark.createDataFrame(rows, "ev int, pos int, d double, h double")
     out = {r.ev: (r.pos, r.release_confidence) for r in tj.pick_release(cands, ["ev"], "d", "h", "pos", 2.5).collect()}
     assert out == {1: (2, "high"), 2: (8, "low")}
+
+
+def test_left_band_join_keeps_every_event_once(spark):
+    events = spark.createDataFrame([(1, 10.0, "a"), (1, 20.0, None), (2, 10.0, "b"), (None, 5.0, "c"), (1, 10.0, "a")],
+                                   "user int, t double, tag string")
+    frames = spark.createDataFrame([(1, 11.0, 7), (1, 9.5, 8)], "user int, ft double, frame int")
+    out = tj.band_join(events, frames, ["user"], "t", "ft", 2.0, how="left")
+    got = sorted((r.user or 0, r.t, r.tag or "", r.frame or 0) for r in out.collect())
+    assert got == [(0, 5.0, "c", 0), (1, 10.0, "a", 7), (1, 10.0, "a", 7), (1, 10.0, "a", 8), (1, 10.0, "a", 8),
+                   (1, 20.0, "", 0), (2, 10.0, "b", 0)]
+
+
+def test_best_pair_of_equals(spark):
+    rows = [(1, 0.5, 2.0, 600), (2, 0.5, 2.0, 600), (3, 0.501, 2.0, 600)]
+    best = jn.best_pair(spark.createDataFrame(rows[:2], "id int, rate double, score double, n int"), "id", "rate", "score", 0.004,
+                        F.col("n") >= 500).first()
+    assert (best.entity_high, best.entity_low, best.gap) == (1, 2, 0.0)
+    best = jn.best_pair(spark.createDataFrame(rows[1:], "id int, rate double, score double, n int"), "id", "rate", "score", 0.004,
+                        F.col("n") >= 500).first()
+    assert (best.entity_high, best.entity_low) == (2, 3)

@@ -100,3 +100,17 @@ def test_no_window_sees_a_whole_key(skewed):
     plan = od.row_numbers(df, ["key"], "chunk", ["t"])._jdf.queryExecution().optimizedPlan().toString()
     whole = [line for line in plan.splitlines() if "Window [" in line and line.rstrip().endswith("]")]
     assert whole and all("chunk" in line for line in whole)
+
+
+def test_crowded_key_is_cut_into_small_chunks(spark):
+    # One key holds half of all rows, all inside one minute of a month.
+    rows = spark.range(40000).select(
+        F.when(F.col("id") % 2 == 0, 0).otherwise(1 + F.col("id") % 97).alias("k"),
+        F.when(F.col("id") % 2 == 0, 1_000_000 + F.col("id") * 0.0015).otherwise(F.col("id") * 64.0).alias("t"), "id")
+    for limit in (500, 2):
+        cut = od.value_bucket(rows, "t", "chunk", rows_per_chunk=limit)
+        largest = cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        assert largest <= 3 * limit + 4, (limit, largest)
+    cut = od.value_bucket(rows, "t", "chunk", rows_per_chunk=500)
+    wrong = od.row_numbers(cut, ["k"], "chunk", ["t", "id"]).where("k = 0 AND row_number <> id / 2 + 1")
+    assert wrong.count() == 0
