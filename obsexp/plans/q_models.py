@@ -21,7 +21,7 @@ def lines(spark, folder):
 
 
 def logistic(train):
-    return md.fit_logistic(train, "made", NUMERIC, CATEGORICAL, max_iter=50)
+    return md.fit_logistic(train, "made", NUMERIC, CATEGORICAL)
 
 
 def boosted(train):
