@@ -237,7 +237,7 @@ def stream_claims(spark, folder):
     found = contacts.select("game_id", "period", "actor_id", F.xxhash64("game_id", F.floor(F.col("clock") / 7200)).alias("event_id"),
                             F.floor(F.col("clock") / 7200).cast("double").alias("event_clock"), "pos", "clock", "ball_z", "ball_distance")
     root = scratch_path(spark, "stream-claims")
-    found.write.parquet(f"{root}/in")
+    found.repartition("game_id").write.parquet(f"{root}/in")  # a game in one file
     claimed = jobs.claim_stream(jobs.read_stream(spark, f"{root}/in", found.schema))
     jobs.run_to_end(claimed, f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out")

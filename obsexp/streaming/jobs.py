@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.frames import CLAIM_POSITIONS, CLAIM_SECONDS, HELD_DISTANCE
+from ..operators.frames import CLAIM_POSITIONS, CLAIM_SECONDS, HELD_DISTANCE, RELEASE_WINDOW_S
 
 
 def read_stream(
@@ -85,14 +85,21 @@ def activity_runs(
 
 
 _CLAIMED = "event_id long, pos long, release_confidence string"
-_CLAIM_STATE = "pos array<long>, clock array<double>"
+_CLAIM_STATE = "pos array<long>, clock array<double>, settled array<long>"
 
 
 def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    taken = list(zip(*state.get)) if state.exists else []
+    pos_before, clock_before, settled = state.get if state.exists else ([], [], [])
+    taken, done = list(zip(pos_before, clock_before)), set(settled)
     rows = pd.concat(list(batches)).sort_values(["event_clock", "event_id"], ascending=[False, True], kind="stable")
     out = []
     for event_id, event in rows.groupby("event_id", sort=False):
+        if int(event_id) in done:
+            continue
+        done.add(int(event_id))
+        # The clock runs down: claims of frames beyond this event's reach can no longer matter.
+        reach = event["event_clock"].iloc[0] + RELEASE_WINDOW_S + CLAIM_SECONDS
+        taken = [t for t in taken if t[1] <= reach]
         free = event
         for pos, clock in taken:
             near = ((free["pos"] - pos).abs() <= CLAIM_POSITIONS) & ((free["clock"] - clock).abs() <= CLAIM_SECONDS)
@@ -104,15 +111,16 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
                 else free.sort_values(["ball_distance", "pos"])).iloc[0]
         taken.append((int(best["pos"]), float(best["clock"])))
         out.append((int(event_id), int(best["pos"]), "high" if len(held) else "low"))
-    state.update(([p for p, _ in taken], [c for _, c in taken]))
+    state.update(([p for p, _ in taken], [c for _, c in taken], sorted(done)))
     yield pd.DataFrame(out, columns=["event_id", "pos", "release_confidence"])
 
 
 def claim_stream(candidates: DataFrame) -> DataFrame:
     """Exclusive release frames over a stream of candidates; claims live in the state of (game, period, actor).
 
-    All candidates of an event must arrive in one batch, and events of an actor in game order; a game's document is
-    written as one file, which gives both.
+    A game's candidates must lie in one file, as its document does; whole files arrive together, so the batch size makes
+    no difference. An event is settled once; candidates that come again change nothing. The state holds the claims still
+    in reach and the numbers of the settled events. It has no timeout: with one, a run over the files present would not end.
     """
     return candidates.groupBy("game_id", "period", "actor_id").applyInPandasWithState(
         _claim, _CLAIMED, _CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -92,3 +92,23 @@ def test_claims_with_state_follow_the_sequential_rule(spark):
     expected = sequential_claims(events, frames)
     assert run() == expected
     assert fr.CLAIM_POSITIONS == 50
+
+
+def test_claims_do_not_depend_on_the_batch_size(spark):
+    import random
+    rng = random.Random(3)
+    frames = [(i, 120 - i * 0.1, rng.random() * 5, rng.random() * 10) for i in range(1, 300)]
+    events = [(n, round(rng.uniform(95, 120), 1)) for n in range(12)]
+    rows = [(g, 1, 7, n, c, p, clock, z, d) for g in ("g", "h", "i") for n, c in events for p, clock, d, z in frames
+            if abs(clock - c) <= 5]
+    schema = "game_id string, period int, actor_id long, event_id long, event_clock double, pos long, clock double, ball_z double, ball_distance double"
+    root = scratch_path(spark, "t-batches")
+    for game in ("g", "h", "i"):
+        put(spark, f"{root}/in", [r for r in rows if r[0] == game] * 2, schema)  # candidates come twice
+    stream_schema = spark.read.parquet(f"{root}/in").schema
+    found = []
+    for size in (1, 1000):
+        stream = jobs.read_stream(spark, f"{root}/in", stream_schema, files_per_batch=size)
+        jobs.run_to_end(jobs.claim_stream(stream), f"{root}/out{size}", f"{root}/check{size}")
+        found.append(sorted((r.event_id, r.pos, r.release_confidence) for r in spark.read.parquet(f"{root}/out{size}").collect()))
+    assert found[0] == found[1] == sorted((n, *v) for n, v in sequential_claims(events, frames).items() for _ in range(3))
