@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table as it is: they hold no NaN, so the rule that turns NaN into NULL is left to the readers."""
     apply_runtime_conf(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
