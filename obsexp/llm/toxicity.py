@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words and word prefixes, which catch inflected or lengthened forms. Of all terms only those whose document
-counts among the labelled examples differ clearly between the labels enter the vectors (a likelihood-ratio test); the
-rest is noise that would drown the cosine of long texts. The examples form an inverted index in blocks with the largest
+counts among the labelled examples clearly speak for the label enter the vectors (a likelihood-ratio test and a least
+lift); the rest is noise that would drown the cosine of long texts. The examples form an inverted index in blocks with the largest
 weight per term and block. A text visits the blocks in the order of their bounds and stops when no bound can reach its
 k-th best cosine, so the neighbours are exact.
 
@@ -20,28 +20,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import crc_bucket
 
 EXAMPLES_PER_LABEL = 6000
 MAX_TERMS = 4000
-MIN_G = 60.0  # of the likelihood-ratio statistic: far beyond what the best of millions of idle terms reaches
+MIN_G = 30.0  # of the likelihood-ratio statistic: beyond what the best of a million idle terms reaches
+MIN_LIFT = 5.0  # a term must be so many times likelier in toxic examples; common words never are
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 25
 BLOCK = 64
-PRIOR_WEIGHT = 1.0
+PRIOR_WEIGHT = 0.2
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)  # modulus and remainder of the rows that labels are never learnt from
 MEMORY_WORDS = 400_000
 TO_SPACE = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 
 
-def words_of(text: str | None) -> Counter:
-    """Counts of words, lower-cased, cut at ASCII punctuation and white space."""
-    return Counter((text or "").lower().encode("utf-8", "replace").translate(TO_SPACE).split())
+def words_of(text: str | None) -> list[bytes]:
+    """Words, lower-cased, cut at ASCII punctuation and white space."""
+    return (text or "").lower().encode("utf-8", "replace").translate(TO_SPACE).split()
 
 
 def terms_of_word(word: bytes) -> list[bytes]:
@@ -49,24 +52,27 @@ def terms_of_word(word: bytes) -> list[bytes]:
     return [word, *[word[:size] + b"*" for size in PREFIXES if len(word) > size]]
 
 
-class Terms:
-    """The selected terms; remembers which of them each word has."""
+class Terms(dict):
+    """Which selected terms a word has, remembered per word."""
 
     def __init__(self, numbers: dict[bytes, int]):
+        super().__init__()
         self.numbers = numbers
-        self.seen: dict[bytes, tuple[int, ...]] = {}
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.numbers[t] for t in terms_of_word(word) if t in self.numbers)
+        return found
+
+    def __reduce__(self):
+        return Terms, (self.numbers,)
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        seen, numbers = self.seen, self.numbers
-        for word, n in words_of(text).items():
-            found = seen.get(word)
-            if found is None:
-                if len(seen) >= MEMORY_WORDS:
-                    seen.clear()
-                found = seen[word] = tuple(numbers[t] for t in terms_of_word(word) if t in numbers)
+        for found in filter(None, map(self.__getitem__, words_of(text))):
             for t in found:
-                out[t] = out.get(t, 0) + n
+                out[t] = out.get(t, 0) + 1
         return out
 
 
@@ -91,6 +97,7 @@ class Index:
     labels: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per block: term starts, example within, weight
     top: np.ndarray  # terms x blocks
+    least_id: np.ndarray  # per block
     background: float = 0.0  # the score of a text without any selected term
 
     @classmethod
@@ -112,7 +119,8 @@ class Index:
             np.maximum.at(top[:, b], t, w)
             postings.append((np.searchsorted(t, np.arange(len(idf) + 1)), np.array([x[1] for x in flat], np.int64), w))
         return cls(Terms(terms), idf, np.array([v[0] for v in vectors], np.int64),
-                   np.array([v[1] for v in vectors], float), postings, top, (sum(bare) + mean) / (len(bare) + 1))
+                   np.array([v[1] for v in vectors], float), postings, top,
+                   np.array([min(v[0] for v in block) for block in blocks], np.int64), (sum(bare) + mean) / (len(bare) + 1))
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties to the smaller id, as (cosine, position)."""
@@ -120,21 +128,23 @@ class Index:
             return []
         t = np.fromiter(query.keys(), np.int64, len(query))
         w = np.fromiter(query.values(), float, len(query))
-        bounds = w @ self.top[t]
-        found: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            # The margin keeps ties that rounding would hide.
-            if bounds[b] <= 0 or (len(found) == k and bounds[b] < -found[-1][0] - 1e-9):
+        # Cosines are compared to twelve digits, so that equal ones tie whatever the order of their sums.
+        bounds = np.round(w @ self.top[t], 12)
+        scores, ids, places = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in np.lexsort((self.least_id, -bounds)):
+            if bounds[b] <= 0 or (len(ids) == k and (bounds[b], -self.least_id[b]) < (scores[-1], -ids[-1])):
                 break
             starts, inside, weights = self.postings[b]
-            scores = np.zeros(BLOCK)
+            found = np.zeros(BLOCK)
             for term, weight in zip(t, w):
                 lo, hi = starts[term], starts[term + 1]
-                scores[inside[lo:hi]] += weight * weights[lo:hi]
-            hits = np.flatnonzero(scores > 0)
-            base = b * BLOCK
-            found = sorted(found + [(-round(float(scores[j]), 12), int(self.ids[base + j]), int(base + j)) for j in hits])[:k]
-        return [(-s, place) for s, _, place in found]
+                found[inside[lo:hi]] += weight * weights[lo:hi]
+            hits = np.flatnonzero(found > 0)
+            scores = np.concatenate([scores, np.round(found[hits], 12)])
+            ids, places = np.concatenate([ids, self.ids[b * BLOCK + hits]]), np.concatenate([places, b * BLOCK + hits])
+            order = np.lexsort((ids, -scores))[:k]
+            scores, ids, places = scores[order], ids[order], places[order]
+        return list(zip(scores.tolist(), places.tolist()))
 
     def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[int]]:
         """Vote of the neighbours weighted by squared cosine, drawn to the background; and the neighbours' ids."""
@@ -183,6 +193,31 @@ def _label_counts(examples: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
 
 
+def _thinned(examples: DataFrame, size: int = 4, keys: int = 3) -> DataFrame:
+    """Stored: one example for each smallest hash of its word shingles, for several hashes in turn.
+
+    Near copies share a smallest hash as often as they share shingles; unrelated texts hardly ever do.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                found = {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))}
+                least.append([min(xxhash.xxh3_64_intdigest(x, k) for x in found) >> 1 for k in range(keys)])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("text", "label", "doc_id")),
+                 *(pa.array([x[k] for x in least], pa.int64()) for k in range(keys))],
+                names=["text", "label", "doc_id", *(f"k{k}" for k in range(keys))])
+
+    names = [f"k{k}" for k in range(keys)]
+    rows = examples.mapInArrow(run, "text string, label int, doc_id long, " + ", ".join(f"{n} long" for n in names))
+    for name in names:
+        whole = F.struct("doc_id", "text", "label", *[n for n in names if n != name])
+        rows = rows.groupBy(name).agg(F.min(whole).alias("x")).select(name, "x.*")
+    return materialise(rows.select("text", "label", "doc_id"), "toxic-examples")
+
+
 def _document_frequencies(rows: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
     """In how many of all documents each selected term occurs: one row per task and term moves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,19 +234,23 @@ def _document_frequencies(rows: DataFrame, terms: dict[bytes, int]) -> dict[int,
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",
         per_label: int = EXAMPLES_PER_LABEL, max_terms: int = MAX_TERMS, min_g: float = MIN_G) -> Index:
-    """Index of a bounded sample of labelled rows, none of them held out. Copies of an example count once."""
+    """Index of a bounded sample of labelled rows, none of them held out.
+
+    Copies and near copies of an example would make its idle words look meaningful, so they are thinned out first.
+    """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # At most 2 * per_label ids of 12 bytes: small enough to send to every task.
     picked = _sample(labels, doc, label, per_label)
     examples = rows.join(F.broadcast(picked), "doc_id").groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))
     examples = examples.orderBy(F.xxhash64("doc_id", "text"), "label").limit(2 * per_label)
-    examples = materialise(examples, "toxic-examples")
+    examples = _thinned(materialise(examples, "toxic-sample"))
     sizes = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         return Index.build({}, np.zeros(0), [])
     g = _g_statistic(F.col("pos"), F.col("neg"), n_pos, n_neg)
-    chosen = _label_counts(examples).withColumn("g", F.round(g, 6)).where(F.col("g") >= min_g)
+    lift = F.col("pos") / n_pos >= MIN_LIFT * (F.col("neg") + 0.5) / n_neg
+    chosen = _label_counts(examples).where(lift).withColumn("g", F.round(g, 6)).where(F.col("g") >= min_g)
     chosen = chosen.orderBy(F.col("g").desc(), "term").limit(max_terms).collect()
     terms = {bytes(r.term): j for j, r in enumerate(chosen)}
     total, found = rows.count(), _document_frequencies(rows, terms)
@@ -251,9 +290,9 @@ def scored(docs: DataFrame, index: Index, doc: str = "doc_id", text: str = "text
                 names.append("row")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, score double, neighbours array<long>"
+    schema = T.StructType.fromDDL("doc_id long, score double, neighbours array<long>")
     if extra:
-        schema += f", row {rows.schema['row'].dataType.simpleString()}"
+        schema = schema.add("row", rows.schema["row"].dataType)
     return rows.mapInArrow(run, schema)
 
 
