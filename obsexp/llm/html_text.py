@@ -44,11 +44,15 @@ CONTENT_TAGS = {"article": 6.0, "main": 4.0}
 FRAME_TAGS = {"nav": 14.0, "header": 14.0, "footer": 14.0, "aside": 14.0, "form": 14.0, "menu": 14.0, "dialog": 14.0}
 CONTENT_NAMES = frozenset("article content entry main post story text".split())
 FRAME_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
+    "ad ads adbox adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent "
     "cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification pagination pager popup promo promoted promotion recommended related replies reply respond share sharing "
     "sidebar sidebars signup social sponsor sponsored subscribe subscription teaser toolbar topbar".split())
-# With one of these beside it, a name may describe a layout that also holds the article.
+# An article inside one of these is a card, not the page's article. Inside any other boilerplate element it shows that the
+# element describes a layout or was never closed.
+CARD_NAMES = frozenset("promoted recommended related sidebar sidebars sponsored teaser".split())
+CARD_TAGS = frozenset({"aside", "footer"})
+# With one of these beside it, a name describes a layout even so.
 LAYOUT_NAMES = frozenset("container content has layout main no page site with without wrap wrapper".split())
 COMMENT_NAMES = frozenset("comment comments commentlist reply replies disqus".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
@@ -81,10 +85,10 @@ class Block:
 def _own_evidence(tag: str, attrs: str, in_article: bool) -> tuple[float, float, bool]:
     """(lean, the part of it that an article below takes back, hidden) that tag and attributes speak for."""
     lean, lifted, hidden = CONTENT_TAGS.get(tag, 0.0) - FRAME_TAGS.get(tag, 0.0), 0.0, False
-    if tag == "form":
-        lifted = FRAME_TAGS[tag]
-    elif tag == "header" and in_article:
+    if tag == "header" and in_article:
         lean = 0.0  # the article's own head, not the page's
+    elif tag in FRAME_TAGS and tag not in CARD_TAGS:
+        lifted = FRAME_TAGS[tag]
     if attrs and tag not in ("html", "body"):
         names: set[str] = set()
         for m in ATTRIBUTE.finditer(attrs):
@@ -105,7 +109,7 @@ def _own_evidence(tag: str, attrs: str, in_article: bool) -> tuple[float, float,
             lean -= 2 * NAME_COST
         elif names & FRAME_NAMES and tag not in CONTENT_TAGS and tag != "h1":
             lean -= NAME_COST
-            lifted += NAME_COST if names & LAYOUT_NAMES else 0.0
+            lifted += NAME_COST if names & LAYOUT_NAMES or not names & CARD_NAMES else 0.0
         elif names & CONTENT_NAMES:
             lean += 2.0
     return lean, lifted, hidden

@@ -58,6 +58,13 @@ def test_page_without_article_element():
     assert lines[0] == "Title here" and lines[2] == "Short one." and len(lines) == 4
 
 
+def test_unclosed_boilerplate_before_the_article():
+    page = "<body><nav><a href=1>Home</a><div class=ad>Buy<div class='notice'>Look<article><h1>A</h1><p>b c<p>d</article><aside>"
+    assert main_text(page)[0] == "A\nb c\nd"
+    cards = "<body><article><p>Real text.</p></article><aside><article><p>Another page's lead that is quite long indeed.</p></article></aside>"
+    assert main_text(cards)[0] == "Real text."
+
+
 def test_broken_markup_ends_and_is_linear():
     for page in ("<", "<p", "<!--", "</", "<script>", "<p>" * 30000, "<div>" * 3000 + "x", "a<b>c</p></div>", "<a href='" * 2000,
                  "<" * 100000, "<p " * 50000):
