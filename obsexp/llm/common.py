@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import apply_runtime_conf, materialise
+from ..session import apply_runtime_conf, materialise, scratch_path
 
 # What separates words in every contract of this subpackage: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,13 @@ def crc_bucket(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def stored_texts(df: DataFrame, label: str) -> DataFrame:
+    """``materialise`` for tables that hold whole texts: compressed harder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

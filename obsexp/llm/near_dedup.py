@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash on weighted shingles, banding and exact verification.
 
 Texts of equal word sequences are one class; only one document of each takes part in the search. Documents that agree
-in a band are candidates. A bucket is not compared pair by pair: every member is verified against the bucket's leader,
-and what that joins is one component. Only members still apart are compared further, with a second leader and then with
-every member of another component, so no link between different texts of a bucket is lost.
+in a band are candidates. A bucket is not verified pair by pair: every member is verified against the bucket's leader, the
+document that meets most others, and what that joins is one component. Members still apart meet a second leader. What
+remains apart then is compared by signatures, in blocks inside the tasks; the pairs of different components whose
+signatures allow a link are verified, so no link between different texts of a bucket is lost but by the margin below.
 """
 
 from __future__ import annotations
@@ -11,27 +12,37 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
 from . import shingles
-from .common import components
+from .common import components, stored_texts
 
 THRESHOLD = 0.8
 # At a similarity of 0.8, four registers agree with probability 0.41 and some of 24 bands do with 0.999997.
 BANDS, ROWS = 24, 4
+# Registers of the whole signature; the first BANDS * ROWS make the bands.
+REGISTERS = 240
+# Pairs are verified down to this many standard errors of the estimate below the threshold (one link in 300,000 lies lower).
+MARGIN = 4.5
 LEADER_ROUNDS = 2
+# Members that one side of a comparison of signatures holds, and rows of one call.
+BLOCK, BATCH_ROWS = 1024, 10_000
 # Shingle sets that a verifying task remembers.
 MEMORY_TEXTS = 200
 
-SIGNED = "rid long, doc_id long, key binary, bands array<long>, text string"
+SIGNED = "rid long, doc_id long, key binary, bands array<long>, sig binary"
 
 
 def signed(docs: DataFrame, doc: str, text: str, bands: int, rows: int, size: int, keep: tuple[str, ...]) -> DataFrame:
-    """Stored: a row number, id, hash of the word sequence (null without words), band hashes, text and kept columns."""
+    """Stored: a row number, id, hash of the word sequence (null without words), band hashes, 16 bits of each register,
+    text and kept columns."""
     fields = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc).cast("long").alias("doc_id"),
                          F.col(text).alias("text"), *fields)
@@ -42,18 +53,20 @@ def signed(docs: DataFrame, doc: str, text: str, bands: int, rows: int, size: in
             words = [shingles.words_of(t) for t in batch.column("text").to_pylist()]
             keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
             sets = [shingles.shingle_counts(w, hashes, size) for w in words]
-            found = shingles.band_hashes(shingles.signatures(sets, bands * rows), bands)
+            sig = shingles.signatures(sets, max(REGISTERS, bands * rows))
+            found = shingles.band_hashes(sig[:, :bands * rows], bands)
+            short = [s.tobytes() for s in sig.astype(np.uint16)]
             listed = [list(b) if k else [] for b, k in zip(found.tolist(), keys)]
             arrays = [batch.column("rid"), batch.column("doc_id"), pa.array(keys, pa.binary()),
-                      pa.array(listed, pa.list_(pa.int64())), batch.column("text")]
-            names = ["rid", "doc_id", "key", "bands", "text"]
-            if keep:
-                arrays.append(batch.column("row"))
-                names.append("row")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                      pa.array(listed, pa.list_(pa.int64())), pa.array(short, pa.binary()),
+                      batch.column(whole)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "key", "bands", "sig", whole])
 
-    schema = SIGNED + (f", row {source.schema['row'].dataType.simpleString()}" if keep else "")
-    return materialise(source.mapInArrow(run, schema), "signed-documents")
+    # The text is stored once, inside the kept columns if there are any.
+    whole = "row" if keep else "text"
+    schema = T.StructType.fromDDL(SIGNED).add(whole, source.schema[whole].dataType)
+    out = stored_texts(source.mapInArrow(run, schema), "signed-documents")
+    return out.withColumn("text", F.col("row")[text]) if keep else out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -86,37 +99,71 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _likely(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(u, v)`` of one bucket and different components whose signatures don't rule out a link."""
+    members = materialise(members, "open-members")
+    sigs = texts.select(F.col("rid").alias("_r"), "sig")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    rows = members.join(sigs, F.col("rid") == F.col("_r")).withColumns(
+        {"own": F.pmod(F.xxhash64("rid"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    moved = members.agg(F.sum(F.ceil(F.col("size") / F.lit(BLOCK)))).first()[0] or 0
+    keys = ["band", "hash", "lo", "hi"]
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": (F.col("own") > F.col("other"))})
+    batch = F.pmod(F.xxhash64(*keys), F.lit(int(moved // BATCH_ROWS + 1))).alias("batch")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        us, vs = [], []
+        for (_, _, lo, hi), group in pdf.groupby(keys, sort=False):
+            sig = np.stack([np.frombuffer(x, np.uint16) for x in group["sig"]])
+            rid, part, side = (group[c].to_numpy() for c in ("rid", "component", "side"))
+            least = sig.shape[1] * (threshold - MARGIN * (threshold * (1 - threshold) / sig.shape[1]) ** 0.5)
+            left = np.flatnonzero(~side)
+            right = left if lo == hi else np.flatnonzero(side)
+            for i in range(0, len(left), 64):
+                some = left[i:i + 64]
+                open_ = (part[some][:, None] != part[right][None, :]) & (
+                    True if lo != hi else rid[some][:, None] < rid[right][None, :])
+                x, y = np.nonzero(open_)
+                for j in range(0, len(x), 50_000):
+                    a, b = some[x[j:j + 50_000]], right[y[j:j + 50_000]]
+                    near = (sig[a] == sig[b]).sum(axis=1) >= least
+                    us.append(rid[a[near]])
+                    vs.append(rid[b[near]])
+        return pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64),
+                             "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+
+    found = rows.select(batch, *keys, "side", "rid", "component", "sig").groupBy("batch").applyInPandas(run, "u long, v long")
+    return materialise(_ordered(found), "likely-pairs")
+
+
 def links(rows: DataFrame, threshold: float = THRESHOLD, size: int = shingles.WORDS) -> DataFrame:
     """``(node, component)`` over stored rows ``(rid, bands, text)`` of different texts; lone rows are not returned."""
     entries = rows.select("rid", F.posexplode("bands").alias("band", "hash"))
     shared = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(shared.select(F.col("band").alias("_b"), F.col("hash").alias("_h")), "buckets")
+    shared = materialise(shared.select(F.col("band").alias("_b"), F.col("hash").alias("_h"), "n"), "buckets")
     on = (F.col("band") == F.col("_b")) & (F.col("hash") == F.col("_h"))
-    entries = materialise(entries.join(shared, on).select("rid", "band", "hash"), "bucket-entries")
-    wanted = materialise(entries.select(F.col("rid").alias("_r")).distinct(), "candidates")
-    texts = materialise(rows.select("rid", "text").join(wanted, F.col("rid") == F.col("_r"), "left_semi"), "candidate-texts")
+    entries = materialise(entries.join(shared, on).select("rid", "band", "hash", "n"), "bucket-entries")
+    # How many others a document meets, over all bands: the original of many copies meets most.
+    wanted = materialise(entries.groupBy(F.col("rid").alias("_r")).agg(F.sum("n").alias("met")), "candidates")
+    texts = stored_texts(rows.select("rid", "text", "sig").join(wanted, F.col("rid") == F.col("_r"), "left_semi"), "candidate-texts")
+    entries = materialise(entries.join(wanted, F.col("rid") == F.col("_r")).select("rid", "band", "hash", "met"), "bucket-entries")
     tested, parts = None, None
     for turn in range(LEADER_ROUNDS + 1):
         members = entries.withColumn("component", F.col("rid"))
         if parts is not None:
             members = entries.join(parts, F.col("rid") == F.col("node"), "left").select(
-                "rid", "band", "hash", F.coalesce("component", "rid").alias("component"))
+                "rid", "band", "hash", "met", F.coalesce("component", "rid").alias("component"))
             members = materialise(members, "bucket-members")
         buckets = members.groupBy("band", "hash").agg(
-            F.min_by(F.struct("rid", "component"), F.xxhash64(F.lit(turn), "rid")).alias("leader"),
-            F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(
-            F.col("band").alias("_b"), F.col("hash").alias("_h"), "leader")
+            F.max_by(F.struct("rid", "component"), F.struct("met", "rid") if turn == 0 else F.xxhash64(F.lit(turn), "rid")).alias("leader"),
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where(
+            "low <> high").select(F.col("band").alias("_b"), F.col("hash").alias("_h"), "leader", "size")
         buckets = materialise(buckets, "open-buckets")
         if turn < LEADER_ROUNDS:
             pairs = members.join(buckets, on).where("component <> leader.component").select(
                 F.col("rid").alias("u"), F.col("leader.rid").alias("v"))
         else:
-            # All pairs across components: one side leaves out the component of the leader, mostly the largest.
-            other = members.select(F.col("rid").alias("v"), F.col("band").alias("_ob"), F.col("hash").alias("_oh"),
-                                   F.col("component").alias("_oc"))
-            apart = members.join(buckets, on).where("component <> leader.component").select("rid", "band", "hash", "component")
-            pairs = apart.join(other, (F.col("band") == F.col("_ob")) & (F.col("hash") == F.col("_oh"))).where(
-                "component <> _oc").select(F.col("rid").alias("u"), "v")
+            pairs = _likely(members.join(buckets, on).select("rid", "band", "hash", "component", "size"), texts, threshold)
         pairs = _ordered(pairs)
         if tested is not None:
             pairs = pairs.join(tested.select(F.col("u").alias("_tu"), F.col("v").alias("_tv")),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import stored_texts
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # (kind, pattern, group that holds the value, least length of the value). A run of the class is matched whole, so for
@@ -173,7 +174,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", doc: str = "doc_id", text: s
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     flat = packed.select("row", F.col("row")[doc].alias("doc_id"), F.col("row")[owner].alias("source"),
                          F.col("row")[text].alias("text"))
-    found = materialise(candidates(flat, keep=("row",)).withColumn("rid", F.monotonically_increasing_id()), "redact")
+    found = stored_texts(candidates(flat, keep=("row",)).withColumn("rid", F.monotonically_increasing_id()), "redact")
     owned = materialise(ownership(found).where(F.col("n_owners") <= max_owners), "secret-owners")
     each = found.select("rid", F.explode("more").alias("x")).join(
         owned.select(F.col("h").alias("value")), F.col("x.h") == F.col("value"))

@@ -6,7 +6,7 @@ import numpy as np
 
 from obsexp.llm import near_dedup, shingles
 
-SCHEMA = "doc_id long, text string, key string, row int, class_id string"
+SCHEMA = "doc_id long, text string, key string, row int, `class id` string"
 
 
 def plain_similarity(a, b):
