@@ -26,6 +26,7 @@ THRESHOLD = 0.98
 TABLES, PROJECTIONS, WIDTH = 24, 12, 1.6
 # Classes of one bucket that one side of a comparison holds.
 BLOCK = 512
+BATCH_ROWS = 10_000
 SEED = 20
 
 
@@ -77,33 +78,62 @@ def _keyed(found: DataFrame, tables: int, projections: int, width: float) -> Dat
 
 
 def _compare(threshold: float):
-    """Links between the two blocks of a group: counts per class, and a forest over the linked classes."""
+    """Links inside the comparisons of one batch: counts per class, and a forest over the linked classes.
+
+    A comparison is a block with itself, or two blocks with each other (``side`` 0 and 1). Comparisons of equal size go
+    through one product, since most hold two or three vectors.
+    """
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table, same = int(key[0]), key[4] == key[5]
-        pdf = pdf.sort_values(["side", "class_id"], kind="stable")
-        unit = _unit(np.stack(pdf["v"].to_numpy()))
-        keys = np.stack(pdf["keys"].to_numpy())
-        ids, n, side = pdf["class_id"].to_numpy(), pdf["n"].to_numpy(), pdf["side"].to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        linked = unit[left] @ unit[right].T >= threshold
-        if same:
-            linked &= ~np.eye(len(left), dtype=bool)
-        # A pair counts in the first table that joins it.
-        for t in range(table):
-            linked &= keys[left, t][:, None] != keys[right, t][None, :]
-        weight = {}
-        for own, other, m in ((left, right, linked), (right, left, linked.T)):
-            for at, links in zip(own, m @ n[other]):
-                weight[at] = links if same else weight.get(at, 0) + links
-        u, v = _forest(linked, left, right, len(ids))
-        sums = [(ids[a], None, w) for a, w in weight.items() if w]
-        edges = [(ids[a], ids[b], 0) for a, b in zip(u, v)]
-        return pd.DataFrame(sums + edges, columns=["u", "v", "links"]).astype({"v": "Int64"})
+        group = pdf.groupby(["t", "key", "label", "dim", "lo", "hi"], sort=False).ngroup().to_numpy()
+        weight: dict[int, int] = {}
+        edges: list[tuple[int, int]] = []
+        for dim in pdf["dim"].unique():
+            at = np.flatnonzero(pdf["dim"].to_numpy() == dim)
+            part, code = pdf.iloc[at], group[at]
+            order = np.argsort(code, kind="stable")
+            part, code = part.iloc[order], code[order]
+            starts = np.flatnonzero(np.append(True, np.diff(code) != 0))
+            sizes = np.diff(np.append(starts, len(code)))
+            unit, keys = _unit(np.stack(part["v"].to_numpy())), np.stack(part["keys"].to_numpy())
+            ids, n, side, t = (part[c].to_numpy() for c in ("class_id", "n", "side", "t"))
+            whole = (part["lo"] == part["hi"]).to_numpy()
+            for size in np.unique(sizes):
+                first = starts[sizes == size]
+                step = max(1, 4_000_000 // int(size * size * keys.shape[1]))
+                for i in range(0, len(first) if size > 1 else 0, step):
+                    rows = first[i:i + step, None] + np.arange(size)
+                    _compare_alike(rows, unit, keys, ids, n, side, t, whole, threshold, weight, edges)
+        sums = [(u, None, w) for u, w in weight.items()]
+        out = pd.DataFrame(sums + [(u, v, 0) for u, v in edges], columns=["u", "v", "links"])
+        return out.astype({"u": "int64", "v": "Int64", "links": "int64"})
 
     return run
 
 
+def _compare_alike(rows, unit, keys, ids, n, side, t, whole, threshold, weight, edges) -> None:
+    """Comparisons of one size, ``rows`` holding a line of row numbers for each."""
+    x, k = unit[rows], keys[rows]
+    linked = x @ x.transpose(0, 2, 1) >= threshold
+    apart = side[rows][:, :, None] != side[rows][:, None, :]
+    linked &= np.where(whole[rows[:, 0], None, None], ~np.eye(rows.shape[1], dtype=bool), apart)
+    live = np.flatnonzero(linked.any(axis=(1, 2)))
+    if not len(live):
+        return
+    rows, linked, k = rows[live], linked[live], k[live]
+    # A pair counts in the first table that joins it.
+    before = np.arange(keys.shape[1]) < t[rows[:, 0]][:, None]
+    for table in range(keys.shape[1]):
+        column = k[:, :, table]
+        linked &= ~((column[:, :, None] == column[:, None, :]) & before[:, table, None, None])
+    counts = (linked * n[rows][:, None, :]).sum(axis=2)
+    for line, links, matrix in zip(rows, counts, linked):
+        for r, c in zip(line[links > 0], links[links > 0]):
+            weight[int(ids[r])] = weight.get(int(ids[r]), 0) + int(c)
+        everyone = np.arange(len(line))
+        us, vs = _forest(matrix, everyone, everyone, len(line))
+        edges += [(int(ids[line[u]]), int(ids[line[v]])) for u, v in zip(us, vs)]
+
+
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> tuple[list[int], list[int]]:
     root = list(range(size))
 
@@ -150,8 +180,12 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     shared = shared.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     shared = shared.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"),
                                  "side": (F.col("own") > F.col("other")).cast("int")})
-    links = shared.select("t", "key", "label", "dim", "lo", "hi", "side", "class_id", "n", "v", "keys").groupBy(
-        "t", "key", "label", "dim", "lo", "hi").applyInPandas(_compare(threshold), "u long, v long, links long")
+    # Comparisons travel in batches of about BATCH_ROWS rows: most are too small for a call of their own.
+    moved = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / F.lit(block)))).first()[0] or 0
+    keys = ["t", "key", "label", "dim", "lo", "hi"]
+    batch = F.pmod(F.xxhash64(*keys), F.lit(int(moved // BATCH_ROWS + 1))).alias("batch")
+    links = shared.select(batch, *keys, "side", "class_id", "n", "v", "keys").groupBy("batch").applyInPandas(
+        _compare(threshold), "u long, v long, links long")
     links = materialise(links, "vector-links")
     counted = links.where("v is null").groupBy("u").agg(F.sum("links").alias("others"))
     parts = components(links.where("v is not null").select("u", "v"))
