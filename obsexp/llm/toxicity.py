@@ -1,13 +1,12 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word prefixes, which catch inflected or lengthened forms. Of all terms only those whose document
-counts among the labelled examples clearly speak for the label enter the vectors (a likelihood-ratio test and a least
-lift); the rest is noise that would drown the cosine of long texts. The examples form an inverted index in blocks with the largest
-weight per term and block. A text visits the blocks in the order of their bounds and stops when no bound can reach its
-k-th best cosine, so the neighbours are exact.
-
-The index is built from a bounded sample of labelled rows (``EXAMPLES_PER_LABEL`` and ``MAX_TERMS``), so it is sent to
-every task; document frequencies come from all documents.
+Terms are words and word prefixes, which catch inflected or lengthened forms. Every term of the examples is in the
+vectors, whichever label it speaks for and however rare it is. Its weight is the idf times a relevance: how much one
+occurrence tells about the label, plus a floor, so that idle words do not drown the cosine of long texts. A text is
+compared with every example that shares a term: frequent terms in one matrix product, the others by their postings.
+
+The examples are a bounded sample of labelled rows (``EXAMPLES_PER_LABEL``), so the index is sent to every task;
+document frequencies come from all documents.
 """
 
 from __future__ import annotations
@@ -29,12 +28,12 @@ from ..session import materialise
 from .common import crc_bucket
 
 EXAMPLES_PER_LABEL = 6000
-MAX_TERMS = 4000
-MIN_G = 30.0  # of the likelihood-ratio statistic: beyond what the best of a million idle terms reaches
-MIN_LIFT = 5.0  # a term must be so many times likelier in toxic examples; common words never are
+FLOOR = 0.01  # the relevance of a term that tells nothing about the label
+DOUBT = 3.0  # a term seen in so many examples has half the relevance of one seen in very many
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK = 64  # texts compared in one product
+COMMON = (0.1, 1024)  # terms in more than this share of the examples, and at most so many, go through the product
 PRIOR_WEIGHT = 0.2
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)  # modulus and remainder of the rows that labels are never learnt from
@@ -53,7 +52,7 @@ def terms_of_word(word: bytes) -> list[bytes]:
 
 
 class Terms(dict):
-    """Which selected terms a word has, remembered per word."""
+    """Which known terms a word has, remembered per word."""
 
     def __init__(self, numbers: dict[bytes, int]):
         super().__init__()
@@ -70,89 +69,126 @@ class Terms(dict):
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        for found in filter(None, map(self.__getitem__, words_of(text))):
-            for t in found:
-                out[t] = out.get(t, 0) + 1
+        for word, n in Counter(words_of(text)).items():
+            for t in self[word]:
+                out[t] = out.get(t, 0) + n
         return out
 
 
-def _g_statistic(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
-    """Likelihood-ratio statistic of term presence against label."""
+def relevance(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """Likelihood-ratio statistic of term presence against label, per occurrence: it does not grow with the sample."""
     total, seen = n_pos + n_neg, pos + neg
 
-    def part(count: Column, of_label: int, of_term: Column) -> Column:
-        return F.when(count > 0, count * F.log(count * total / (of_label * of_term))).otherwise(0.0)
+    def part(count: np.ndarray, of_label: float, of_term: np.ndarray) -> np.ndarray:
+        some = count > 0
+        return np.where(some, count * np.log(np.where(some, count * total, 1.0) / np.where(some, of_label * of_term, 1.0)), 0.0)
 
-    return 2 * (part(pos, n_pos, seen) + part(neg, n_neg, seen)
-                + part(n_pos - pos, n_pos, total - seen) + part(n_neg - neg, n_neg, total - seen))
+    g = 2 * (part(pos, n_pos, seen) + part(neg, n_neg, seen)
+             + part(n_pos - pos, n_pos, total - seen) + part(n_neg - neg, n_neg, total - seen))
+    return FLOOR + np.maximum(g, 0.0) / (seen + DOUBT)
 
 
 @dataclass
 class Index:
-    """Blocks of examples: postings per block, and the largest weight of every term in every block."""
+    """Postings of every term: the examples that hold it, and its weight in their unit vectors."""
 
     terms: Terms
-    idf: np.ndarray
+    weight: np.ndarray  # of each term
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per block: term starts, example within, weight
-    top: np.ndarray  # terms x blocks
-    least_id: np.ndarray  # per block
-    background: float = 0.0  # the score of a text without any selected term
+    starts: np.ndarray  # of each term's postings
+    inside: np.ndarray
+    values: np.ndarray
+    background: float = 0.0  # the score of a text without any known term
+    _product: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def build(cls, terms: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> Index:
+        """``examples``: id, label and term counts."""
+        return cls.of(terms, weight, np.array([i for i, _, _ in examples], np.int64),
+                      np.array([y for _, y, _ in examples], float), np.array([len(c) for _, _, c in examples], np.int64),
+                      np.array([t for _, _, c in examples for t in c], np.int64),
+                      np.array([n for _, _, c in examples for n in c.values()], np.int64))
 
     @classmethod
-    def build(cls, terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """``examples``: id, label and term counts. Examples alike in their main term share a block, for tight bounds."""
-        vectors = [(i, y, _unit(counts, idf)) for i, y, counts in examples]
-        bare = [y for _, y, v in vectors if not v]
+    def of(cls, terms: dict[bytes, int], weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray,
+           t: np.ndarray, n: np.ndarray) -> Index:
+        """``sizes``: how many of the terms ``t`` and their counts ``n`` each example has."""
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        raw = (1.0 + np.log(n)) * weight[t]
+        raw /= np.sqrt(np.bincount(row, raw * raw, len(ids)))[row]
+        order = np.argsort(t, kind="stable")
+        bare = labels[sizes == 0]
         # Texts without a term resemble the examples without one, plus one example of the average kind.
-        mean = sum(y for _, y, _ in vectors) / max(1, len(vectors))
-        vectors = [v for v in vectors if v[2]]
-        vectors.sort(key=lambda v: (max(v[2], key=lambda t: (v[2][t], -t)), v[0]))
-        blocks = [vectors[b:b + BLOCK] for b in range(0, len(vectors), BLOCK)]
-        top = np.zeros((len(idf), len(blocks)))
-        postings = []
-        for b, block in enumerate(blocks):
-            flat = sorted((t, j, w) for j, (_, _, vec) in enumerate(block) for t, w in vec.items())
-            t = np.array([x[0] for x in flat], np.int64)
-            w = np.array([x[2] for x in flat])
-            np.maximum.at(top[:, b], t, w)
-            postings.append((np.searchsorted(t, np.arange(len(idf) + 1)), np.array([x[1] for x in flat], np.int64), w))
-        return cls(Terms(terms), idf, np.array([v[0] for v in vectors], np.int64),
-                   np.array([v[1] for v in vectors], float), postings, top,
-                   np.array([min(v[0] for v in block) for block in blocks], np.int64), (sum(bare) + mean) / (len(bare) + 1))
+        mean = float(labels.mean()) if len(labels) else 0.0
+        return cls(Terms(terms), weight, ids, labels, np.searchsorted(t[order], np.arange(len(weight) + 1)), row[order],
+                   raw[order], (float(bare.sum()) + mean) / (len(bare) + 1))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_product": None}
+
+    def _common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each frequent term in the matrix, -1 for the others; and the matrix, terms x examples."""
+        if self._product is None:
+            share, most = COMMON
+            held = np.diff(self.starts)
+            common = np.flatnonzero(held > share * len(self.ids))
+            common = common[np.argsort(-held[common], kind="stable")[:most]]
+            place = np.full(len(self.weight), -1, np.int64)
+            place[common] = np.arange(len(common))
+            matrix = np.zeros((len(common), len(self.ids)))
+            for j, t in enumerate(common):
+                lo, hi = self.starts[t], self.starts[t + 1]
+                matrix[j, self.inside[lo:hi]] = self.values[lo:hi]
+            self._product = place, matrix
+        return self._product
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each query, as term numbers and weights, with every example."""
+        place, matrix = self._common()
+        known = np.zeros((len(queries), len(matrix)))
+        for i, (t, w) in enumerate(queries):
+            at = place[t]
+            known[i, at[at >= 0]] = w[at >= 0]
+        out = known @ matrix
+        for i, (t, w) in enumerate(queries):
+            rare = place[t] < 0
+            lo, sizes = self.starts[t[rare]], self.starts[t[rare] + 1] - self.starts[t[rare]]
+            flat = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            out[i] += np.bincount(self.inside[flat], np.repeat(w[rare], sizes) * self.values[flat], len(self.ids))
+        return out
+
+    def _best(self, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k highest above 0, ties to the smaller id: cosines and positions."""
+        n = len(cosines)
+        least = np.partition(cosines, n - k)[n - k] if n > k else 0.0
+        # Cosines are compared to twelve digits, so that equal ones tie whatever the order of their sums.
+        at = np.flatnonzero((cosines > 0) & (cosines >= least - 1e-11))
+        found = np.round(cosines[at], 12)
+        order = np.lexsort((self.ids[at], -found))[:k]
+        return found[order], at[order]
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties to the smaller id, as (cosine, position)."""
-        if not query or not self.postings:
-            return []
-        t = np.fromiter(query.keys(), np.int64, len(query))
-        w = np.fromiter(query.values(), float, len(query))
-        # Cosines are compared to twelve digits, so that equal ones tie whatever the order of their sums.
-        bounds = np.round(w @ self.top[t], 12)
-        scores, ids, places = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in np.lexsort((self.least_id, -bounds)):
-            if bounds[b] <= 0 or (len(ids) == k and (bounds[b], -self.least_id[b]) < (scores[-1], -ids[-1])):
-                break
-            starts, inside, weights = self.postings[b]
-            found = np.zeros(BLOCK)
-            for term, weight in zip(t, w):
-                lo, hi = starts[term], starts[term + 1]
-                found[inside[lo:hi]] += weight * weights[lo:hi]
-            hits = np.flatnonzero(found > 0)
-            scores = np.concatenate([scores, np.round(found[hits], 12)])
-            ids, places = np.concatenate([ids, self.ids[b * BLOCK + hits]]), np.concatenate([places, b * BLOCK + hits])
-            order = np.lexsort((ids, -scores))[:k]
-            scores, ids, places = scores[order], ids[order], places[order]
-        return list(zip(scores.tolist(), places.tolist()))
-
-    def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[int]]:
-        """Vote of the neighbours weighted by squared cosine, drawn to the background; and the neighbours' ids."""
-        near = self.nearest(_unit(self.terms.counts(text), self.idf), k)
-        weight = np.array([c * c for c, _ in near])
-        vote = float(sum(w * self.labels[p] for w, (_, p) in zip(weight, near)))
-        value = (vote + PRIOR_WEIGHT * self.background) / (float(weight.sum()) + PRIOR_WEIGHT)
-        return min(1.0, max(0.0, value)), [int(self.ids[p]) for _, p in near]
+        t, w = np.fromiter(query.keys(), np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        cosine, place = self._best(self.cosines([(t, w)])[0], k)
+        return list(zip(cosine.tolist(), place.tolist()))
+
+    def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> Iterator[tuple[float, list[int]]]:
+        """Per text the vote of the neighbours weighted by squared cosine, drawn to the background; and their ids."""
+        for start in range(0, len(texts), BLOCK):
+            queries = []
+            for text in texts[start:start + BLOCK]:
+                counts = self.terms.counts(text)
+                t = np.fromiter(counts.keys(), np.int64, len(counts))
+                raw = (1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weight[t]
+                queries.append((t, raw / (math.sqrt(float(raw @ raw)) or 1.0)))
+            for row in self.cosines(queries):
+                cosine, near = self._best(row, k)
+                weight = cosine * cosine
+                value = (float(weight @ self.labels[near]) + PRIOR_WEIGHT * self.background) / (
+                    float(weight.sum()) + PRIOR_WEIGHT)
+                yield min(1.0, max(0.0, value)), self.ids[near].tolist()
 
 
 def _unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
@@ -218,10 +254,12 @@ def _thinned(examples: DataFrame, size: int = 4, keys: int = 3) -> DataFrame:
     return materialise(rows.select("text", "label", "doc_id"), "toxic-examples")
 
 
-def _document_frequencies(rows: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
-    """In how many of all documents each selected term occurs: one row per task and term moves."""
+def _document_frequencies(rows: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
+    """In how many of all documents each term occurs: one row per task and term moves."""
+    send = rows.sparkSession.sparkContext.broadcast(Terms(terms))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Terms(terms), Counter()
+        known, seen = send.value, Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 seen.update(known.counts(text).keys())
@@ -229,11 +267,13 @@ def _document_frequencies(rows: DataFrame, terms: dict[bytes, int]) -> dict[int,
                                          names=["t", "n"])
 
     counted = rows.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return {r.t: r.n for r in counted.collect()}
+    got, out = counted.toArrow(), np.zeros(len(terms))
+    out[got["t"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",
-        per_label: int = EXAMPLES_PER_LABEL, max_terms: int = MAX_TERMS, min_g: float = MIN_G) -> Index:
+        per_label: int = EXAMPLES_PER_LABEL) -> Index:
     """Index of a bounded sample of labelled rows, none of them held out.
 
     Copies and near copies of an example would make its idle words look meaningful, so they are thinned out first.
@@ -248,16 +288,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         return Index.build({}, np.zeros(0), [])
-    g = _g_statistic(F.col("pos"), F.col("neg"), n_pos, n_neg)
-    lift = F.col("pos") / n_pos >= MIN_LIFT * (F.col("neg") + 0.5) / n_neg
-    chosen = _label_counts(examples).where(lift).withColumn("g", F.round(g, 6)).where(F.col("g") >= min_g)
-    chosen = chosen.orderBy(F.col("g").desc(), "term").limit(max_terms).collect()
-    terms = {bytes(r.term): j for j, r in enumerate(chosen)}
+    chosen = _label_counts(examples).orderBy("term").toArrow()
+    terms = {term: j for j, term in enumerate(chosen["term"].to_pylist())}
+    pos, neg = chosen["pos"].to_numpy().astype(float), chosen["neg"].to_numpy().astype(float)
     total, found = rows.count(), _document_frequencies(rows, terms)
-    idf = np.array([math.log((total + 1) / (found.get(t, 0) + 1)) + 1 for t in range(len(terms))])
+    weight = (np.log((total + 1) / (found + 1)) + 1) * relevance(pos, neg, n_pos, n_neg)
+    send = docs.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(terms)
+        known = send.value
         for batch in batches:
             got = [known.counts(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -265,10 +304,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
                  pa.array([list(c) for c in got], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], names=["doc_id", "label", "t", "n"])
 
-    # The sample's vectors come to the driver: at most 2 * per_label rows of selected terms.
+    # The sample's vectors come to the driver: at most 2 * per_label rows, eight bytes for each term of a text.
     sample = examples.select("doc_id", "label", "text").mapInArrow(
-        vectors, "doc_id long, label int, t array<int>, n array<int>").collect()
-    return Index.build(terms, idf, [(r.doc_id, r.label, dict(zip(r.t, r.n))) for r in sample])
+        vectors, "doc_id long, label int, t array<int>, n array<int>").toArrow().combine_chunks()
+    t, n = (sample[c].combine_chunks() for c in ("t", "n"))
+    return Index.of(terms, weight, sample["doc_id"].to_numpy(), sample["label"].to_numpy().astype(float),
+                    np.diff(t.offsets.to_numpy()), t.flatten().to_numpy(), n.flatten().to_numpy())
 
 
 def scored(docs: DataFrame, index: Index, doc: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (),
@@ -276,12 +317,12 @@ def scored(docs: DataFrame, index: Index, doc: str = "doc_id", text: str = "text
     """``doc_id, score, neighbours`` of every row, plus a struct ``row`` of the ``extra`` columns. No rows move."""
     fields = [F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row")] if extra else []
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *fields)
-    send = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_label and max_terms
+    send = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
         for batch in batches:
-            got = [model.score(t, k) for t in batch.column("text").to_pylist()]
+            got = list(model.scores(batch.column("text").to_pylist(), k))
             arrays = [batch.column("doc_id"), pa.array([s for s, _ in got], pa.float64()),
                       pa.array([e for _, e in got], pa.list_(pa.int64()))]
             names = ["doc_id", "score", "neighbours"]
@@ -304,7 +345,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", tex
                     threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """``doc_id, held_out, score, predicted, neighbours``: one row per document, ``neighbours`` being the evidence.
 
-    Null and empty texts, and texts without a selected term, get the background score and no neighbours. Labels other
+    Null and empty texts, and texts without a word of any example, get the background score and no neighbours. Labels other
     than 0 and 1, null ids and labels of unknown documents are left out; without examples of both labels every score is
     0. Repeated rows get equal scores. Other columns are not read, so their names don't matter.
     """

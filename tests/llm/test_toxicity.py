@@ -63,6 +63,24 @@ def test_held_out_rows_are_told_apart(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.predicted}
 
 
+def test_rare_toxic_words_count_and_clean_texts_have_neighbours(spark):
+    rng = random.Random(3)
+    plain, rude = [f"{a}{b}o" for a in "bdfgk" for b in "lmnrst"], [f"{a}xz{b}" for a in "qwy" for b in "abcdefgh"]
+    docs, labels, truth = [], [], {}
+    for i in range(640):
+        words = rng.choices(plain, k=30)
+        truth[i] = int(i % 8 == 0)
+        if truth[i]:
+            words[3:6] = rng.sample(rude, 3)  # each in about six of 480 examples
+        docs.append((i, " ".join(words), 0.5, 9, "x"))
+        labels.append((i, 1, truth[i]))
+    rows = toxicity.score_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
+    assert all(len(r.neighbours) == toxicity.NEIGHBOURS for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.predicted for r in held if truth[r.doc_id]) >= 0.9 * sum(truth[r.doc_id] for r in held)
+    assert sum(r.predicted for r in held if not truth[r.doc_id]) <= 0.02 * len(held)
+
+
 def test_nulls_empty_texts_repeats_and_no_rows(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", 0.1, 1, "x"), (1, "", 0.1, 1, "x"), (2, "w " * 90000, 0.1, 1, "x")], DOCS)
     none = spark.createDataFrame([], LABELS)
