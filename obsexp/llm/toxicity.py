@@ -6,7 +6,8 @@ occurrence tells about the label, plus a floor, so that idle words do not drown
 compared with every example that shares a term: frequent terms in one matrix product, the others by their postings.
 
 The examples are a bounded sample of labelled rows (``EXAMPLES_PER_LABEL``), so the index is sent to every task;
-document frequencies come from all documents.
+document frequencies come from all documents. Where the sample holds the labels in other shares than the table, the
+examples are weighed back to the table's, in the relevance, the votes and the background.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ class Index:
     weight: np.ndarray  # of each term
     ids: np.ndarray
     labels: np.ndarray
+    votes: np.ndarray  # of each example: the share of its label in the table over that in the sample
     starts: np.ndarray  # of each term's postings
     inside: np.ndarray
     values: np.ndarray
@@ -112,17 +114,18 @@ class Index:
 
     @classmethod
     def of(cls, terms: dict[bytes, int], weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray,
-           t: np.ndarray, n: np.ndarray) -> Index:
-        """``sizes``: how many of the terms ``t`` and their counts ``n`` each example has."""
+           t: np.ndarray, n: np.ndarray, votes: tuple[float, float] = (1.0, 1.0)) -> Index:
+        """``sizes``: how many of the terms ``t`` and their counts ``n`` each example has; ``votes``: of labels 0 and 1."""
+        each = np.where(labels > 0, votes[1], votes[0])
         row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         raw = (1.0 + np.log(n)) * weight[t]
         raw /= np.sqrt(np.bincount(row, raw * raw, len(ids)))[row]
         order = np.argsort(t, kind="stable")
-        bare = labels[sizes == 0]
+        bare = sizes == 0
         # Texts without a term resemble the examples without one, plus one example of the average kind.
-        mean = float(labels.mean()) if len(labels) else 0.0
-        return cls(Terms(terms), weight, ids, labels, np.searchsorted(t[order], np.arange(len(weight) + 1)), row[order],
-                   raw[order], (float(bare.sum()) + mean) / (len(bare) + 1))
+        mean = float(each @ labels / each.sum()) if len(labels) else 0.0
+        return cls(Terms(terms), weight, ids, labels, each, np.searchsorted(t[order], np.arange(len(weight) + 1)), row[order],
+                   raw[order], (float(each[bare] @ labels[bare]) + mean) / (float(each[bare].sum()) + 1))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_product": None}
@@ -175,7 +178,10 @@ class Index:
         return list(zip(cosine.tolist(), place.tolist()))
 
     def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> Iterator[tuple[float, list[int]]]:
-        """Per text the vote of the neighbours weighted by squared cosine, drawn to the background; and their ids."""
+        """Per text the vote of the neighbours weighted by squared cosine, drawn to the background; and their ids.
+
+        The examples' own votes settle the share of toxic ones, the cosines alone how far it outweighs the background.
+        """
         for start in range(0, len(texts), BLOCK):
             queries = []
             for text in texts[start:start + BLOCK]:
@@ -186,8 +192,10 @@ class Index:
             for row in self.cosines(queries):
                 cosine, near = self._best(row, k)
                 weight = cosine * cosine
-                value = (float(weight @ self.labels[near]) + PRIOR_WEIGHT * self.background) / (
-                    float(weight.sum()) + PRIOR_WEIGHT)
+                vote = weight * self.votes[near]
+                share = float(vote @ self.labels[near]) / (float(vote.sum()) or 1.0)
+                total = float(weight.sum())
+                value = (total * share + PRIOR_WEIGHT * self.background) / (total + PRIOR_WEIGHT)
                 yield min(1.0, max(0.0, value)), self.ids[near].tolist()
 
 
@@ -197,15 +205,22 @@ def _unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     return {t: w / norm for t, w in raw.items()} if norm else {}
 
 
-def _sample(labels: DataFrame, doc: str, label: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` labelled ids of each label, in hash order; a repeated id counts once, its larger label."""
+def _sample(labels: DataFrame, doc: str, label: str, per_label: int) -> tuple[DataFrame, tuple[float, float]]:
+    """At most ``per_label`` labelled ids of each label, in hash order; a repeated id counts once, its larger label.
+
+    And for labels 0 and 1 the share among all learnable ids over that among the sampled ones.
+    """
     modulus, remainder = HELD_OUT
     known = labels.where(F.col(doc).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc).alias("doc_id")).agg(
         F.max(label).cast("int").alias("label"))
     known = known.where(crc_bucket("doc_id", modulus) != remainder)
     order = [F.xxhash64(F.lit(5), F.col("doc_id")), F.col("doc_id")]
     picks = [known.where(F.col("label") == y).orderBy(*order).limit(per_label) for y in (0, 1)]
-    return picks[0].unionByName(picks[1])
+    counted = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [counted.get(y, 0) for y in (0, 1)]
+    taken = [min(x, per_label) for x in n]
+    votes = tuple((x / sum(n)) / (m / sum(taken)) if m else 1.0 for x, m in zip(n, taken))
+    return picks[0].unionByName(picks[1]), votes
 
 
 def _label_counts(examples: DataFrame) -> DataFrame:
@@ -280,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # At most 2 * per_label ids of 12 bytes: small enough to send to every task.
-    picked = _sample(labels, doc, label, per_label)
+    picked, votes = _sample(labels, doc, label, per_label)
     examples = rows.join(F.broadcast(picked), "doc_id").groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))
     examples = examples.orderBy(F.xxhash64("doc_id", "text"), "label").limit(2 * per_label)
     examples = _thinned(materialise(examples, "toxic-sample"))
@@ -292,7 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     terms = {term: j for j, term in enumerate(chosen["term"].to_pylist())}
     pos, neg = chosen["pos"].to_numpy().astype(float), chosen["neg"].to_numpy().astype(float)
     total, found = rows.count(), _document_frequencies(rows, terms)
-    weight = (np.log((total + 1) / (found + 1)) + 1) * relevance(pos, neg, n_pos, n_neg)
+    weight = (np.log((total + 1) / (found + 1)) + 1) * relevance(
+        pos * votes[1], neg * votes[0], n_pos * votes[1], n_neg * votes[0])
     send = docs.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
         vectors, "doc_id long, label int, t array<int>, n array<int>").toArrow().combine_chunks()
     t, n = (sample[c].combine_chunks() for c in ("t", "n"))
     return Index.of(terms, weight, sample["doc_id"].to_numpy(), sample["label"].to_numpy().astype(float),
-                    np.diff(t.offsets.to_numpy()), t.flatten().to_numpy(), n.flatten().to_numpy())
+                    np.diff(t.offsets.to_numpy()), t.flatten().to_numpy(), n.flatten().to_numpy(), votes)
 
 
 def scored(docs: DataFrame, index: Index, doc: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (),

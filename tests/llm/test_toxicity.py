@@ -81,6 +81,19 @@ def test_rare_toxic_words_count_and_clean_texts_have_neighbours(spark):
     assert sum(r.predicted for r in held if not truth[r.doc_id]) <= 0.02 * len(held)
 
 
+def test_labels_keep_their_true_shares_in_a_bounded_sample(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}o" for a in "bdfgk" for b in "lmnrst"]
+    docs = [(i, " ".join(rng.choices(words, k=30)) if i else "", 0.5, 9, "x") for i in range(800)]
+    labels = [(i, 1, int(i % 10 == 0)) for i in range(800)]
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    rows = toxicity.score_documents(docs, labels, per_label=40).collect()
+    held = [r.score for r in rows if r.held_out]
+    assert abs(sum(held) / len(held) - 0.1) < 0.04
+    empty, = (r.score for r in rows if r.doc_id == 0)
+    assert empty < 0.3
+
+
 def test_nulls_empty_texts_repeats_and_no_rows(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", 0.1, 1, "x"), (1, "", 0.1, 1, "x"), (2, "w " * 90000, 0.1, 1, "x")], DOCS)
     none = spark.createDataFrame([], LABELS)
