@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 PERIOD_DAYS = 32
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 # host and first path segment; anything without a scheme and a host has neither
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^/?#]*)?"
 
@@ -29,6 +30,18 @@ def folder_of(url: Column) -> Column:
     return F.when(F.length(segment) > 1, F.concat(host_of(url), segment))
 
 
+def path_of(url: Column) -> Column:
+    """``host/a/b``: the host and the whole path, its case kept; null without a path segment."""
+    path = F.regexp_replace(F.regexp_extract(url, PATH, 1), "/+$", "")
+    return F.when(path != "", F.concat(host_of(url), path))
+
+
+def pattern_of(entry: Column) -> Column:
+    """Hosts don't depend on case, paths do; a slash at the end says nothing."""
+    host = F.substring_index(entry, "/", 1)
+    return F.regexp_replace(F.concat(F.lower(host), F.substr(entry, F.length(host) + 1)), "/+$", "")
+
+
 def intervals(entries: DataFrame, horizon: Column | None = None) -> DataFrame:
     """``(pattern, action, valid_from, valid_to)`` from dated entries ``(pattern, action, listed)``.
 
@@ -37,7 +50,7 @@ def intervals(entries: DataFrame, horizon: Column | None = None) -> DataFrame:
     ``block`` beats ``allow``. Entries with a null part or another action are left out, and so is what is removed.
     """
     strength = F.when(F.col("action") == "remove", 3).when(F.col("action") == "block", 2).when(F.col("action") == "allow", 1)
-    daily = entries.select(F.lower("pattern").alias("pattern"), "action", F.col("listed").cast("date").alias("listed"),
+    daily = entries.select(pattern_of(F.col("pattern")).alias("pattern"), "action", F.col("listed").cast("date").alias("listed"),
                            strength.alias("strength")).dropna()
     daily = daily.groupBy("pattern", "listed").agg(F.max_by("action", "strength").alias("action"))
     following = F.lead("listed").over(Window.partitionBy("pattern").orderBy("listed"))
@@ -53,25 +66,30 @@ def judge(captures: DataFrame, entries: DataFrame, page_id: str = "page_id", url
           fetched: str = "fetched") -> DataFrame:
     """``page_id, url, fetched, host, decision, pattern, listed`` of every capture.
 
-    ``decision`` is that of the most specific entry in force on the day of the fetch: the folder, then the host, then
-    its parent domains from long to short; ``default`` without one, with null ``pattern`` and ``listed``. Captures
+    ``decision`` is that of the most specific entry in force on the day of the fetch: the longest path of whole
+    segments, then the host, then its parent domains from long to short; ``default`` without one, with null ``pattern`` and ``listed``. Captures
     without a date or a host are ``default`` too. Repeated rows are judged each. Other columns are not read, so their
     names don't matter.
     """
     rows = captures.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                            F.col(fetched).cast("date").alias("fetched"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "folder": F.coalesce(folder_of(F.col("url")), F.lit(""))})
+    spans = materialise(intervals(entries), "url-list")
+    # Of a path only the lengths that occur in the list can match.
+    depths = sorted(r.n for r in spans.select((F.size(F.split("pattern", "/")) - 1).alias("n")).distinct().collect() if r.n)
+    path = F.substring_index(path_of(F.col("url")), "/", max(depths, default=0) + 1)
+    rows = rows.withColumns({"host": host_of(F.col("url")), "folder": F.coalesce(path, F.lit(""))})
     # Captures of one folder and day are judged once: counts of a frequent host shrink before anything moves.
     asked = rows.where(F.col("host").isNotNull() & F.col("fetched").isNotNull()).select("host", "folder", "fetched").distinct()
     asked = materialise(asked, "url-days")
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    patterns = F.when(F.col("folder") != "", F.concat(F.array("folder"), parents)).otherwise(parents)
+    paths = [F.when(F.size(F.split("folder", "/")) > n, F.substring_index("folder", "/", n + 1)) for n in reversed(depths)]
+    patterns = F.concat(F.array_compact(F.array(*paths)), parents) if paths else parents
     keyed = asked.select("host", "folder", "fetched", F.posexplode(patterns).alias("place", "_key")).withColumn(
         "_period", _period(F.col("fetched")))
     # An open interval ends with the last capture.
     last = asked.agg(F.max("fetched")).first()[0]
-    spans = intervals(entries).withColumn("end", F.coalesce(F.date_sub("valid_to", 1), F.lit(last).cast("date")))
+    spans = spans.withColumn("end", F.coalesce(F.date_sub("valid_to", 1), F.lit(last).cast("date")))
     spans = spans.where("end >= valid_from").select(
         "pattern", "action", "valid_from", "end", F.explode(F.sequence(_period(F.col("valid_from")), _period(F.col("end")))).alias("period"))
     spans = materialise(spans, "url-intervals")

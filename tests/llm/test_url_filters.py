@@ -46,6 +46,17 @@ def test_decisions_match_a_replay(spark):
         assert (r.decision, r.pattern, r.listed) == replay(r.url, r.fetched, entries), r
 
 
+def test_capitals_and_deep_paths(spark):
+    entries = [("A.example.org/Docs", "block", day(1), 1), ("a.example.org/docs", "allow", day(1), 1),
+               ("a.example.org/Docs/open/x", "allow", day(1), 1), ("a.example.org/Docs/old/", "allow", day(1), 1)]
+    want = {"/Docs": ("block", "a.example.org/Docs"), "/Docs/1?q=/open/x": ("block", "a.example.org/Docs"), "/docs/1": ("allow", "a.example.org/docs"),
+            "/DOCS": ("default", None), "/Docs/open": ("block", "a.example.org/Docs"), "/Docs/open/x/y#z": ("allow", "a.example.org/Docs/open/x"),
+            "/Docs/open/xy": ("block", "a.example.org/Docs"), "/Docs/old/": ("allow", "a.example.org/Docs/old"), "//Docs": ("default", None)}
+    captures = [(i, "http://u@A.Example.org:80" + path, day(5), "x", 1) for i, path in enumerate(want)]
+    got = url_filters.judge(spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(entries, ENTRIES)).collect()
+    assert {r.page_id: (r.decision, r.pattern) for r in got} == dict(enumerate(want.values()))
+
+
 def test_nulls_bad_urls_repeats_and_no_rows(spark):
     rows = [(None, None, None, None, None), (1, "no url", day(3), "x", 1), (2, "http://a.b/", None, "x", 1), (3, "http://a.b/", day(3), "x", 1),
             (3, "http://a.b/", day(3), "x", 1), (4, "http://" + "a." * 200 + "b/" + "p" * 50000, day(9), "x", 1)]
