@@ -1,7 +1,7 @@
-"""Secret scans: regular patterns in every text, judged by how many owners share a value across the corpus.
+"""Secret scans: regular patterns in every text, judged by how many owners and documents share a value across the corpus.
 
-A value that turns up under many owners is an example that people copy (documentation, tutorials, default settings); a
-value that one or two owners hold is most likely a live credential. Base patterns are always reported. Opaque tokens
+A value that turns up under many owners, or in many documents of one, is an example that people copy (documentation,
+tutorials, default settings); a value that one or two owners hold in a few documents is most likely a live credential. Base patterns are always reported. Opaque tokens
 that no base pattern covers are reported only if their corpus-wide ownership is narrow.
 
 Everything here is DataFrame functions; no Python runs on the executors.
@@ -28,6 +28,7 @@ BASE = (
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_DISTINCT_CHARS = 8
 MAX_OWNERS = 2
+MAX_DOCS = 10
 KINDS = ("assign", "access", "hex", "owned")
 BLOCK = 256
 SPANS = "array<struct<s:int,k:int,e:int,h:string>>"
@@ -123,17 +124,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("h").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_owners"))
 
 
+def _narrow(max_owners: int, max_docs: int) -> Column:
+    return (F.col("n_owners") <= max_owners) & (F.col("n_docs") <= max_docs)
+
+
 def _of_kind(kind: int) -> Callable[[Column], Column]:
     return lambda x: x["k"] == kind
 
 
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner: str = "source",
-         max_owners: int = MAX_OWNERS) -> DataFrame:
+         max_owners: int = MAX_OWNERS, max_docs: int = MAX_DOCS) -> DataFrame:
     """Spans of every document, with counts of owner-specific and widely copied values.
 
     Columns: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base`` and ``found`` (arrays of start, kind number,
-    end and value hash; ``found`` adds the opaque tokens held by at most ``max_owners`` owners), ``n_live`` and
-    ``n_copied`` (spans whose value has few or many owners).
+    end and value hash; ``found`` adds the opaque tokens held by at most ``max_owners`` owners in at most
+    ``max_docs`` documents), ``n_live`` and ``n_copied`` (spans whose value keeps within both bounds, or doesn't).
 
     Null and empty texts have no spans. A null id or owner counts as one id or owner. Repeated rows each give a row, and
     count once in the ownership. Other columns are not read, so their names don't matter.
@@ -141,12 +146,13 @@ def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner: str =
     found = candidates(docs, doc, text, owner)
     # The texts are read once: what is needed later is small.
     found = materialise(found.withColumn("rid", F.monotonically_increasing_id()), "secret-candidates")
-    owned = materialise(ownership(found), "secret-owners").select(F.col("h").alias("value"), "n_owners")
+    owned = materialise(ownership(found), "secret-owners").select(
+        F.col("h").alias("value"), _narrow(max_owners, max_docs).alias("narrow"))
     each = found.select("rid", F.explode(F.concat("base", "more")).alias("x"))
     judged = each.join(owned, F.col("x.h") == F.col("value")).groupBy("rid").agg(
-        F.collect_list(F.when(F.col("x.k") == len(BASE), F.when(F.col("n_owners") <= max_owners, F.col("x")))).alias("added"),
-        F.count_if(F.col("n_owners") <= max_owners).alias("n_live"),
-        F.count_if(F.col("n_owners") > max_owners).alias("n_copied"))
+        F.collect_list(F.when(F.col("x.k") == len(BASE), F.when(F.col("narrow"), F.col("x")))).alias("added"),
+        F.count_if(F.col("narrow")).alias("n_live"),
+        F.count_if(~F.col("narrow")).alias("n_copied"))
     judged = judged.withColumnRenamed("rid", "jid")
     out = found.join(judged, F.col("rid") == F.col("jid"), "left")
     none = F.array().cast(SPANS)
@@ -164,10 +170,10 @@ def report(docs: DataFrame, **columns) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", doc: str = "doc_id", text: str = "text", owner: str = "source",
-           max_owners: int = MAX_OWNERS) -> DataFrame:
+           max_owners: int = MAX_OWNERS, max_docs: int = MAX_DOCS) -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``, overlapping spans by one. All columns are kept.
 
-    Opaque values are looked up by hash: only the values of few owners that actually occur are joined, per document.
+    Opaque values are looked up by hash: only the values of few owners and documents that actually occur are joined, per document.
     Clean documents come back unchanged, null texts stay null.
     """
     names = docs.columns
@@ -175,7 +181,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", doc: str = "doc_id", text: s
     flat = packed.select("row", F.col("row")[doc].alias("doc_id"), F.col("row")[owner].alias("source"),
                          F.col("row")[text].alias("text"))
     found = stored_texts(candidates(flat, keep=("row",)).withColumn("rid", F.monotonically_increasing_id()), "redact")
-    owned = materialise(ownership(found).where(F.col("n_owners") <= max_owners), "secret-owners")
+    owned = materialise(ownership(found).where(_narrow(max_owners, max_docs)), "secret-owners")
     each = found.select("rid", F.explode("more").alias("x")).join(
         owned.select(F.col("h").alias("value")), F.col("x.h") == F.col("value"))
     added = each.groupBy(F.col("rid").alias("jid")).agg(F.collect_list("x").alias("added"))

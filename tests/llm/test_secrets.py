@@ -57,6 +57,16 @@ def test_opaque_tokens_count_only_when_few_own_them(spark):
     assert got[4].spans == "" and got[4].n_assign == 0
 
 
+def test_a_token_copied_widely_inside_one_source_is_not_live(spark):
+    live, copied = "Zx9/Qw8_Er7-Ty6+Ui5Op4", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
+    df = rows_of(spark, [f"key {live} {copied}"] + [f"see {copied} in {i}" for i in range(30)], ["a"] * 31)
+    got = {r.doc_id: r for r in secrets.report(df).collect()}
+    assert got[0].spans == f"owned:4:{4 + len(live)}" and (got[0].n_live, got[0].n_copied) == (1, 1)
+    assert all(got[i].spans == "" and (got[i].n_live, got[i].n_copied) == (0, 1) for i in range(1, 31))
+    kept = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert kept[0] == f"key [SECRET] {copied}" and kept[1] == f"see {copied} in 0"
+
+
 def test_repeated_rows_nulls_and_no_rows(spark):
     df = spark.createDataFrame([(None, f"x {HEX}", None, "c", 1)] * 3 + [(None, None, None, None, None)], SCHEMA)
     assert sorted(r.n_hex for r in secrets.report(df).collect()) == [0, 1, 1, 1]
