@@ -38,10 +38,9 @@ def score_by_model(
 
 def scored_board(
     scored: DataFrame, keys: Sequence[str], row_id: Sequence[Column | str], replicates: int = 2000, floor: int = 150,
-    method: str = "poisson",
 ) -> DataFrame:
     """Entities with interval, standard error, reliability and shrunk values."""
-    return sh.shrink(bootstrap(scored, keys, "residual", row_id, replicates, floor=floor, method=method))
+    return sh.shrink(bootstrap(scored, keys, "residual", row_id, replicates, floor=floor))
 
 
 def reliability_report(scored: DataFrame, keys: Sequence[str], date: str, sequence: Sequence[str], floor: int = 150) -> DataFrame:

@@ -99,7 +99,7 @@ def route_outcomes(spark, folder):
 
 @query("ingest_status", f"""WITH {_ROUTE}, l AS (SELECT 'u' || user_id::VARCHAR AS file FROM events GROUP BY 1 UNION ALL SELECT 'c' || c_custkey::VARCHAR FROM customer)
 SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS extracted, count(*) FILTER (WHERE status = 'empty') AS empty, count(*) FILTER (WHERE status IS NULL OR status = 'failed') AS remaining,
-  sum(r)::BIGINT AS rows, count(*) FILTER (WHERE status = 'failed') AS open_failures FROM l LEFT JOIN s USING (file)""")
+  coalesce(sum(r) FILTER (WHERE status = 'ok'), 0)::BIGINT AS rows, count(*) FILTER (WHERE status = 'failed') AS open_failures FROM l LEFT JOIN s USING (file)""")
 def ingest_status(spark, folder):
     units = lg.route_outcomes(_units(spark, folder))
     listing = units.select("file").unionByName(
