@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_text, katz, mixing, near_dedup, pieces, secrets, toxicity, url_filters
+from . import ann, byte_pairs, embedding_dedup, html_text, katz, mixing, near_dedup, pieces, secrets, toxicity, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,13 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(table(spark, folder, "documents"))
 
 
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    out = byte_pairs.encode_documents(table(spark, folder, "documents"), decoded=True)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
