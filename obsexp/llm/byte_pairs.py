@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Encoded matches remembered by one task; the memory is emptied when full, and long matches stay out of it.
-MEMORY_MATCHES, MEMORY_BYTES = 300_000, 64
+MEMORY_MATCHES, MEMORY_BYTES = 1_000_000, 64
 # A leaf without a pair. Real leaves are rank << SHIFT | position, so the smallest is the leftmost of the lowest rank.
 SHIFT = 32
 NONE = (1 << 62)
@@ -37,50 +37,40 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 
 def merge(match: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one match: lowest rank first, leftmost on ties. Every single byte must have a rank."""
-    n = len(match)
+    n, rank_of = len(match), ranks.get
     if n == 1:
         return [ranks[match]]
     size = 1 << (n - 1).bit_length()
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the live neighbours' first bytes
     tree = [NONE] * (2 * size)
     for i in range(n - 1):
-        rank = ranks.get(match[i:i + 2])
+        rank = rank_of(match[i:i + 2])
         if rank is not None:
             tree[size + i] = rank << SHIFT | i
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-
-    def update(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-            k >>= 1
-
-    def pair(i: int) -> int:
-        """The leaf of the pair that starts at ``i``."""
-        middle = after[i]
-        if middle >= n:
-            return NONE
-        rank = ranks.get(match[i:after[middle]])
-        return NONE if rank is None else rank << SHIFT | i
-
-    while tree[1] < NONE:
-        i = tree[1] & ((1 << SHIFT) - 1)
-        gone = after[i]
-        after[i] = after[gone]
-        if after[gone] < n:
-            before[after[gone]] = i
-        update(gone, NONE)
-        update(i, pair(i))
-        if before[i] >= 0:
-            update(before[i], pair(before[i]))
+    after, before = list(range(1, n + 1)), list(range(-1, n))  # the live neighbours' first bytes
+    least = tree[1]
+    while least < NONE:
+        i = least & ((1 << SHIFT) - 1)
+        gone, first = after[i], before[i]
+        end = after[i] = after[gone]
+        before[end] = i
+        # The pair that started at the joined neighbour goes; those that start here and before get their new ranks.
+        rank = rank_of(match[i:after[end]]) if end < n else None
+        leaves = [(gone, NONE), (i, NONE if rank is None else rank << SHIFT | i)]
+        if first >= 0:
+            rank = rank_of(match[first:end])
+            leaves.append((first, NONE if rank is None else rank << SHIFT | first))
+        for leaf, value in leaves:
+            k = size + leaf
+            while k and tree[k] != value:
+                tree[k] = value
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+        least = tree[1]
     out, i = [], 0
     while i < n:
         out.append(ranks[match[i:after[i]]])
