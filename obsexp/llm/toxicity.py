@@ -1,13 +1,17 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
-Terms are words and word prefixes, which catch inflected or lengthened forms. Every term of the examples is in the
-vectors, whichever label it speaks for and however rare it is. Its weight is the idf times a relevance: how much one
-occurrence tells about the label, plus a floor, so that idle words do not drown the cosine of long texts. A text is
-compared with every example that shares a term: frequent terms in one matrix product, the others by their postings.
+Terms are stems, the first four characters of a word, which keeps inflected and lengthened forms together. Weights are
+plain tf-idf; document frequencies come from all documents.
 
-The examples are a bounded sample of labelled rows (``EXAMPLES_PER_LABEL``), so the index is sent to every task;
-document frequencies come from all documents. Where the sample holds the labels in other shares than the table, the
-examples are weighed back to the table's, in the relevance, the votes and the background.
+The examples are ordered so that similar ones stand together (halved again and again along their main direction) and cut
+into blocks. A term's postings are kept by block, with the largest weight in each. The sums of these maxima bound every
+cosine of a block: the blocks of the highest bounds are scored first, and a block whose bound stays below the k-th best
+cosine so far is never opened.
+
+The neighbours' votes count by squared cosine. Their share is calibrated by isotonic regression on the examples, each
+scored by all others, so that a score is the share of toxic ones among texts with such neighbours. The examples are a
+bounded sample of labelled rows (``EXAMPLES_PER_LABEL``); where it holds the labels in other shares than the table, votes
+and calibration weigh them back.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +32,16 @@ from pyspark.sql import types as T
 from ..session import materialise
 from .common import crc_bucket
 
-EXAMPLES_PER_LABEL = 6000
-FLOOR = 0.01  # the relevance of a term that tells nothing about the label
-DOUBT = 3.0  # a term seen in so many examples has half the relevance of one seen in very many
-PREFIXES = (4, 5, 6)
+EXAMPLES_PER_LABEL = 2500
+STEM = 4
+# Bounds of the index in bytes: stems known at all (those in most examples), and stems of one example (its heaviest).
+MAX_TERMS, MAX_TERMS_PER_EXAMPLE = 100_000, 2000
 NEIGHBOURS = 25
-BLOCK = 64  # texts compared in one product
-COMMON = (0.1, 1024)  # terms in more than this share of the examples, and at most so many, go through the product
+BLOCK = 128  # examples of one block
+FIRST_BLOCKS = 4  # scored before any is left out
+# Terms in more than this share of the examples, and at most so many, stand in one small matrix for each block instead.
+COMMON = (0.05, 512)
+BATCH_TEXTS = 64  # searched together: a block's matrix is read once for all that open it
 PRIOR_WEIGHT = 0.2
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)  # modulus and remainder of the rows that labels are never learnt from
@@ -47,205 +54,247 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(TO_SPACE).split()
 
 
-def terms_of_word(word: bytes) -> list[bytes]:
-    """The word itself and its proper prefixes, ended by ``*``."""
-    return [word, *[word[:size] + b"*" for size in PREFIXES if len(word) > size]]
+def stem_of(word: bytes) -> bytes:
+    return word if len(word) <= STEM else word.decode("utf-8")[:STEM].encode("utf-8")
 
 
-class Terms(dict):
-    """Which known terms a word has, remembered per word."""
+class Stems(dict):
+    """The number of each word's stem, -1 for unknown ones, remembered per word."""
 
-    def __init__(self, numbers: dict[bytes, int]):
+    def __init__(self, terms: list[bytes]):
         super().__init__()
-        self.numbers = numbers
+        self.numbers = {t: i for i, t in enumerate(terms)}
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY_WORDS:
             self.clear()
-        found = self[word] = tuple(self.numbers[t] for t in terms_of_word(word) if t in self.numbers)
+        found = self[word] = self.numbers.get(stem_of(word), -1)
         return found
 
-    def __reduce__(self):
-        return Terms, (self.numbers,)
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for word, n in Counter(words_of(text)).items():
-            for t in self[word]:
-                out[t] = out.get(t, 0) + n
-        return out
-
-
-def relevance(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
-    """Likelihood-ratio statistic of term presence against label, per occurrence: it does not grow with the sample."""
-    total, seen = n_pos + n_neg, pos + neg
-
-    def part(count: np.ndarray, of_label: float, of_term: np.ndarray) -> np.ndarray:
-        some = count > 0
-        return np.where(some, count * np.log(np.where(some, count * total, 1.0) / np.where(some, of_label * of_term, 1.0)), 0.0)
-
-    g = 2 * (part(pos, n_pos, seen) + part(neg, n_neg, seen)
-             + part(n_pos - pos, n_pos, total - seen) + part(n_neg - neg, n_neg, total - seen))
-    return FLOOR + np.maximum(g, 0.0) / (seen + DOUBT)
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's known stems, ascending, and how often each occurs."""
+        words = words_of(text)
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.unique(found[found >= 0], return_counts=True)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def arrange(sizes: np.ndarray, terms: np.ndarray, values: np.ndarray, n_terms: int, block: int) -> np.ndarray:
+    """Rows in an order that puts similar ones together: halves along the main direction, down to one block."""
+    ends = np.cumsum(sizes)
+    starts, out, todo = ends - sizes, [], [np.arange(len(sizes))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= block:
+            out.append(rows)
+            continue
+        flat = _ranges(starts[rows], sizes[rows])
+        line, t, v = np.repeat(np.arange(len(rows)), sizes[rows]), terms[flat], values[flat]
+        x = np.cos(np.arange(len(rows)) + 1.0)
+        for _ in range(5):
+            x = x - x.mean()
+            x /= np.sqrt(x @ x) or 1.0
+            x = np.bincount(line, v * np.bincount(t, v * x[line], n_terms)[t], len(rows))
+        rows = rows[np.argsort(x, kind="stable")]
+        half = (len(rows) + block - 1) // block // 2 * block
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 @dataclass
 class Index:
-    """Postings of every term: the examples that hold it, and its weight in their unit vectors."""
+    """Examples in blocks. Arrays and byte strings only, so that it travels without this package."""
 
-    terms: Terms
-    weight: np.ndarray  # of each term
+    terms: list[bytes]
+    idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     votes: np.ndarray  # of each example: the share of its label in the table over that in the sample
-    starts: np.ndarray  # of each term's postings
-    inside: np.ndarray
+    largest: np.ndarray  # terms x blocks: the largest weight, rounded up
+    common: np.ndarray  # of each term: its line in the blocks' matrices, or -1
+    matrices: np.ndarray  # blocks x common terms x examples of a block
+    starts: np.ndarray  # terms x (blocks + 1): where the term's postings of a block start
+    inside: np.ndarray  # postings by term, then example: the example and its weight
     values: np.ndarray
-    background: float = 0.0  # the score of a text without any known term
-    _product: tuple[np.ndarray, np.ndarray] | None = None
+    background: float = 0.0  # the score of a text without a known term
+    knots: np.ndarray = field(default_factory=lambda: np.zeros(0))  # calibration: from this raw score on ...
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0))  # ... this score
 
     @classmethod
-    def build(cls, terms: dict[bytes, int], weight: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """``examples``: id, label and term counts."""
-        return cls.of(terms, weight, np.array([i for i, _, _ in examples], np.int64),
-                      np.array([y for _, y, _ in examples], float), np.array([len(c) for _, _, c in examples], np.int64),
-                      np.array([t for _, _, c in examples for t in c], np.int64),
-                      np.array([n for _, _, c in examples for n in c.values()], np.int64))
-
-    @classmethod
-    def of(cls, terms: dict[bytes, int], weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray,
-           t: np.ndarray, n: np.ndarray, votes: tuple[float, float] = (1.0, 1.0)) -> Index:
+    def of(cls, terms: list[bytes], idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, t: np.ndarray,
+           n: np.ndarray, votes: tuple[float, float] = (1.0, 1.0), block: int = BLOCK) -> Index:
         """``sizes``: how many of the terms ``t`` and their counts ``n`` each example has; ``votes``: of labels 0 and 1."""
         each = np.where(labels > 0, votes[1], votes[0])
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        raw = (1.0 + np.log(n)) * weight[t]
-        raw /= np.sqrt(np.bincount(row, raw * raw, len(ids)))[row]
-        order = np.argsort(t, kind="stable")
-        bare = sizes == 0
-        # Texts without a term resemble the examples without one, plus one example of the average kind.
+        row = np.repeat(np.arange(len(ids)), sizes)
+        raw = n * idf[t]
+        raw = raw / np.sqrt(np.maximum(np.bincount(row, raw * raw, len(ids)), 1e-300))[row]
+        order = arrange(sizes, t, raw, len(idf), block)
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        some = raw > 0
+        row, t, raw = place[row[some]], t[some], raw[some]
+        by = np.lexsort((row, t))
+        row, t, raw = row[by], t[by], raw[by]
+        n_blocks = -(-len(ids) // block)
+        pair = t * n_blocks + row // block
+        starts = np.searchsorted(pair, np.arange(len(idf) * n_blocks + 1)).astype(np.int32)
+        largest = np.zeros(len(idf) * n_blocks, np.float32)
+        held = np.flatnonzero(starts[1:] > starts[:-1])
+        if len(held):
+            largest[held] = np.nextafter(np.maximum.reduceat(raw, starts[held]).astype(np.float32), np.float32(2))
+        bare = np.bincount(row, minlength=len(ids)) == 0
+        labels, each = labels[order].astype(float), each[order]
         mean = float(each @ labels / each.sum()) if len(labels) else 0.0
-        return cls(Terms(terms), weight, ids, labels, each, np.searchsorted(t[order], np.arange(len(weight) + 1)), row[order],
-                   raw[order], (float(each[bare] @ labels[bare]) + mean) / (float(each[bare].sum()) + 1))
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_product": None}
-
-    def _common(self) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each frequent term in the matrix, -1 for the others; and the matrix, terms x examples."""
-        if self._product is None:
-            share, most = COMMON
-            held = np.diff(self.starts)
-            common = np.flatnonzero(held > share * len(self.ids))
-            common = common[np.argsort(-held[common], kind="stable")[:most]]
-            place = np.full(len(self.weight), -1, np.int64)
-            place[common] = np.arange(len(common))
-            matrix = np.zeros((len(common), len(self.ids)))
-            for j, t in enumerate(common):
-                lo, hi = self.starts[t], self.starts[t + 1]
-                matrix[j, self.inside[lo:hi]] = self.values[lo:hi]
-            self._product = place, matrix
-        return self._product
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of each query, as term numbers and weights, with every example."""
-        place, matrix = self._common()
-        known = np.zeros((len(queries), len(matrix)))
-        for i, (t, w) in enumerate(queries):
-            at = place[t]
-            known[i, at[at >= 0]] = w[at >= 0]
-        out = known @ matrix
+        # Texts without a term resemble the examples without one, plus one example of the average kind.
+        background = (float(each[bare] @ labels[bare]) + mean) / (float(each[bare].sum()) + 1)
+        at = np.arange(len(idf))[:, None] * n_blocks + np.arange(n_blocks + 1)
+        starts = starts[at]
+        share, most = COMMON
+        holders = starts[:, -1] - starts[:, 0]
+        lines = np.argsort(-holders, kind="stable")[:min(most, int((holders > share * len(ids)).sum()))]
+        common = np.full(len(idf), -1, np.int32)
+        common[lines] = np.arange(len(lines))
+        matrices = np.zeros((n_blocks, len(lines), block))
+        line = common[t]
+        matrices[row[line >= 0] // block, line[line >= 0], row[line >= 0] % block] = raw[line >= 0]
+        return cls(terms, idf, ids[order], labels, each, largest.reshape(len(idf), n_blocks), common, matrices, starts, row, raw, background)
+
+    def parts(self) -> tuple:
+        return tuple(getattr(self, f.name) for f in fields(self))
+
+
+class Scorer:
+    """Searches an index; counts the blocks that could hold a neighbour (``met``) and those opened."""
+
+    def __init__(self, index: Index):
+        self.index = index
+        self.stems = Stems(index.terms)
+        self.place = {int(i): p for p, i in enumerate(index.ids)}
+        self.met = self.opened = 0
+
+    def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the text and their weights, of length 1."""
+        t, n = self.stems.counts(text)
+        w = n * self.index.idf[t]
+        t, w = t[w > 0], w[w > 0]
+        return t, w / (math.sqrt(float(w @ w)) or 1.0)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int,
+                without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query the cosines above 0 and positions of its k nearest examples, ties to the smaller id.
+
+        ``without`` names one example per query that is left out.
+        """
+        x = self.index
+        n_blocks, n_common, block = x.matrices.shape
+        known, bound = np.zeros((len(queries), n_common)), np.zeros((len(queries), n_blocks))
+        rare = []
         for i, (t, w) in enumerate(queries):
-            rare = place[t] < 0
-            lo, sizes = self.starts[t[rare]], self.starts[t[rare] + 1] - self.starts[t[rare]]
-            flat = np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            out[i] += np.bincount(self.inside[flat], np.repeat(w[rare], sizes) * self.values[flat], len(self.ids))
-        return out
-
-    def _best(self, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k highest above 0, ties to the smaller id: cosines and positions."""
-        n = len(cosines)
-        least = np.partition(cosines, n - k)[n - k] if n > k else 0.0
-        # Cosines are compared to twelve digits, so that equal ones tie whatever the order of their sums.
-        at = np.flatnonzero((cosines > 0) & (cosines >= least - 1e-11))
-        found = np.round(cosines[at], 12)
-        order = np.lexsort((self.ids[at], -found))[:k]
-        return found[order], at[order]
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k examples of highest cosine above 0, ties to the smaller id, as (cosine, position)."""
-        t, w = np.fromiter(query.keys(), np.int64, len(query)), np.fromiter(query.values(), float, len(query))
-        cosine, place = self._best(self.cosines([(t, w)])[0], k)
-        return list(zip(cosine.tolist(), place.tolist()))
-
-    def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> Iterator[tuple[float, list[int]]]:
-        """Per text the vote of the neighbours weighted by squared cosine, drawn to the background; and their ids.
-
-        The examples' own votes settle the share of toxic ones, the cosines alone how far it outweighs the background.
+            lines = x.common[t]
+            known[i, lines[lines >= 0]] = w[lines >= 0]
+            rare.append((x.starts[t[lines < 0]], w[lines < 0]))
+            bound[i] = w @ x.largest[t]
+        cosine = np.zeros((len(queries), n_blocks * block))
+
+        def score(chosen: np.ndarray) -> None:
+            """Cosines of the examples in the blocks marked in ``chosen``, queries x blocks."""
+            for b in np.flatnonzero(chosen.any(axis=0)):
+                who = np.flatnonzero(chosen[:, b])
+                cosine[who, b * block:(b + 1) * block] = known[who] @ x.matrices[b]
+            for i, (starts, w) in enumerate(rare):
+                at = np.flatnonzero(chosen[i])
+                low = starts[:, at]
+                length = (starts[:, at + 1] - low).ravel()
+                flat = _ranges(low.ravel(), length)
+                weight = np.repeat(np.repeat(w, len(at)), length)
+                cosine[i] += np.bincount(x.inside[flat], weight * x.values[flat], cosine.shape[1])
+            if without is not None:
+                cosine[np.arange(len(queries)), without] = 0.0
+
+        could = bound > 0
+        first = np.zeros(bound.shape, bool)
+        highest = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        np.put_along_axis(first, highest, True, axis=1)
+        first &= could
+        score(first)
+        least = np.partition(cosine, -k, axis=1)[:, -k] if cosine.shape[1] >= k else np.zeros(len(queries))
+        rest = could & ~first & (bound >= least[:, None] - 1e-6)
+        score(rest)
+        self.met += int(could.sum())
+        self.opened += int(first.sum() + rest.sum())
+        for row in cosine:
+            # Cosines are compared to twelve digits, so that equal ones tie whatever the order of their sums.
+            least = np.partition(row, -k)[-k] if len(row) > k else 0.0
+            at = np.flatnonzero((row > 0) & (row >= least - 1e-11))
+            found = np.round(row[at], 12)
+            order = np.lexsort((x.ids[at], -found))[:k]
+            yield found[order], at[order]
+
+    def raw(self, texts: list[str | None], k: int, own: list[int] | None = None) -> Iterator[tuple[float | None, list[int]]]:
+        """Per text the neighbours' share of toxic votes, drawn to the background, and their ids; no share without neighbours.
+
+        ``own`` are the ids of texts that are examples themselves and no neighbours of their own.
         """
-        for start in range(0, len(texts), BLOCK):
-            queries = []
-            for text in texts[start:start + BLOCK]:
-                counts = self.terms.counts(text)
-                t = np.fromiter(counts.keys(), np.int64, len(counts))
-                raw = (1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weight[t]
-                queries.append((t, raw / (math.sqrt(float(raw @ raw)) or 1.0)))
-            for row in self.cosines(queries):
-                cosine, near = self._best(row, k)
+        x = self.index
+        for i in range(0, len(texts), BATCH_TEXTS):
+            without = None if own is None else [self.place[j] for j in own[i:i + BATCH_TEXTS]]
+            for cosine, near in self.nearest([self.query(t) for t in texts[i:i + BATCH_TEXTS]], k, without):
+                if not len(near):
+                    yield None, []
+                    continue
                 weight = cosine * cosine
-                vote = weight * self.votes[near]
-                share = float(vote @ self.labels[near]) / (float(vote.sum()) or 1.0)
-                total = float(weight.sum())
-                value = (total * share + PRIOR_WEIGHT * self.background) / (total + PRIOR_WEIGHT)
-                yield min(1.0, max(0.0, value)), self.ids[near].tolist()
-
-
-def _unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1.0 + math.log(n)) * float(idf[t]) for t, n in counts.items()}
-    norm = math.sqrt(sum(w * w for w in raw.values()))
-    return {t: w / norm for t, w in raw.items()} if norm else {}
+                vote = weight * x.votes[near]
+                # The votes settle the share of toxic ones, the cosines alone how far it outweighs the background.
+                share, total = float(vote @ x.labels[near]) / (float(vote.sum()) or 1.0), float(weight.sum())
+                yield (total * share + PRIOR_WEIGHT * x.background) / (total + PRIOR_WEIGHT), x.ids[near].tolist()
 
-
-def _sample(labels: DataFrame, doc: str, label: str, per_label: int) -> tuple[DataFrame, tuple[float, float]]:
+    def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> Iterator[tuple[float, list[int]]]:
+        """Per text the calibrated score and the ids of the neighbours."""
+        x = self.index
+        for value, near in self.raw(texts, k):
+            if value is None:
+                value = x.background
+            elif len(x.knots):
+                value = float(x.levels[max(0, int(np.searchsorted(x.knots, value + 1e-12, side="right")) - 1)])
+            yield min(1.0, max(0.0, value)), near
+
+
+def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rising steps closest to the labels: where each begins, and its level. A step counts one average row on top."""
+    steps: list[list[float]] = []
+    order = np.argsort(raw, kind="stable")
+    for x, y, w in zip(raw[order].tolist(), label[order].tolist(), weight[order].tolist()):
+        steps.append([x, y * w, w])
+        while len(steps) > 1 and (steps[-2][0] == steps[-1][0] or steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]):
+            _, s, w = steps.pop()
+            steps[-1][1] += s
+            steps[-1][2] += w
+    levels = np.array([(s + mean) / (w + 1) for _, s, w in steps])
+    return np.array([x for x, _, _ in steps]), np.maximum.accumulate(levels) if len(levels) else levels
+
+
+def _sample(labels: DataFrame, doc: str, label: str, per_label: int) -> tuple[DataFrame, list[int]]:
     """At most ``per_label`` labelled ids of each label, in hash order; a repeated id counts once, its larger label.
 
-    And for labels 0 and 1 the share among all learnable ids over that among the sampled ones.
+    And how many learnable ids have label 0 and 1.
     """
     modulus, remainder = HELD_OUT
-    known = labels.where(F.col(doc).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc).alias("doc_id")).agg(
+    known = labels.where(F.col(doc).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc).cast("long").alias("doc_id")).agg(
         F.max(label).cast("int").alias("label"))
-    known = known.where(crc_bucket("doc_id", modulus) != remainder)
+    known = materialise(known.where(crc_bucket("doc_id", modulus) != remainder), "learnable-ids")
     order = [F.xxhash64(F.lit(5), F.col("doc_id")), F.col("doc_id")]
     picks = [known.where(F.col("label") == y).orderBy(*order).limit(per_label) for y in (0, 1)]
     counted = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = [counted.get(y, 0) for y in (0, 1)]
-    taken = [min(x, per_label) for x in n]
-    votes = tuple((x / sum(n)) / (m / sum(taken)) if m else 1.0 for x, m in zip(n, taken))
-    return picks[0].unionByName(picks[1]), votes
-
-
-def _label_counts(examples: DataFrame) -> DataFrame:
-    """Per term: in how many examples of each label it occurs (``neg``, ``pos``). Counted inside a task before rows move."""
-    def batch_of(seen: dict[bytes, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *[
-            pa.array([c[y] for c in seen.values()], pa.int64()) for y in (0, 1)]], names=["term", "neg", "pos"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
-        for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                for t in {t for w in words_of(text) for t in terms_of_word(w)}:
-                    seen.setdefault(t, [0, 0])[y] += 1
-            if len(seen) > 300_000:
-                yield batch_of(seen)
-                seen = {}
-        yield batch_of(seen)
-
-    counted = examples.select("text", "label").mapInArrow(run, "term binary, neg long, pos long")
-    return counted.groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    return picks[0].unionByName(picks[1]), [counted.get(y, 0) for y in (0, 1)]
 
 
 def _thinned(examples: DataFrame, size: int = 4, keys: int = 3) -> DataFrame:
-    """Stored: one example for each smallest hash of its word shingles, for several hashes in turn.
+    """Stored: one example of each label for each smallest hash of its word shingles, for several hashes in turn.
 
     Near copies share a smallest hash as often as they share shingles; unrelated texts hardly ever do.
     """
@@ -264,93 +313,128 @@ def _thinned(examples: DataFrame, size: int = 4, keys: int = 3) -> DataFrame:
     names = [f"k{k}" for k in range(keys)]
     rows = examples.mapInArrow(run, "text string, label int, doc_id long, " + ", ".join(f"{n} long" for n in names))
     for name in names:
-        whole = F.struct("doc_id", "text", "label", *[n for n in names if n != name])
-        rows = rows.groupBy(name).agg(F.min(whole).alias("x")).select(name, "x.*")
-    return materialise(rows.select("text", "label", "doc_id"), "toxic-examples")
+        whole = F.struct("doc_id", "text", *[n for n in names if n != name])
+        rows = rows.groupBy("label", name).agg(F.min(whole).alias("x")).select("label", name, "x.*")
+    # An id may stand for several texts; each example has an id of its own.
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("label", "text")).alias("x"))
+    return materialise(rows.select("x.text", "x.label", "doc_id"), "toxic-examples")
 
 
-def _document_frequencies(rows: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
-    """In how many of all documents each term occurs: one row per task and term moves."""
-    send = rows.sparkSession.sparkContext.broadcast(Terms(terms))
+def _vocabulary(examples: DataFrame) -> list[bytes]:
+    """The stems of most examples, at most MAX_TERMS, counted inside a task before rows move."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update({stem_of(w) for w in words_of(text)})
+            if len(seen) > MAX_TERMS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+                seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+    counted = examples.select("text").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return sorted(counted.orderBy(F.desc("n"), "term").limit(MAX_TERMS).select("term").toArrow()["term"].to_pylist())
+
+
+def _document_frequencies(rows: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
+    """The number of all documents, and in how many of them each term occurs: one row per task and term moves."""
+    send = rows.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = send.value, Counter()
+        stems, total = Stems(send.value), 0
+        held = np.zeros(len(send.value), np.int64)
         for batch in batches:
+            total += batch.num_rows
             for text in batch.column("text").to_pylist():
-                seen.update(known.counts(text).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())],
+                held[stems.counts(text)[0]] += 1
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(held[some], total))],
                                          names=["t", "n"])
 
-    counted = rows.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    got, out = counted.toArrow(), np.zeros(len(terms))
-    out[got["t"].to_numpy()] = got["n"].to_numpy()
-    return out
+    got = rows.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[got["t"].to_numpy()] = got["n"].to_numpy()  # the total stands at -1, the last place
+    return int(out[-1]), out[:-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic",
-        per_label: int = EXAMPLES_PER_LABEL) -> Index:
-    """Index of a bounded sample of labelled rows, none of them held out.
+        per_label: int = EXAMPLES_PER_LABEL, k: int = NEIGHBOURS) -> Index:
+    """Index of a bounded sample of labelled rows, none of them held out, with its calibration.
 
-    Copies and near copies of an example would make its idle words look meaningful, so they are thinned out first.
+    Copies and near copies of one label would vote many times, so they are thinned out first.
     """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    picked, learnable = _sample(labels, doc, label, per_label)
     # At most 2 * per_label ids of 12 bytes: small enough to send to every task.
-    picked, votes = _sample(labels, doc, label, per_label)
     examples = rows.join(F.broadcast(picked), "doc_id").groupBy("text", "label").agg(F.min("doc_id").alias("doc_id"))
     examples = examples.orderBy(F.xxhash64("doc_id", "text"), "label").limit(2 * per_label)
     examples = _thinned(materialise(examples, "toxic-sample"))
     sizes = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_pos or not n_neg:
-        return Index.build({}, np.zeros(0), [])
-    chosen = _label_counts(examples).orderBy("term").toArrow()
-    terms = {term: j for j, term in enumerate(chosen["term"].to_pylist())}
-    pos, neg = chosen["pos"].to_numpy().astype(float), chosen["neg"].to_numpy().astype(float)
-    total, found = rows.count(), _document_frequencies(rows, terms)
-    weight = (np.log((total + 1) / (found + 1)) + 1) * relevance(
-        pos * votes[1], neg * votes[0], n_pos * votes[1], n_neg * votes[0])
-    send = docs.sparkSession.sparkContext.broadcast(Terms(terms))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = send.value
+    kept = [sizes.get(y, 0) for y in (0, 1)]
+    if not all(kept):
+        return Index.of([], np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    votes = tuple((n / sum(learnable)) / (m / sum(kept)) for n, m in zip(learnable, kept))
+    terms = _vocabulary(examples)
+    total, held = _document_frequencies(rows, terms)
+    idf = np.log((total + 1) / (held + 1))
+    index = Index.of(terms, idf, *_example_vectors(examples, terms, idf), votes)
+    # Each example scored by all others; a row per example comes back.
+    scored_ = _mapped(examples, index, lambda scorer, texts, own: [g[:1] for g in scorer.raw(texts, k, own)], "raw double", ("doc_id", "label"), True)
+    got = scored_.where("raw is not null").toArrow()
+    raw, y = got["raw"].to_numpy(), got["label"].to_numpy().astype(float)
+    weight = np.where(y > 0, votes[1], votes[0])
+    index.knots, index.levels = isotonic(raw, y, weight, float(weight @ y / weight.sum()) if len(y) else 0.0)
+    return index
+
+
+def _example_vectors(examples: DataFrame, terms: list[bytes], idf: np.ndarray) -> tuple:
+    """Ids, labels, sizes, terms and counts of the examples, on the driver: at most MAX_TERMS_PER_EXAMPLE entries each."""
+    send = examples.sparkSession.sparkContext.broadcast((terms, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight = send.value
+        stems = Stems(known)
         for batch in batches:
-            got = [known.counts(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"),
-                 pa.array([list(c) for c in got], pa.list_(pa.int32())),
-                 pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], names=["doc_id", "label", "t", "n"])
+            ts, ns = [], []
+            for text in batch.column("text").to_pylist():
+                t, n = stems.counts(text)
+                heaviest = np.sort(np.argsort(-n * weight[t], kind="stable")[:MAX_TERMS_PER_EXAMPLE])
+                ts.append(t[heaviest].astype(np.int32))
+                ns.append(n[heaviest].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(ts, pa.list_(pa.int32())),
+                                              pa.array(ns, pa.list_(pa.int32()))], names=["doc_id", "label", "t", "n"])
 
-    # The sample's vectors come to the driver: at most 2 * per_label rows, eight bytes for each term of a text.
-    sample = examples.select("doc_id", "label", "text").mapInArrow(
-        vectors, "doc_id long, label int, t array<int>, n array<int>").toArrow().combine_chunks()
-    t, n = (sample[c].combine_chunks() for c in ("t", "n"))
-    return Index.of(terms, weight, sample["doc_id"].to_numpy(), sample["label"].to_numpy().astype(float),
-                    np.diff(t.offsets.to_numpy()), t.flatten().to_numpy(), n.flatten().to_numpy(), votes)
+    got = examples.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, t array<int>, n array<int>").toArrow()
+    got = got.sort_by("doc_id").combine_chunks()
+    t, n = got["t"].combine_chunks(), got["n"].combine_chunks()
+    return (got["doc_id"].to_numpy(), got["label"].to_numpy().astype(float), np.diff(t.offsets.to_numpy()).astype(np.int64),
+            t.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy().astype(float))
 
 
-def scored(docs: DataFrame, index: Index, doc: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (),
-           k: int = NEIGHBOURS) -> DataFrame:
-    """``doc_id, score, neighbours`` of every row, plus a struct ``row`` of the ``extra`` columns. No rows move."""
-    fields = [F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row")] if extra else []
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *fields)
-    send = docs.sparkSession.sparkContext.broadcast(index)  # bounded by per_label
+def _mapped(rows: DataFrame, index: Index, answer, fields_ddl: str, keep: tuple[str, ...], own: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row beside ``answer(scorer, texts, own ids)``. No rows move."""
+    send = rows.sparkSession.sparkContext.broadcast(index.parts())  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = send.value
+        scorer = Scorer(Index(*send.value))
         for batch in batches:
-            got = list(model.scores(batch.column("text").to_pylist(), k))
-            arrays = [batch.column("doc_id"), pa.array([s for s, _ in got], pa.float64()),
-                      pa.array([e for _, e in got], pa.list_(pa.int64()))]
-            names = ["doc_id", "score", "neighbours"]
-            if extra:
-                arrays.append(batch.column("row"))
-                names.append("row")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            got = answer(scorer, batch.column("text").to_pylist(), batch.column("doc_id").to_pylist() if own else None)
+            arrays = [pa.array([g[j] for g in got], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *names])
 
-    schema = T.StructType.fromDDL("doc_id long, score double, neighbours array<long>")
-    if extra:
-        schema = schema.add("row", rows.schema["row"].dataType)
-    return rows.mapInArrow(run, schema)
+    answered = T.StructType.fromDDL(fields_ddl)
+    names = answered.names
+    kinds = [pa.list_(pa.int64()) if isinstance(f.dataType, T.ArrayType) else pa.float64() for f in answered]
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), *answered]))
+
+
+def scored(docs: DataFrame, index: Index, doc: str = "doc_id", text: str = "text", extra: tuple[str, ...] = (),
+           k: int = NEIGHBOURS) -> DataFrame:
+    """``doc_id, score, neighbours`` of every row, plus a struct ``row`` of the ``extra`` columns. No rows move."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row")] if extra else []
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
+    return _mapped(rows, index, lambda scorer, texts, own: list(scorer.scores(texts, k)), "score double, neighbours array<bigint>",
+                   ("doc_id", "row") if extra else ("doc_id",))
 
 
 def held_out(doc: str = "doc_id") -> Column:
@@ -361,7 +445,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", tex
                     threshold: float = THRESHOLD, **bounds) -> DataFrame:
     """``doc_id, held_out, score, predicted, neighbours``: one row per document, ``neighbours`` being the evidence.
 
-    Null and empty texts, and texts without a word of any example, get the background score and no neighbours. Labels other
+    Null and empty texts, and texts without a stem of any example, get the background score and no neighbours. Labels other
     than 0 and 1, null ids and labels of unknown documents are left out; without examples of both labels every score is
     0. Repeated rows get equal scores. Other columns are not read, so their names don't matter.
     """
