@@ -86,6 +86,47 @@ def test_classes_match_the_full_comparison(spark):
     assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+def test_a_large_group_around_the_threshold_in_small_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    base = words(rng, 120)
+    texts = [" ".join(edited(rng, base, rng.choice([0.012, 0.02, 0.025]))) for _ in range(70)]
+    texts += [" ".join(words(rng, 40)) for _ in range(10)]
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    df = spark.createDataFrame([(i, t, "x", 1, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    want = brute(texts)
+    assert len(set(want)) > 12 and [got[i] for i in range(len(texts))] == want
+
+
+def test_blocks_return_forests_of_all_links():
+    rng = random.Random(7)
+    base = words(rng, 100)
+    texts = [" ".join(edited(rng, base, 0.02) + base[:9] * (i % 3)) for i in range(60)]
+    sets, rid = [sets_of(t) for t in texts], np.arange(60) + 100
+    part = np.array([i if i % 4 else 0 for i in range(60)])  # some are joined already
+    for side in (np.zeros(60, bool), rid % 2 == 0):
+        edges = near_dedup.compare(rid, part, side, sets, 0.8)
+        assert len(edges) < len(set(part))
+
+        def grouped(pairs):
+            root = {int(p): int(p) for p in part}
+            for i, j in pairs:
+                a, b = root[int(part[i])], root[int(part[j])]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+            return root
+
+        every = [(i, j) for i in range(60) for j in range(i) if (not side.any() or side[i] != side[j])
+                 and shingles.probability_jaccard(sets[i], sets[j]) >= 0.8]
+        assert grouped(every) == grouped([(u - 100, v - 100) for u, v in edges])
+
+
+def test_bitmaps_pick_the_numbered_rows(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, (5 << 33), (5 << 33) + 70000]
+    rows = spark.createDataFrame([(n + d,) for n in numbers for d in (0, 1, 9)], "rid long").distinct()
+    got = near_dedup._among(rows, spark.createDataFrame([(n,) for n in numbers], "_r long"), "bits").collect()
+    assert sorted(r.rid for r in got) == sorted(numbers)
+
+
 def test_repeats_null_ids_long_texts_and_no_rows(spark):
     rng = random.Random(4)
     long = " ".join(words(rng, 30000))
