@@ -12,6 +12,7 @@ from ..operators import ordered as od
 from ..operators import panel as pn
 from ..operators import shrinkage as sh
 from ..operators.folds import group_folds
+from ..operators.multinomial import resample
 from ..operators.resampling import bootstrap, hash_bootstrap
 from ..session import materialise
 from .q_agg import CONTEXT_SQL, period_scores, supplier_context
@@ -64,6 +65,36 @@ def bootstrap_md5(spark, folder):
     return board_md5(spark, folder).withColumns({c: r6(c) for c in ("oe_total", "total_lo", "total_hi", "oe_rate", "oe_se")})
 
 
+def _scrambled(name: str, source: str, number: str, keep: str) -> str:
+    """CTEs that end in ``name``: the columns ``keep`` and the scrambled 32-bit number ``h``."""
+    return f"""{name}_a AS (SELECT {keep}, {number} AS h FROM {source}),
+{name}_b AS (SELECT {keep}, (xor(h, h >> 16)::HUGEINT * 2246822507 % 4294967296)::BIGINT AS h FROM {name}_a),
+{name}_c AS (SELECT {keep}, (xor(h, h >> 13)::HUGEINT * 3266489909 % 4294967296)::BIGINT AS h FROM {name}_b),
+{name} AS (SELECT {keep}, xor(h, h >> 16) AS h FROM {name}_c)"""
+
+
+# Entities of one leaf: a thousand rows or fewer, as all suppliers of the driver tables have.
+_RESAMPLE = with_scored(BOOT_SQL.split("hexed AS")[0] + f"""
+placed AS (SELECT l_suppkey, residual, row_number() OVER (PARTITION BY l_suppkey ORDER BY CAST('0x' || substr(row_id, 1, 15) AS BIGINT), residual) - 1 AS place FROM ids),
+{_scrambled('leaf', 'point', "CAST('0x' || substr(md5(l_suppkey || '|42'), 1, 8) AS BIGINT)", 'l_suppkey, n')},
+many AS (SELECT l_suppkey, n, h AS start, unnest(generate_series(1, 200)) AS rep FROM leaf),
+{_scrambled('begun', 'many', '(start + rep * 2654435761) % 4294967296', 'l_suppkey, n, rep')},
+series AS (SELECT unnest(generate_series(1, 1024)) AS j),
+{_scrambled('cols', 'series', '(j * 2654435761) % 4294967296', 'j')},
+pairs AS (SELECT l_suppkey, n, rep, xor(begun.h, cols.h) AS both_h FROM begun JOIN cols ON j <= n),
+{_scrambled('drawn', 'pairs', 'both_h', 'l_suppkey, n, rep')},
+sums AS (SELECT d.l_suppkey, n, rep, sum(residual) AS total FROM drawn d JOIN placed p ON d.l_suppkey = p.l_suppkey AND (d.h * n) >> 32 = p.place GROUP BY 1, 2, 3),
+spread AS (SELECT l_suppkey, quantile_cont(total, 0.025) AS total_lo, quantile_cont(total, 0.975) AS total_hi, stddev_samp(total / n) AS oe_se FROM sums GROUP BY 1)
+SELECT l_suppkey, n, {s6('oe_total')} AS oe_total, {s6('total_lo')} AS total_lo, {s6('total_hi')} AS total_hi, {s6('oe_rate')} AS oe_rate, {s6('oe_se')} AS oe_se,
+  total_lo > 0 OR total_hi < 0 AS separable FROM point JOIN spread USING (l_suppkey)""")
+
+
+@query("bootstrap_multinomial", _RESAMPLE)
+def bootstrap_multinomial(spark, folder):
+    out = resample(planted(spark, folder), ["l_suppkey"], "residual", line_row_id(), 200)
+    return out.withColumns({c: r6(c) for c in ("oe_total", "total_lo", "total_hi", "oe_rate", "oe_se")})
+
+
 @query("bootstrap_poisson")
 def bootstrap_poisson(spark, folder):
     return bootstrap(scored(spark, folder), ["l_suppkey"], "residual", line_row_id(), 2000)
