@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.columns import distance
 from .ordered import Scan, first_per_key, neighbours, row_numbers, running, value_bucket
@@ -63,36 +64,97 @@ def contact_runs(
     A row that is not held gives zeros. With ``position`` a gap in the position also ends a run, so rows that are not
     held can be left out beforehand. ``run_span`` is 0 for runs of one row. Minima are strict on the left, weak on the
     right, below the bounce height and inside the run.
+
+    Runs are first found inside each chunk, from one sort of the rows. A chunk's summary (its border rows and the run at
+    its end) then tells the next chunk what its first run continues, and one join brings that back.
     """
-    base = rows.withColumn("_held", F.coalesce(held, F.lit(False)))
     at = F.col(position) if position else F.lit(0)
-    seen = neighbours(
-        base, keys, chunk, order,
-        previous={"_p_held": F.col("_held"), "_p_height": F.col(height), "_p_at": at},
-        following={"_n_held": F.col("_held"), "_n_height": F.col(height), "_n_at": at},
-    )
-    step = F.lit(1) if position else F.lit(0)
-    joined_before = F.coalesce(F.col("_p_held") & (at - F.col("_p_at") == step), F.lit(False))
-    joined_after = F.coalesce(F.col("_n_held") & (F.col("_n_at") - at == step), F.lit(False))
-    low = (F.col(height) < F.col("_p_height")) & (F.col(height) <= F.col("_n_height")) & (F.col(height) < bounce_height)
+    step = 1 if position else 0
+    # Nulls are equal inside a struct, so rows stay where the windows put them when the carried runs are joined.
+    base = rows.select("*", F.struct(*keys, chunk).alias("_place"), F.coalesce(held, F.lit(False)).alias("_held"))
+    here = F.struct(F.col("_held").alias("held"), F.col(height).alias("height"), at.alias("at"))
+
+    def follows(later: Column, earlier: Column) -> Column:
+        return F.coalesce(later["held"] & earlier["held"] & (later["at"] - earlier["at"] == step), F.lit(False))
+
+    def down(row: Column, before: Column) -> Column:
+        return F.coalesce((row["height"] < before["height"]) & (row["height"] < bounce_height), F.lit(False))
+
+    def up(row: Column, after: Column) -> Column:
+        return F.coalesce(row["height"] <= after["height"], F.lit(False))
+
+    inside = Window.partitionBy("_place").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    seen = base.select("*", here.alias("_here"), F.lag(here).over(inside).alias("_before"),
+                       F.lead(here).over(inside).alias("_after"), F.row_number().over(inside).alias("_row"))
     marked = seen.withColumns({
-        "_opens": F.col("_held") & ~joined_before,
-        "_low": (F.col("_held") & joined_before & joined_after & F.coalesce(low, F.lit(False))).cast("int"),
+        "_opens": F.col("_held") & ~follows(F.col("_here"), F.col("_before")),
+        "_down": follows(F.col("_here"), F.col("_before")) & down(F.col("_here"), F.col("_before")),
+        "_up": follows(F.col("_after"), F.col("_here")) & up(F.col("_here"), F.col("_after")),
+    })
+    counted = marked.withColumn("_lows", F.coalesce(F.sum((F.col("_down") & F.col("_up")).cast("long")).over(
+        inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    opened = F.struct(F.col("_row").alias("row"), F.col(ts).alias("ts"), F.col("_lows").alias("lows"))
+    local = counted.withColumn("_start", F.last(F.when(F.col("_opens"), opened), ignorenulls=True).over(so_far)).withColumns({
+        "_n": F.when(F.col("_held"), F.col("_row") - F.col("_start.row") + 1).otherwise(0).cast("long"),
+        "_n_lows": F.when(F.col("_held"), F.col("_lows") - F.col("_start.lows")).otherwise(0).cast("long"),
     })
-    counted = running(marked, keys, chunk, order, {"_row": Scan("count", F.lit(1)),
-                                                   "_lows": Scan("sum", F.col("_low"), inclusive=False)})
-    start = F.when(F.col("_opens"), F.struct(F.col("_row").alias("row"), F.col(ts).alias("ts"),
-                                             F.col("_lows").alias("lows")))
-    runs = running(counted, keys, chunk, order, {"_start": Scan("last", start)})
-    many = F.col("_held") & (F.col("_row") > F.col("_start.row"))
-    return runs.select(
-        *rows.columns,
-        F.when(F.col("_held"), F.col("_row") - F.col("_start.row") + 1).otherwise(0).cast("long").alias("run_rows"),
-        F.when(many, F.abs(F.col(ts) - F.col("_start.ts"))).otherwise(0).alias("run_span"),
-        F.when(many, F.col("_lows") - F.col("_start.lows")).otherwise(0).cast("long").alias("run_minima"),
+    carried = _carried_runs(local, keys, chunk, follows, down, up)
+
+    first_run = F.coalesce(F.col("_held") & (F.col("_start.row") == 1) & F.col("_into").isNotNull(), F.lit(False))
+    joined = local.join(carried, F.col("_place") == F.col("_carried_to"), "left").withColumns({
+        "_n": F.col("_n") + F.when(first_run, F.col("_into.n")).otherwise(0),
+        "_n_lows": F.col("_n_lows") + F.when(first_run, F.col("_into.lows") + F.when(
+            F.col("_row") > 1, F.col("_first_low").cast("long")).otherwise(0)).otherwise(0),
+        "_since": F.when(first_run, F.col("_into.ts")).otherwise(F.col("_start.ts")),
+    })
+    many = F.col("_n") > 1
+    return joined.select(
+        *rows.columns, F.col("_n").alias("run_rows"),
+        F.when(many, F.abs(F.col(ts) - F.col("_since"))).otherwise(0).alias("run_span"),
+        F.when(many, F.col("_n_lows")).otherwise(0).cast("long").alias("run_minima"),
     )
 
 
+def _carried_runs(local: DataFrame, keys: Sequence[str], chunk: str, follows, down, up) -> DataFrame:
+    """``_carried_to``, ``_into`` and ``_first_low`` of each chunk whose first row continues a run.
+
+    ``_into`` is that run at the end of the chunk before: its rows, its first ``ts`` and its minima, the last row among
+    them. ``_first_low`` tells whether the chunk's own first row is a minimum. A chunk that lies inside one run whole
+    passes it on, so runs add up over any number of chunks.
+    """
+    ends = local.groupBy("_place").agg(
+        F.min_by("_here", "_row").alias("_first"), F.min_by("_up", "_row").alias("_first_up"),
+        F.max_by(F.struct(
+            F.col("_here").alias("here"), F.col("_n").alias("n"), F.col("_n_lows").alias("lows"), F.col("_start.ts").alias("ts"),
+            F.col("_down").alias("down"), (F.col("_n") == F.col("_row")).alias("whole")), "_row").alias("_last"),
+        F.count(F.lit(1)).alias("_size"))
+    named = {f"_k_{k}": F.col("_place")[k] for k in [*keys, chunk]}  # as columns, so that all windows share one exchange
+    by = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy(f"_k_{chunk}")
+    up_to = by.rowsBetween(Window.unboundedPreceding, 0)
+    first, last = F.col("_first"), F.col("_last.here")
+    borders = ends.withColumns(named).select("*", F.lag(last).over(by).alias("_before"), F.lead(first).over(by).alias("_after")).withColumns({
+        "_continues": follows(first, F.col("_before")),
+        "_last_up": follows(F.col("_after"), last) & up(last, F.col("_after")),
+    })
+    borders = borders.withColumns({
+        "_first_low": F.col("_continues") & down(first, F.col("_before")) & F.when(
+            F.col("_size") > 1, F.col("_first_up")).otherwise(F.col("_last_up")),
+        "_last_low": (F.col("_size") > 1) & F.col("_last.down") & F.col("_last_up"),
+        "_passes": F.col("_continues") & F.col("_last.whole"),
+    })
+    lows = (F.col("_last.lows") + (F.col("_last.whole") & F.col("_first_low")).cast("long") + F.col("_last_low").cast("long"))
+    totals = borders.withColumn("_lows", lows).withColumns({
+        "_sum_n": F.sum("_last.n").over(up_to), "_sum_lows": F.sum("_lows").over(up_to)})
+    origin = F.struct((F.col("_sum_n") - F.col("_last.n")).alias("n"), (F.col("_sum_lows") - F.col("_lows")).alias("lows"),
+                      F.col("_last.ts").alias("ts"))
+    totals = totals.withColumn("_from", F.last(F.when(~F.col("_passes"), origin), ignorenulls=True).over(up_to))
+    run = F.struct((F.col("_sum_n") - F.col("_from.n")).alias("n"), (F.col("_sum_lows") - F.col("_from.lows")).alias("lows"),
+                   F.col("_from.ts").alias("ts"))
+    return totals.withColumn("_into", F.lag(run).over(by)).where("_continues").select(
+        F.col("_place").alias("_carried_to"), "_into", "_first_low")
+
+
 def local_minima(rows: DataFrame, keys, chunk: str, order, height: str, below: float, out: str = "is_minimum") -> DataFrame:
     """Flag rows lower than the one before, not higher than the one after, and under the limit."""
     seen = neighbours(rows, keys, chunk, order, previous={"_p": F.col(height)}, following={"_n": F.col(height)})

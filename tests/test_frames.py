@@ -87,6 +87,50 @@ def test_contact_run_counts_bounces_inside_the_run(spark):
     assert [r.run_minima for r in runs] == [0, 0, 0, 1, 1, 1, 2, 0, 0]
 
 
+def loop_runs(rows, gaps):
+    """Runs of one key as a loop over (order, position, held, height, ts)."""
+    follows = lambda b, a: b[2] and a[2] and (not gaps or b[1] - a[1] == 1)
+    out, start = {}, None
+    for i, r in enumerate(rows):
+        if not r[2]:
+            out[r[0]] = (0, 0, 0)
+            continue
+        if not i or not follows(r, rows[i - 1]):
+            start = i
+        lows = sum(1 for j in range(start + 1, i) if None not in (rows[j - 1][3], rows[j][3], rows[j + 1][3])
+                   and rows[j][3] < rows[j - 1][3] and rows[j][3] <= rows[j + 1][3] and rows[j][3] < 4.0)
+        out[r[0]] = (i - start + 1, abs(r[4] - rows[start][4]) if i > start else 0, lows if i > start else 0)
+    return out
+
+
+def test_contact_runs_over_chunks_of_any_size_equal_the_loop(spark):
+    import random
+    rng = random.Random(8)
+    table, want = [], {}
+    for key in [None, *range(30)]:
+        length, size, place, chunk, rows = rng.randint(1, 60), rng.choice([1, 2, 3, 7, 100]), 0, 0, []
+        for i in range(length):
+            place += rng.choice([1, 1, 1, 1, 2])
+            chunk += rng.random() < 1 / size
+            rows.append((1000 * (key if key is not None else 99) + i, place, rng.random() < 0.85,
+                         rng.choice([None, 1.0, 2.0, 2.0, 3.0, 3.5, 5.0]) if rng.random() < 0.9 else 6.0, 40 * place))
+            table.append((key, chunk, *rows[-1]))
+        for gaps in (False, True):
+            want.update({(gaps, i): v for i, v in loop_runs(rows, gaps).items()})
+    df = spark.createDataFrame(table, "k int, chunk int, i long, pos long, held boolean, h double, ts long")
+    for gaps in (False, True):
+        got = fr.contact_runs(df, ["k"], "chunk", ["i"], F.col("held"), "h", "ts", position="pos" if gaps else None).collect()
+        assert len(got) == len(table)
+        for r in got:
+            assert (r.run_rows, r.run_span, r.run_minima) == want[(gaps, r.i)], (gaps, r)
+
+
+def test_contact_runs_move_rows_once(spark, small, registered):
+    plan = registered.queries()["touch_run"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2
+    assert sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines()) <= 4
+
+
 def sequential_claims(events, frames):
     """The exclusive rule written as a loop."""
     out, taken = {}, {}
