@@ -1,8 +1,11 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
 A page becomes a list of text blocks with their place in the document tree. A fixed linear classifier gives each block
-a cost for either label; blocks that follow one another and blocks with a near common ancestor are tied by smoothness
-edges; the minimum cut over both is the labelling. Pages are independent, so no rows move.
+a cost for either label, from its text (length, share of links, how it ends) and from the tags and class names around it;
+blocks that follow one another and blocks with a near common ancestor are tied by smoothness edges, weaker where one of
+the two lies in a named boilerplate element and the other does not; the minimum cut over both is the labelling. Costs and
+edges are of one scale: a short or linked line is kept or dropped with the blocks around it. Pages are independent, so
+no rows move.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
 # Elements whose content is never text of the page.
-SILENT = frozenset("script style head title noscript template svg math iframe object embed canvas audio video select option "
-                   "textarea button datalist map input".split())
+SILENT = frozenset("script style head title noscript template svg iframe object embed canvas audio video select option "
+                   "textarea datalist map input".split())
 # Of these the content is not even markup.
 RAW = frozenset("script style title textarea iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,24 +43,30 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl article main section body".split())
 
-CONTENT_TAGS = {"article": 6.0, "main": 4.0}
-FRAME_TAGS = {"nav": 14.0, "header": 14.0, "footer": 14.0, "aside": 14.0, "form": 14.0, "menu": 14.0, "dialog": 14.0}
-CONTENT_NAMES = frozenset("article content entry main post story text".split())
+CONTENT_TAGS = {"article": 4.0, "main": 3.0}
+FRAME_TAGS = frozenset("nav header footer aside form menu dialog".split())
+CONTENT_NAMES = frozenset("article content entry main page post story text topic".split())
 FRAME_NAMES = frozenset(
-    "ad ads adbox adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent "
-    "cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
-    "notices notification pagination pager popup promo promoted promotion recommended related replies reply respond share sharing "
+    "ad ads adbox adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs consent "
+    "cookie cookies copyright disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
+    "notices notification pagination pager popup promo promoted promotion recommended related respond share sharing "
     "sidebar sidebars signup social sponsor sponsored subscribe subscription teaser toolbar topbar".split())
+COMMENT_NAMES = frozenset("comment comments commentlist reply replies disqus".split())
 # An article inside one of these is a card, not the page's article. Inside any other boilerplate element it shows that the
 # element describes a layout or was never closed.
 CARD_NAMES = frozenset("promoted recommended related sidebar sidebars sponsored teaser".split())
 CARD_TAGS = frozenset({"aside", "footer"})
-# With one of these beside it, a name describes a layout even so.
-LAYOUT_NAMES = frozenset("container content has layout main no page site with without wrap wrapper".split())
-COMMENT_NAMES = frozenset("comment comments commentlist reply replies disqus".split())
+# With one of these before it, a name tells what an element goes with, not what it is: has-sidebar, no-comments.
+BESIDE = frozenset("has hide is no show with without".split())
+# As the last word of a name these only tell the element's shape: the word before them counts, as in comment-list.
+SHAPES = frozenset(
+    "area bar block body bottom box button buttons center col column container content group header holder icons inner item items "
+    "left link links list outer panel right row section slot text thread top unit widget widgets wrap wrapper zone".split())
+# A page's wrapper may carry one of these next to the name of something it holds.
+LAYOUT_NAMES = frozenset("container layout page site wrap wrapper".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-NAME_COST, ROLE_COST = 12.0, 14.0
-CHAIN, KINSHIP = 1.0, 1.5
+FRAME_COST, COMMENT_COST = 8.0, 10.0
+CHAIN, KINSHIP, BORDER = 1.0, 1.5, 0.2
 
 
 @dataclass(slots=True)
@@ -71,7 +80,9 @@ class Node:
     lifted: float = 0.0  # what an article below takes back: costs of elements that may wrap a whole page
     silent: bool = False
     link: bool = False
+    control: bool = False
     article: bool = False
+    frame: Node | None = None  # the nearest boilerplate element around it, itself included
 
 
 @dataclass(slots=True)
@@ -79,40 +90,60 @@ class Block:
     node: Node
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    controls: int = 0  # characters on buttons
     text: str = ""
 
 
+def _kind(name: str) -> str:
+    """What one class or id says its element is: "comment", "card", "frame", "content" or "" (nothing)."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if len(words) > 1 and not BESIDE.isdisjoint(words[:-1]):
+        return ""
+    head = len(words) - 1
+    while head > 0 and words[head] in SHAPES:
+        if words[head] == "header" and words[head - 1] not in CONTENT_NAMES:
+            break  # site-header; an article-header belongs to the article
+        head -= 1
+    word = words[head] if words else ""
+    if word in COMMENT_NAMES:
+        return "comment"
+    if word in CARD_NAMES:
+        return "card"
+    return "frame" if word in FRAME_NAMES else "content" if word in CONTENT_NAMES else ""
+
+
 def _own_evidence(tag: str, attrs: str, in_article: bool) -> tuple[float, float, bool]:
-    """(lean, the part of it that an article below takes back, hidden) that tag and attributes speak for."""
-    lean, lifted, hidden = CONTENT_TAGS.get(tag, 0.0) - FRAME_TAGS.get(tag, 0.0), 0.0, False
-    if tag == "header" and in_article:
-        lean = 0.0  # the article's own head, not the page's
-    elif tag in FRAME_TAGS and tag not in CARD_TAGS:
-        lifted = FRAME_TAGS[tag]
+    """(lean, the part of it that an article below takes back, hidden) that tag and attributes speak for.
+
+    All reasons against an element count once, the heaviest alone, so its lean is bounded.
+    """
+    against, lifts, favour, hidden = 0.0, True, CONTENT_TAGS.get(tag, 0.0), False
+    if tag in FRAME_TAGS and not (tag == "header" and in_article):  # the article's own head, not the page's
+        against, lifts = FRAME_COST, tag not in CARD_TAGS
     if attrs and tag not in ("html", "body"):
-        names: set[str] = set()
+        kinds, layout = set(), False
         for m in ATTRIBUTE.finditer(attrs):
             key, value = m[1].lower(), next((x for x in (m[2], m[3], m[4]) if x is not None), "")
             if key in ("class", "id"):
-                names.update(w.lower() for w in WORD.findall(value))
+                kinds.update(_kind(name) for name in value.split())
+                layout = layout or any(name.lower() in LAYOUT_NAMES for name in value.split())
             elif key == "role":
                 if value.lower() in FRAME_ROLES:
-                    lean -= ROLE_COST
+                    against, lifts = FRAME_COST, False
                 elif value.lower() in ("main", "article"):
-                    lean += CONTENT_TAGS["main"]
+                    favour = max(favour, CONTENT_TAGS["main"])
             elif key == "itemprop" and value.lower() == "articlebody":
-                lean += CONTENT_TAGS["article"]
+                favour = CONTENT_TAGS["article"]
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (
                     key == "style" and "display:none" in value.lower().replace(" ", "")):
                 hidden = True
-        if names & COMMENT_NAMES:
-            lean -= 2 * NAME_COST
-        elif names & FRAME_NAMES and tag not in CONTENT_TAGS and tag != "h1":
-            lean -= NAME_COST
-            lifted += NAME_COST if names & LAYOUT_NAMES or not names & CARD_NAMES else 0.0
-        elif names & CONTENT_NAMES:
-            lean += 2.0
-    return lean, lifted, hidden
+        if "comment" in kinds and "content" not in kinds:
+            against, lifts = COMMENT_COST, False
+        elif kinds & {"card", "frame"} and tag not in CONTENT_TAGS and tag != "h1":
+            against, lifts = FRAME_COST, lifts and (layout or "card" not in kinds)
+        elif "content" in kinds:
+            favour = max(favour, 2.0)
+    return (-against if against else favour), (against if lifts else 0.0), hidden
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -128,6 +159,8 @@ def blocks_of(page: str) -> list[Block]:
             block.parts.append(raw)
             if top.link:
                 block.linked += len(raw.strip())
+            if top.control:
+                block.controls += len(raw.strip())
 
     def flush() -> None:
         nonlocal block
@@ -184,9 +217,14 @@ def blocks_of(page: str) -> list[Block]:
             close_open(ENDS[tag])
         top = stack[-1]
         lean, lifted, hidden = _own_evidence(tag, m["attrs"], top.article)
-        back = top.lifted if tag in CONTENT_TAGS else 0.0
-        node = Node(tag, top, top.depth + 1, top.lean + lean + back, top.lifted - back + lifted,
-                    top.silent or hidden or tag in SILENT, top.link or tag == "a", top.article or tag in CONTENT_TAGS)
+        node = Node(tag, top, top.depth + 1, top.lean, top.lifted, top.silent or hidden or tag in SILENT,
+                    top.link or tag == "a", top.control or tag == "button", top.article or tag in CONTENT_TAGS, top.frame)
+        if lean < 0:  # what favours the elements around it is not its own
+            node.lean, node.lifted, node.frame = min(top.lean, 0.0) + lean, top.lifted + lifted, node
+        elif lean > 0:
+            back = top.lifted if tag in CONTENT_TAGS else 0.0
+            node.lean, node.lifted = min(top.lean + back, 0.0) + max(lean, top.lean), top.lifted - back
+            node.frame = None if node.lean > 0 else top.frame
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
             at = end.end() if end else n
@@ -212,13 +250,15 @@ def _lean(b: Block) -> float:
     lean += 0.5 if size < 20 else 1.0 if size < 80 else 2.5
     if b.node.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "td", "dd", "dt"):
         lean += 1.0
-    if not b.node.article:
-        lean -= 1.5  # no article around it: short or linked blocks need better reasons
-        lean -= 5.0 * links
-        if "©" in b.text[:200] or "all rights reserved" in b.text[:400].lower():
-            lean -= 6.0
-    else:
-        lean -= 1.0 * links
+    elif b.text[-1] not in ".!?\u2026:;\"\u201d\u00bb)":
+        lean -= 0.5
+    if b.controls >= 0.9 * size:
+        lean -= 6.0  # a button alone; one inside a sentence is part of it
+    if b.node.article:
+        return lean - 3.5 * links
+    lean -= 1.0 + 5.0 * links  # no article around it: short or linked blocks need better reasons
+    if "\u00a9" in b.text[:200] or "all rights reserved" in b.text[:400].lower():
+        lean -= 6.0
     return lean
 
 
@@ -234,22 +274,26 @@ def _distance(a: Node, b: Node) -> int:
     return steps
 
 
-def main_text(page: str | None) -> tuple[str, int, int]:
-    """The main text, the number of blocks and of those kept."""
-    found = blocks_of(page or "")
-    lean = [_lean(b) for b in found]
+def _ties(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: of neighbours by their distance in the tree, and of the blocks of one parent element in a row."""
     edges = []
     last: dict[int, int] = {}  # the block before under the same parent element
     for i, b in enumerate(found):
+        def tie(j: int, weight: float) -> None:
+            edges.append((j, i, weight if found[j].node.frame is b.node.frame else weight * BORDER))
         if i:
-            edges.append((i - 1, i, CHAIN / (1 + _distance(found[i - 1].node, b.node))))
+            tie(i - 1, CHAIN / (1 + _distance(found[i - 1].node, b.node)))
         parent = id(b.node.parent or b.node)
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, KINSHIP / 2))
-        elif parent in last:
-            edges.append((i - 1, i, KINSHIP))
+        if parent in last:
+            tie(last[parent], KINSHIP if last[parent] == i - 1 else KINSHIP / 2)
         last[parent] = i
-    keep = cut_labels(lean, edges)
+    return edges
+
+
+def main_text(page: str | None) -> tuple[str, int, int]:
+    """The main text, the number of blocks and of those kept."""
+    found = blocks_of(page or "")
+    keep = cut_labels([_lean(b) for b in found], _ties(found))
     texts = [b.text for b, k in zip(found, keep) if k]
     return "\n".join(texts), len(found), len(texts)
 

@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 
-from obsexp.llm.html_text import extract, main_text
+from obsexp.llm.html_text import _lean, _ties, blocks_of, extract, main_text
 from obsexp.llm.mincut import cut_labels
 
 SCHEMA = "page_id long, url string, html string, text int, n_chars string"
@@ -65,6 +65,44 @@ def test_unclosed_boilerplate_before_the_article():
     assert main_text(cards)[0] == "Real text."
 
 
+def test_names_that_only_mention_boilerplate():
+    for start, end in (('<article class="post comments-open">', "</article>"), ('<main class="no-comments">', "</main>"),
+                       ('<div class="content has-replies">', "</div>"), ('<div class="news-alert-page">', "</div>"),
+                       ('<div id="share-story">', "</div>"), ('<section class="story related-topic">', "</section>")):
+        page = f"<body><nav><a href=1>Home</a></nav>{start}<h1>Title</h1><p>{'Some words of a story. ' * 6}</p><p>Short.</p>{end}<footer>x</footer>"
+        assert main_text(page)[0] == f"Title\n{('Some words of a story. ' * 6).strip()}\nShort.", start
+
+
+def test_names_of_boilerplate_go_inside_an_article_too():
+    for name in ("ad", "ad-slot-top", "cookieNotice", "site-header", "comment-list", "post-comments", "comment-body", "sidebar-content",
+                 "newsletter-signup", "share-buttons", "related", "promo_box"):
+        page = f"<article><p>First one.</p><div class='x {name}'><p>{'Words that sound like prose, all of them. ' * 4}</p></div><p>Last one.</p></article>"
+        assert main_text(page)[0] == "First one.\nLast one.", name
+
+
+def test_buttons_and_formulas_inside_sentences_stay():
+    page = "<article><p>Use the <button>Save</button> key.</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><div><button>Go</button></div></article>"
+    assert main_text(page)[0] == "Use the Save key.\nSo x=1 holds."
+
+
+def test_the_cut_decides_and_is_better_than_each_block_alone(spark, small):
+    """The given pages without their article element, with a byline in each text and links in a plain element after it."""
+    differ, wrong_cut, wrong_alone = 0, 0, 0
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        inner = inner.replace("</h1>", "</h1><div>By somebody</div>", 1)
+        parts = re.split(r"</?(?:p|h1|div)>", inner.replace("<br>", " "))
+        want = [t for p in parts if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()))]
+        page = re.sub(r"<article>.*</article>", lambda _: f"<div>{inner}</div><div><a href='/t'>Terms</a> <a href='/p'>Privacy</a></div>", r.html, flags=re.S)
+        found = blocks_of(page)
+        alone = [b.text for b in found if _lean(b) > 0]
+        cut = main_text(page)[0].split("\n")
+        differ += alone != cut
+        wrong_cut += len(set(cut) ^ set(want))
+        wrong_alone += len(set(alone) ^ set(want))
+    assert differ > 0 and wrong_cut < wrong_alone / 2, (differ, wrong_cut, wrong_alone)
+
+
 def test_broken_markup_ends_and_is_linear():
     for page in ("<", "<p", "<!--", "</", "<script>", "<p>" * 30000, "<div>" * 3000 + "x", "a<b>c</p></div>", "<a href='" * 2000,
                  "<" * 100000, "<p " * 50000):
