@@ -69,3 +69,17 @@ def test_registered_query(spark, small, registered):
     out = {r.vec_id: (r.n_links, r.component_id) for r in registered.queries()["op10_embedding_dedup"](spark, small).collect()}
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     assert out == brute(rows)
+
+
+def test_tables_miss_a_pair_at_the_threshold_once_in_a_million():
+    import numpy as np
+    from obsexp.llm.embedding_dedup import PROJECTIONS, TABLES, WIDTH, hash_keys
+    rng = np.random.default_rng(5)
+    u = rng.standard_normal((4000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.standard_normal(u.shape)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    near = 0.98 * u + np.sqrt(1 - 0.98 ** 2) * w
+    hit = (hash_keys(u, TABLES, PROJECTIONS, WIDTH) == hash_keys(near, TABLES, PROJECTIONS, WIDTH)).mean()
+    assert (1 - hit) ** TABLES < 2e-6
