@@ -16,6 +16,10 @@ from .ordered import value_ranks, with_ranks
 Pairs = Sequence[tuple[str, str]]
 
 
+# A column of which earlier ones leave less than this share of its variance is a combination of them.
+COLLINEAR = 1e-9
+
+
 def pearson(df: DataFrame, pairs: Pairs, by: Sequence[str] = (), p_value: bool = True) -> DataFrame:
     """Correlation of each pair of columns over the rows that hold both, all pairs in one pass."""
     by = list(by)
@@ -105,10 +109,24 @@ def _moments(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
         "n", F.array(*[F.col(f"_m{i}") for i in range(size)]).alias("means"), F.array(*flat).alias("cov"))
 
 
+def _independent(cov: np.ndarray) -> list[int]:
+    """Columns that are no linear combination of those before them, by elimination on the correlations."""
+    scale = np.sqrt(np.diag(cov))
+    left = np.divide(cov, np.outer(scale, scale), out=np.zeros_like(cov), where=np.outer(scale, scale) > 0)
+    kept = []
+    for i in range(len(cov)):
+        if left[i, i] > COLLINEAR:
+            left = left - np.outer(left[:, i], left[i]) / left[i, i]
+            kept.append(i)
+    return kept
+
+
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """Least squares with intercept: one row per term with coefficient, standard error, t, p, and the fit's R².
 
-    Rows are reduced to means and covariances in one pass; only that one row is solved.
+    Rows are reduced to means and covariances in one pass; only that one row is solved. A constant column, or one that
+    earlier columns explain, is left out of the fit: its ``beta``, ``se``, ``t`` and ``p`` are null. Without a degree of
+    freedom left, ``se``, ``t``, ``p`` and ``adj_r2`` are null; without two complete rows everything but ``n`` is.
     """
     xs = list(xs)
     k = len(xs)
@@ -116,21 +134,27 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                n, mean = int(row.n), np.asarray(row.means, float)
-                cov = np.asarray(row.cov, float).reshape(k + 1, k + 1) * (n - 1)
-                inverse = np.linalg.inv(cov[:k, :k])
-                slope = inverse @ cov[:k, k]
-                dof = n - k - 1
-                unexplained = cov[k, k] - slope @ cov[:k, k]
-                s2 = unexplained / dof
-                beta = np.r_[mean[k] - mean[:k] @ slope, slope]
-                se = np.sqrt(s2 * np.r_[1 / n + mean[:k] @ inverse @ mean[:k], np.diag(inverse)])
-                r2 = 1 - unexplained / cov[k, k]
-                yield pd.DataFrame({
-                    "term": ["intercept", *xs], "beta": beta, "se": se, "t": beta / se,
-                    "p": [student_two_sided(t, dof) for t in beta / se], "r2": r2,
-                    "adj_r2": 1 - (1 - r2) * (n - 1) / dof, "n": n,
-                })
+                n = int(row.n)
+                beta, se, r2, adjusted, dof = np.full(k + 1, np.nan), np.full(k + 1, np.nan), np.nan, np.nan, 0
+                if n > 1:
+                    mean, cov = np.asarray(row.means, float), np.asarray(row.cov, float).reshape(k + 1, k + 1) * (n - 1)
+                    kept = _independent(cov[:k, :k])
+                    inverse = np.linalg.inv(cov[np.ix_(kept, kept)])
+                    slope = inverse @ cov[kept, k]
+                    at = [0, *[i + 1 for i in kept]]
+                    beta[at] = np.r_[mean[k] - mean[kept] @ slope, slope]
+                    dof = n - len(kept) - 1
+                    unexplained = cov[k, k] - slope @ cov[kept, k]
+                    r2 = 1 - unexplained / cov[k, k] if cov[k, k] > 0 else np.nan
+                    if dof > 0:
+                        s2 = max(unexplained, 0.0) / dof
+                        se[at] = np.sqrt(s2 * np.r_[1 / n + mean[kept] @ inverse @ mean[kept], np.diag(inverse)])
+                        adjusted = 1 - (1 - r2) * (n - 1) / dof
+                t = np.divide(beta, se, out=np.full(k + 1, np.nan), where=se > 0)
+                out = pd.DataFrame({
+                    "term": ["intercept", *xs], "beta": beta, "se": se, "t": t,
+                    "p": [student_two_sided(x, dof) if np.isfinite(x) else np.nan for x in t], "r2": r2, "adj_r2": adjusted, "n": n})
+                yield out.astype(object).where(out.notna(), None)
 
     return _moments(df, y, xs).mapInPandas(
         solve, "term string, beta double, se double, t double, p double, r2 double, adj_r2 double, n long")
@@ -146,7 +170,7 @@ def residualise(
     means = df.dropna(subset=[y, *xs]).agg(F.avg(y)).scalar()
     fitted = F.col("_b")["intercept"]
     for x in xs:
-        fitted = fitted + F.col("_b")[x] * F.col(x)
+        fitted = fitted + F.coalesce(F.col("_b")[x], F.lit(0.0)) * F.col(x)
     out = df.withColumns({"_b": coefficients, "_mean": means})
     out = out.withColumn("adjusted", F.col(y) - fitted + F.col("_mean")).drop("_b", "_mean")
     out = out.withColumn("total_before", F.col(total) if total else F.col(y) * F.col(n))

@@ -362,6 +362,49 @@ def ols_four(spark, folder):
     return st.ols(load(spark, folder, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
 
 
+def _swept(y, xs, table):
+    """SQL of least squares on any number of columns: the moment matrix, swept on one column after the other."""
+    names, k = [*xs, y], len(xs)
+    at = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    steps = [f"w0 AS (SELECT count(*) AS n, var_samp({y}) * (count(*) - 1) AS syy, " + ", ".join(
+        [f"avg({c}) AS m{i}" for i, c in enumerate(names)]
+        + [f"covar_samp({names[i]}, {names[j]}) * (count(*) - 1) AS {at(i, j)}" for i, j in pairs]) + f" FROM {table})"]
+    for p in range(k):
+        def cell(i, j):
+            if i == j == p:
+                return f"-1 / {at(p, p)}"
+            return f"{at(i, j)} / {at(p, p)}" if p in (i, j) else f"{at(i, j)} - {at(i, p)} * {at(p, j)} / {at(p, p)}"
+        kept = ", ".join(["n", "syy", *[f"m{i}" for i in range(k + 1)]])
+        steps.append(f"w{p + 1} AS (SELECT {kept}, " + ", ".join(f"{cell(i, j)} AS {at(i, j)}" for i, j in pairs) + f" FROM w{p})")
+    spread = " + ".join(f"m{i} * m{j} * (-{at(i, j)})" for i in range(k) for j in range(k))
+    fits = [("intercept", f"m{k} - " + " - ".join(f"m{i} * {at(i, k)}" for i in range(k)), f"1.0 / n + {spread}")]
+    fits += [(c, at(i, k), f"-{at(i, i)}") for i, c in enumerate(xs)]
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(
+        f"SELECT '{term}' AS term, {s6(beta, 3)} AS beta, {s6(f'sqrt({at(k, k)} / (n - {k + 1}) * ({var}))', 3)} AS se, "
+        f"{s6(f'1 - {at(k, k)} / syy')} AS r2, n FROM w{k}" for term, beta, var in fits)
+
+
+def _terms(fit):
+    return fit.select("term", r6("beta", 3).alias("beta"), r6("se", 3).alias("se"), r6("r2").alias("r2"), "n")
+
+
+_FOUR = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("ols_four_terms", _swept("l_extendedprice", _FOUR, "lineitem"))
+def ols_four_terms(spark, folder):
+    return _terms(st.ols(load(spark, folder, "lineitem"), "l_extendedprice", _FOUR))
+
+
+@query("ols_dropped_term", _swept("l_extendedprice", ["l_quantity", "l_discount", "l_tax"], "lineitem") + """
+UNION ALL SELECT 'mixed', NULL, NULL, (round((1 - a3_3 / syy)::DOUBLE, 6) + 0.0), n FROM w3""")
+def ols_dropped_term(spark, folder):
+    """A column that two others make up is reported without a coefficient; the others keep theirs."""
+    rows = load(spark, folder, "lineitem").withColumn("mixed", F.col("l_quantity") / 50 - 3 * F.col("l_discount"))
+    return _terms(st.ols(rows, "l_extendedprice", ["l_quantity", "l_discount", "mixed", "l_tax"]))
+
+
 _ADJ = f"""WITH {CONTEXT_SQL}, est AS (SELECT l_suppkey, avg(CAST(l_returnflag = 'R' AS INTEGER)) - 0.33 AS oe_rate FROM lineitem GROUP BY 1),
 d AS (SELECT ctx.*, oe_rate FROM ctx JOIN est USING (l_suppkey)), {_two('oe_rate', 'opponent_allowed', 'home_share', 'd')},
 adj AS (SELECT l_suppkey, d.n, oe_rate - (b0 + ba * opponent_allowed + bb * home_share) + my AS adjusted, oe_rate * d.n AS total_before FROM d, g2),
