@@ -79,7 +79,7 @@ def group_mean_ci(
 
 
 def kruskal(df: DataFrame, by: str, value: str) -> DataFrame:
-    """One row: tie-corrected rank statistic across groups, its degrees of freedom and p-value."""
+    """One row: tie-corrected rank statistic across groups, its degrees of freedom and p-value; null if all values are equal."""
     known = df.dropna(subset=[by, value])
     ranks = value_ranks(known, value).select(
         F.col(value).alias("_v"), (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias("_rank"), "n_equal", "n_total")
@@ -91,7 +91,8 @@ def kruskal(df: DataFrame, by: str, value: str) -> DataFrame:
     ties = ranks.agg(F.sum(t * t * t - t).alias("ties"), F.max("n_total").cast("double").alias("n"))
     row = spread.withColumn("_t", ties.select(F.struct("ties", "n")).scalar())
     n = F.col("_t.n")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("_t.ties") / (n * n * n - n))
+    untied = 1 - F.try_divide(F.col("_t.ties"), n * n * n - n)
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), untied)
     return row.select(h.alias("h"), (F.col("k") - 1).alias("dof"), n.cast("long").alias("n")).withColumn(
         "p", chi2_p("h", "dof"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import aggregates as ag
 from ..operators import association as st
@@ -36,6 +37,16 @@ def score_by_model(
     return scored.withColumn("residual", F.col(outcome) - F.col("expected"))
 
 
+def write_scored(scored: DataFrame, path: str, period: str) -> None:
+    """Store scored events once, a folder per period, for the board and every report to read."""
+    scored.write.partitionBy(period).parquet(path)
+
+
+def read_scored(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Scored events as stored; a filter on the period reads its folders only. A table without rows needs its schema."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
 def scored_board(
     scored: DataFrame, keys: Sequence[str], row_id: Sequence[Column | str], replicates: int = 2000, floor: int = 150,
 ) -> DataFrame:

@@ -167,6 +167,7 @@ halves AS (SELECT l_suppkey, count(*) AS n, avg(residual) FILTER (WHERE date_dif
 _HALF_OUT = f" SELECT l_suppkey, n, {s6('half_a')} AS half_a, {s6('half_b')} AS half_b FROM halves"
 _ORDER = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
           "l_linestatus"]
+HALF_SQL, HALF_ORDER = {"alternate": _HALF_ALT, "date": _HALF_DATE}, _ORDER
 
 
 def halves(spark, folder, design):
@@ -220,7 +221,7 @@ def _rank(c):
     return f"(rank() OVER (PARTITION BY floor ORDER BY {c}) + (count(*) OVER (PARTITION BY floor, {c}) - 1) / 2.0)"
 
 
-_SWEEP = f""",
+SWEEP_SQL = f""",
 early AS ({_period('<= 1998', 50)}), late AS ({_period('> 1998', 50)}),
 swept AS (SELECT floor, e.pct AS pct_a, e.efg AS efg_a, e.oe_rate AS oe_rate_a, l.pct AS pct_b, l.efg AS efg_b, l.oe_rate AS oe_rate_b
   FROM early e JOIN late l USING (l_suppkey), (SELECT unnest([50, 100, 150, 200, 250]) AS floor) WHERE e.n >= floor AND l.n >= floor),
@@ -229,7 +230,7 @@ rk AS (SELECT *, {', '.join(f"{_rank(f'{m}_{x}')} AS r_{m}_{x}" for m in ('pct',
                         for m in ("pct", "efg", "oe_rate"))
 
 
-@query("threshold_sweep", with_scored(_SWEEP))
+@query("threshold_sweep", with_scored(SWEEP_SQL))
 def threshold_sweep(spark, folder):
     early, late, _ = panelled(spark, folder, 50)
     out = pn.threshold_sweep(early, late, "l_suppkey", ["pct", "efg", "oe_rate"], p_value=False)
