@@ -66,89 +66,109 @@ def _draw(seed: int, doc: Column, text: Column) -> Column:
     return hex_word(mixed) * F.lit(1 << 20) + F.conv(F.substring(mixed, 9, 5), 16, 10).cast("long")
 
 
+def _whole(column: Column) -> Column:
+    """Odds as whole numbers, in 2^-20, so that their sums are the same in any order; null, NaN and negative are 0."""
+    known = F.coalesce(F.nanvl(column.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.round(F.least(F.greatest(known, F.lit(0.0)), F.lit(float(1 << 40))) * F.lit(float(1 << 20))).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_copies: int = MAX_COPIES,
         doc: str = "doc_id", text: str = "text", source: str = "source", importance: str | None = None,
         seed: int = SEED) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, copies, taken, draw``.
 
-    ``size`` counts words, ``copies`` how often the document is taken, ``taken`` is their product. Inclusion odds follow
-    the optional positive column ``importance``: a residual copy has probability min(1, c * importance), with c such
-    that the expected words of the source meet its target; without the column all are alike.
+    ``size`` counts words, ``copies`` how often the document is taken, ``taken`` is their product. A residual copy has
+    the inclusion odds min(1, c * importance), with c such that the expected words of the source meet its target.
+    ``importance`` names a column of numbers from 0; without it, it is the square root of the size, rounded up: the
+    longer of two documents is likelier, without crowding the short ones out.
 
-    Null and empty texts have size 0 and are taken 0 times. Null sources form one source, ordered last. Repeated rows
-    are documents of their own; those that agree in id and text share a draw, and which of them is taken makes no
-    difference to the result. An empty table gives no rows. Other columns are not read, so their names don't matter.
+    Null and empty texts have size 0 and are taken 0 times. An importance that is null, NaN, 0 or negative comes after
+    all others. Null sources form one source, ordered last. Repeated rows are documents of their own; those that agree
+    in id and text share a draw, and which of them is taken makes no difference to the result. An empty table gives no
+    rows. Other columns are not read, so their names don't matter.
     """
     text_col = F.coalesce(F.col(text), F.lit(""))
-    imp = F.coalesce(F.col(importance).cast("double"), F.lit(0.0)) if importance else F.lit(1.0)
+    size = word_count(text_col)
     slim = docs.select(F.col(doc).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                       word_count(text_col).alias("size"), _draw(seed, F.col(doc), text_col).alias("draw"),
-                       imp.alias("imp"))
+                       size.alias("size"), _draw(seed, F.col(doc), text_col).alias("draw"),
+                       (_whole(F.col(importance)) if importance else F.ceil(F.sqrt(size))).alias("imp"))
     slim = materialise(slim, "mix-sizes")  # the texts are read once
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"),
-                                         F.sum(F.col("imp") * F.col("size")).alias("mass"))
+    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     sources = materialise(sources, "mix-sources")
     targets = source_targets(sources.select("source", "source_size"), weights, share, max_copies)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = targets.select(
         F.col("source").alias("_s"), "source_size", "target", F.least(F.floor(ratio), F.lit(max_copies)).cast("long").alias("whole"))
-    plan = plan.join(sources.select(F.col("source").alias("_t"), "n", "mass"), F.col("_s").eqNullSafe(F.col("_t")))
+    plan = plan.join(sources.select(F.col("source").alias("_t"), "n"), F.col("_s").eqNullSafe(F.col("_t")))
     plan = plan.drop("_t").withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = materialise(plan, "mix-plan")
-    if importance:
-        plan = materialise(_with_rate(slim, plan), "mix-plan")
-    else:
-        plan = plan.withColumn("rate", F.when(F.col("mass") > 0, F.col("rest") / F.col("mass")).otherwise(F.lit(0.0)))
-    # 1. Rank, and the interval of ranks that a row falls in. Under p alike, the rank grows with u, so intervals of u
-    # hold about INTERVAL_ROWS rows each; under unequal p the rank is mapped to (0, 1) first.
-    rows = slim.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    u = (F.col("draw") + 0.5) / F.lit(float(1 << 52))
-    p = F.least(F.lit(1.0), F.col("rate") * F.col("imp"))
-    odds = F.when(p >= 1.0, F.lit(0.0)).when(p <= 0.0, F.lit(float("inf"))).otherwise(u / (1 - u) * (1 - p) / p)
-    key = odds if importance else u
-    at = F.when(F.col("size") == 0, F.lit(1.0)).when(key == F.lit(float("inf")), F.lit(1.0)).otherwise(
-        key / (1 + key) if importance else key)
-    count = F.greatest(F.ceil(F.col("n") / F.lit(INTERVAL_ROWS)), F.lit(1))
-    rows = rows.withColumns({"key": key, "interval": F.least(F.floor(at * count), count - 1).cast("long")})
-    # 2. Words before each interval: a row per (source, interval), combined before it moves.
-    sums = rows.where("size > 0").groupBy("source", "interval").agg(F.sum("size").alias("words"))
-    sums = materialise(sums, "mix-intervals")
+    plan = _with_rate(slim, plan)
+    # 1. Rank and interval of ranks per row; words per (source, interval), combined before they move.
+    sums = _ranked(slim, plan).where("size > 0").groupBy("source", "interval").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("interval").alias("_i"), "words",
-                       F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("interval") == F.col("_i"))
-    rows = rows.join(sums, on, "left").drop("_s", "_i")
-    # 3. Whole intervals below the wanted size are in, those above are out; the one between is put in order.
-    inside = F.coalesce(F.col("before") + F.col("words") <= F.col("rest"), F.lit(False))
-    cut = F.coalesce(~inside & (F.col("before") < F.col("rest")), F.lit(False)) & (F.col("size") > 0)
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    # 2. One interval per source holds the cut: those of smaller ranks are in, those of larger ranks are out.
+    ends = sums.join(plan.select("_s", "rest"), F.col("source").eqNullSafe(F.col("_s"))).where(
+        F.col("before") + F.col("words") > F.col("rest"))
+    ends = ends.groupBy(F.col("source").alias("_e")).agg(F.min("interval").alias("cut"), F.min("before").alias("before"))
+    plan = materialise(plan.join(ends, F.col("_s").eqNullSafe(F.col("_e")), "left").drop("_e"), "mix-cuts")
+    # 3. That interval alone is put in order.
+    rows = _ranked(slim, plan)
+    split = F.coalesce((F.col("interval") == F.col("cut")) & (F.col("before") < F.col("rest")), F.lit(False)) & (
+        F.col("size") > 0)
+    inside = F.col("cut").isNull() | (F.col("interval") < F.col("cut"))
     upto = Window.partitionBy("source").orderBy("key", "doc_id", "draw", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     running = F.col("before") + F.sum("size").over(upto)
     near = (running <= F.col("rest")) | ((running - F.col("size") < F.col("rest"))
                                          & (running - F.col("rest") < F.col("rest") - running + F.col("size")))
-    chosen = rows.where(cut).withColumn("extra", near.cast("long"))
-    settled = rows.where(~cut).withColumn("extra", (inside & (F.col("size") > 0)).cast("long"))
+    chosen = rows.where(split).withColumn("extra", near.cast("long"))
+    settled = rows.where(~split).withColumn("extra", (inside & (F.col("rest") > 0)).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     return settled.unionByName(chosen).select(
         "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"),
         copies.alias("copies"), (copies * F.col("size")).alias("taken"), "draw")
 
 
-def _with_rate(slim: DataFrame, plan: DataFrame, rounds: int = 8) -> DataFrame:
-    """The factor c per source with sum(min(1, c * importance) * size) = rest; certain documents raise it for others."""
-    plan = plan.withColumn("rate", F.when(F.col("mass") > 0, F.col("rest") / F.col("mass")).otherwise(F.lit(0.0)))
-    for _ in range(rounds):
-        plan = materialise(plan, "mix-rate")
-        p = F.col("rate") * F.col("imp")
-        seen = slim.join(plan.select(F.col("source_size").alias("_z"), F.col("_s"), "rate"),
-                         F.col("source").eqNullSafe(F.col("_s")))
-        sums = seen.groupBy(F.col("source").alias("_k")).agg(
-            F.coalesce(F.sum(F.when(p >= 1, F.col("size"))), F.lit(0)).alias("certain"),
-            F.sum(F.when(p < 1, F.col("imp") * F.col("size"))).alias("open"))
-        plan = plan.join(sums, F.col("_s").eqNullSafe(F.col("_k")), "left").withColumn(
-            "rate", F.when(F.col("open") > 0, F.greatest("rate", (F.col("rest") - F.col("certain")) / F.col("open")))
-            .otherwise(F.col("rate"))).drop("_k", "certain", "open")
-    return plan
+def _ranked(slim: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with their plan, Pareto rank ``key`` and ``interval``.
+
+    A rank r falls into interval floor(r/(1+r) * count). The cut comes to lie near r = 1, where at most 4p(1-p) times as
+    many rows share an interval as would with ranks spread evenly, whatever p is: INTERVAL_ROWS or fewer.
+    """
+    rows = slim.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    u = (F.col("draw") + 0.5) / F.lit(float(1 << 52))
+    p = F.least(F.lit(1.0), F.col("rate") * F.col("imp"))
+    key = F.when(p >= 1.0, F.lit(0.0)).when(p <= 0.0, F.lit(float("inf"))).otherwise(u / (1 - u) * (1 - p) / p)
+    at = F.when(key == F.lit(float("inf")), F.lit(1.0)).otherwise(key / (1 + key))
+    count = F.greatest(F.ceil(F.col("n") / F.lit(INTERVAL_ROWS)), F.lit(1))
+    rows = rows.withColumn("key", key)
+    return rows.withColumn("interval", F.least(F.floor(at * count), count - 1).cast("long"))
+
+
+def _with_rate(slim: DataFrame, plan: DataFrame) -> DataFrame:
+    """The factor c per source with sum(min(1, c * importance) * size) = rest.
+
+    Documents that become certain raise c for the others, which can make more of them certain: repeated until no source
+    gains any. The rounds run over a row per source and importance.
+    """
+    odds = slim.where("size > 0").groupBy(F.col("source").alias("_k"), "imp").agg(F.sum("size").alias("words"))
+    odds = materialise(odds, "mix-odds")
+    exact = "decimal(19,0)"
+    plan = materialise(plan.withColumns({"rate": F.lit(0.0), "certain": F.lit(-1).cast("long")}), "mix-rate")
+    while True:
+        sure = F.col("rate") * F.col("imp") >= 1
+        seen = odds.join(plan.select("_s", "rate"), F.col("_k").eqNullSafe(F.col("_s")))
+        sums = seen.groupBy("_k").agg(
+            F.coalesce(F.sum(F.when(sure, F.col("words"))), F.lit(0)).alias("now"),
+            F.sum(F.when(~sure, F.col("imp").cast(exact) * F.col("words").cast(exact))).cast("double").alias("open"))
+        now = F.coalesce(F.col("now"), F.lit(0))
+        rate = F.when(F.col("open") > 0, (F.col("rest") - now) / F.col("open")).otherwise(F.col("rate"))
+        plan = materialise(plan.join(sums, F.col("_s").eqNullSafe(F.col("_k")), "left").withColumns(
+            {"rate": F.greatest(F.col("rate"), rate), "gained": F.col("certain") != now, "certain": now}).drop(
+            "_k", "now", "open"), "mix-rate")
+        if not plan.where("gained").limit(1).count():
+            return plan.drop("gained", "certain")
+        plan = plan.drop("gained")
 
 
 def mixed_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source",

@@ -40,9 +40,17 @@ o AS (SELECT *, sum(cap) OVER q - cap AS held, sum(weight) OVER () - (sum(weight
 r AS (SELECT max((total - held) / open) FILTER ((total - held) / open * weight <= cap) AS rate FROM o),
 g AS (SELECT source, source_size, least(cap, weight * coalesce(rate, 0)) AS target FROM w, r),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM g),
-k AS (SELECT t.*, source_size, target, whole, target - whole * source_size AS rest,
-    sum(size) OVER (PARTITION BY t.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source)
+i AS (SELECT t.source, ceil(sqrt(size))::BIGINT AS imp, sum(size)::BIGINT AS words, any_value(target - whole * source_size) AS rest
+  FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source WHERE size > 0 GROUP BY 1, 2),
+c AS (SELECT source, imp, (rest - (sum(words) OVER (PARTITION BY source ORDER BY imp DESC ROWS UNBOUNDED PRECEDING) - words))
+    / sum(imp * words) OVER (PARTITION BY source ORDER BY imp ROWS UNBOUNDED PRECEDING)::DOUBLE AS rate FROM i),
+f AS (SELECT source, arg_max(rate, imp) FILTER (rate * imp < 1) AS rate FROM c GROUP BY source),
+h AS (SELECT t.*, source_size, target, whole, target - whole * source_size AS rest, (draw + 0.5) / 4503599627370496.0::DOUBLE AS u,
+    least(1.0::DOUBLE, coalesce(f.rate, 0) * ceil(sqrt(size))) AS odds
+  FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source LEFT JOIN f ON t.source IS NOT DISTINCT FROM f.source),
+e AS (SELECT *, CASE WHEN odds >= 1 THEN 0.0::DOUBLE WHEN odds <= 0 THEN 'inf'::DOUBLE
+    ELSE u / (1 - u) * (1 - odds) / odds END AS place FROM h),
+k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id NULLS FIRST, draw, size ROWS UNBOUNDED PRECEDING) AS upto FROM e)
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
   (size * (whole + CASE WHEN size > 0 AND (upto <= rest OR (upto - size < rest AND upto - rest < rest - upto + size))
     THEN 1 ELSE 0 END))::BIGINT AS taken FROM k

@@ -1,5 +1,6 @@
 """Mixing: targets against a loop in plain Python, sampling against its defining properties."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -106,3 +107,63 @@ def test_registered_query(spark, small, registered):
         d = by_id[r.doc_id]
         assert r.size == len(WORD.findall(d.text or "")) and r.target == pytest.approx(want[d.source])
         assert r.source_size == sizes[d.source]
+
+
+def plain_sample(rows):
+    """Residual copies of one source, from what ``mix`` says of size, draw and target."""
+    words = sum(r.size for r in rows)
+    target = rows[0].target
+    whole = min(int(target // words), 3)
+    rest = target - whole * words
+    weight = {r.doc_id: math.isqrt(r.size - 1) + 1 for r in rows}
+    certain = set()
+    while True:
+        open_mass = sum(weight[r.doc_id] * r.size for r in rows if r.doc_id not in certain)
+        rate = (rest - sum(r.size for r in rows if r.doc_id in certain)) / open_mass
+        more = {r.doc_id for r in rows if rate * weight[r.doc_id] >= 1} - certain
+        if not more:
+            break
+        certain |= more
+
+    def rank(r):
+        u, p = (r.draw + 0.5) / 2**52, rate * weight[r.doc_id]
+        if r.doc_id in certain:
+            return 0.0
+        return u / (1 - u) * (1 - p) / p if p else math.inf
+
+    taken, seen = {}, 0
+    for r in sorted(rows, key=lambda r: (rank(r), r.doc_id)):
+        near = seen + r.size <= rest or (seen < rest and seen + r.size - rest < rest - seen)
+        taken[r.doc_id], seen = whole + int(near), seen + r.size
+    return taken, certain
+
+
+def test_sample_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "INTERVAL_ROWS", 16)
+    lengths = {"a": [9] * 50, "b": [1 + (i * i) % 97 for i in range(800)] + [4000, 2500, 900, 60, 60],
+               "c": [2 + i % 11 for i in range(1500)], None: [1 + i % 40 for i in range(600)]}
+    rows = mixing.mix(docs_of(spark, lengths)).collect()
+    check(rows, 0.5)
+    sure = 0
+    for name in lengths:
+        own = [r for r in rows if r.source == name]
+        want, certain = plain_sample(own)
+        assert {r.doc_id: r.copies for r in own} == want
+        sure += len(certain)
+    assert sure  # the very long ones are beyond chance
+
+
+def test_longer_documents_are_likelier(spark):
+    df = docs_of(spark, {"a": [4] * 3000 + [100] * 3000, "b": [30] * 4000, "c": [30] * 4000})
+    rows = [r for r in mixing.mix(df).collect() if r.source == "a"]
+    short = sum(r.copies for r in rows if r.size == 4)
+    long = sum(r.copies for r in rows if r.size == 100)
+    assert {r.copies for r in rows} == {0, 1} and long / short == pytest.approx(5, rel=0.3)
+
+
+def test_odd_importance_has_a_place(spark):
+    values = "array(null, double('nan'), -3.0D, 0.0D, 1e300D, double('inf'), 0.25D, 1.0D)[cast(doc_id % 8 as int)] as imp"
+    df = docs_of(spark, {"a": [10] * 800, "b": [10] * 8000}).selectExpr("*", values)
+    rows = mixing.mix(df, importance="imp").collect()
+    check(rows, 1.5)
+    assert {r.copies for r in rows if r.source == "b" and r.doc_id % 8 in (4, 5)} == {1}
