@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_p, normal_p, student_p, student_t95, student_two_sided
 from ..session import materialise
-from .ordered import value_ranks, with_ranks
+from .ordered import Scan, running, value_bucket, value_ranks, with_ranks
 
 Pairs = Sequence[tuple[str, str]]
 
@@ -33,23 +33,57 @@ def pearson(df: DataFrame, pairs: Pairs, by: Sequence[str] = (), p_value: bool =
     out = wide.select(*by, rows).select(*by, "x.a", "x.b", "x.r", "x.n")
     if not p_value:
         return out
-    dof = F.col("n") - 2
-    return out.withColumn("p", student_p(F.col("r") * F.sqrt(F.try_divide(dof, 1 - F.col("r") * F.col("r"))), dof))
+    return out.withColumn("p", _correlation_p("r"))
 
 
-def spearman(
-    df: DataFrame, pairs: Pairs, by: Sequence[str] = (), p_value: bool = True, store: bool = True,
-) -> DataFrame:
-    """Rank correlation of each pair (ties share their average rank), over the rows that hold both."""
-    if store:
-        df = materialise(df.select(*dict.fromkeys([*by, *[c for pair in pairs for c in pair]])), "spearman")
-    out = None
-    for a, b in pairs:
-        both = df.dropna(subset=[a, b]).select(*by, a, b)
-        ranked = with_ranks(both, {"_ra": (a, "average", False), "_rb": (b, "average", False)}, by, False)
-        one = pearson(ranked, [("_ra", "_rb")], by, p_value).withColumns({"a": F.lit(a), "b": F.lit(b)})
-        out = one if out is None else out.unionByName(one)
-    return out.withColumnRenamed("r", "rho")
+def spearman(df: DataFrame, pairs: Pairs, by: Sequence[str] = (), p_value: bool = True) -> DataFrame:
+    """Rank correlation of each pair of numeric columns (ties share their average rank), over the rows that hold both.
+
+    All pairs go through one contingency table: rows are counted by (pair, a, b) before anything is ordered, the distinct
+    values of a side are ranked once, and the correlation weighs each cell by its count. Null and NaN are missing values.
+    A pair (or label of ``by``) without a complete row has n 0 and no rho; one side without variation has no rho either.
+    A table without rows gives none.
+    """
+    by = list(by)
+    options = []
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+        options.append(F.struct(F.lit(i).alias("_pair"), F.when(both, x).alias("_a"), F.when(both, y).alias("_b")))
+    cells = df.select(*by, F.explode(F.array(*options)).alias("_x")).select(*by, "_x.*")
+    cells = materialise(cells.groupBy(*by, "_pair", "_a", "_b").agg(F.count("_a").alias("_n")), "pair-cells")
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("_side"), F.col(c).alias("_value"))
+                                for side, c in enumerate(("_a", "_b"))]))
+    keys = [*by, "_pair", "_side"]
+    values = cells.where("_n > 0").select(*by, "_pair", "_n", sides.alias("_x")).select(*by, "_pair", "_x.*", "_n")
+    values = materialise(values.groupBy(*keys, "_value").agg(F.sum("_n").alias("_n")), "pair-values")
+    ranks = running(value_bucket(values, "_value", "_bucket"), keys, "_bucket", ["_value"],
+                    {"_below": Scan("sum", F.col("_n"), inclusive=False)})
+    ranks = materialise(ranks.withColumn("_rank", F.col("_below") + (F.col("_n") + 1) / 2.0), "pair-ranks")
+    placed = cells
+    for side, value in enumerate(("_a", "_b")):
+        names = {c: f"_k{side}_{i}" for i, c in enumerate([*by, "_pair", "_value"])}
+        one = ranks.where(F.col("_side") == side).select(
+            *[F.col(c).alias(k) for c, k in names.items()], F.col("_rank").alias(f"_r{side}"))
+        on = [F.col(b).eqNullSafe(F.col(names[b])) for b in by]
+        on += [F.col("_pair") == F.col(names["_pair"]), F.col(value) == F.col(names["_value"])]
+        placed = placed.join(one, on, "left").drop(*names.values())
+    n, x, y = F.col("_n").cast("double"), F.col("_r0"), F.col("_r1")
+    sums = placed.groupBy(*by, "_pair").agg(
+        F.sum("_n").alias("n"), F.sum(n * x * y).alias("_xy"), F.sum(n * x * x).alias("_xx"), F.sum(n * y * y).alias("_yy"),
+        ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias("_varied"))
+    # The mean rank of either side is (n + 1) / 2.
+    mid = F.col("n") * ((F.col("n") + 1) / 2.0) * ((F.col("n") + 1) / 2.0)
+    rho = (F.col("_xy") - mid) / F.sqrt((F.col("_xx") - mid) * (F.col("_yy") - mid))
+    named = [F.array(*[F.lit(pair[side]) for pair in pairs])[F.col("_pair")].alias(c) for side, c in enumerate("ab")]
+    out = sums.select(*by, *named, F.when(F.col("_varied"), F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0))).alias("rho"), "n")
+    return out.withColumn("p", _correlation_p("rho")) if p_value else out
+
+
+def _correlation_p(r: str) -> Column:
+    """Two-sided p-value of a correlation over n rows, by the t distribution."""
+    dof = F.col("n") - 2
+    return student_p(F.col(r) * F.sqrt(F.try_divide(dof, 1 - F.col(r) * F.col(r))), dof)
 
 
 def weighted_mean_test(df: DataFrame, by: Sequence[str], rate: str = "oe_rate", se: str = "oe_se") -> DataFrame:
@@ -188,7 +222,7 @@ def shift_summary(adjusted: DataFrame, top: int = 20) -> DataFrame:
     moved = adjusted.agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs("shift")).alias("mean_abs_shift"),
         F.avg(first).alias("top_mean_abs_shift"), F.max(first).alias("top_max_abs_shift"))
-    rho = spearman(adjusted, [("total_before", "total_after")], p_value=False, store=False).select("rho").scalar()
+    rho = spearman(adjusted, [("total_before", "total_after")], p_value=False).select("rho").scalar()
     return moved.withColumn("spearman", rho)
 
 

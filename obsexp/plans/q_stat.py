@@ -269,6 +269,11 @@ def spearman(spark, folder):
     return out.select("a", "b", r6("rho").alias("rho"), "n")
 
 
+@query("spearman_test")
+def spearman_test(spark, folder):
+    return st.spearman(banded(load(spark, folder, "lineitem")), _PAIRS)
+
+
 # supplier estimates with a closed-form standard error, grouped by nation
 _EST = """est AS (SELECT l_suppkey, s_nationkey, n_regionkey, count(*) AS n, avg(CAST(l_returnflag = 'R' AS INTEGER)) - 0.33 AS oe_rate,
   stddev_samp(CAST(l_returnflag = 'R' AS INTEGER)) / sqrt(count(*)) AS oe_se, avg(l_quantity) AS x1, avg(l_discount) AS x2, avg(l_tax) AS x3
