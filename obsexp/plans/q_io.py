@@ -9,7 +9,7 @@ from ..operators.ordered import top_k
 from ..session import scratch_path
 from ..sources import ledger as lg
 from ..sources.manifest import build_manifest, flat_manifest, test_table
-from ..sources.readers import read_documents, read_events_csv, read_frames, read_periods, read_table
+from ..sources.readers import flatten_frames, read_documents, read_events_csv, read_frames, read_periods, read_table
 from ..sources.writers import compact, write_table
 from ..streaming import jobs
 from . import q_agg, q_stat
@@ -55,16 +55,17 @@ def compact_query(spark, folder):
 
 
 def _extract(spark):
-    """Rows and per-file counts of frame documents."""
+    """Frames and per-file counts of frame documents: a unit without moments is empty, one without usable frames fails."""
     def run(todo):
-        paths = todo.select("path", "file")
-        files = [row.path for row in paths.toLocalIterator()]
+        files = [row.path for row in todo.select("path").collect()]  # at most BATCH_FILES
         docs = read_documents(spark, files, multi_line=False)
-        rows = docs.select("file", "gameid", F.size("events").alias("n_events"))
+        moments = F.aggregate("events", F.lit(0), lambda n, e: n + F.coalesce(F.size(e["moments"]), F.lit(0)))
+        rows = flatten_frames(docs, ["file"]).select("file", "game_id", "event_id", "ts_ms")
         units = docs.groupBy("file").agg(
-            F.count(F.lit(1)).alias("n_frames"), F.sum(F.size("events")).alias("n_events"), F.count(F.lit(1)).alias("n_rows"),
+            F.sum(moments).alias("n_frames"), F.sum(F.size("events")).alias("n_events"),
             F.bool_or(F.col("corrupt").isNotNull()).alias("corrupt"))
-        return rows, units
+        written = rows.groupBy(F.col("file").alias("_f")).agg(F.count(F.lit(1)).alias("n_rows"))
+        return rows, units.join(written, F.col("file") == F.col("_f"), "left").drop("_f")
     return run
 
 
@@ -78,6 +79,33 @@ def ingest_new(spark, folder):
     return lg.ingest_new(spark, source, out, book, _extract(spark), "*.txt").select("rows", "remaining", "open_failures")
 
 
+@query("season_gate", """
+WITH e AS (SELECT count(*)::BIGINT AS n, count(DISTINCT user_id::VARCHAR || '-' || CAST(ts AS DATE)::VARCHAR)::BIGINT AS g FROM events)
+SELECT 'all units' AS attempt, false AS published, 2::BIGINT AS empty, 1::BIGINT AS failed, n AS extracted, 0::BIGINT AS rows, 0::BIGINT AS games FROM e UNION ALL
+SELECT 'corrupt unit withdrawn', true, 2, 1, n, n, g FROM e""")
+def season_gate(spark, folder):
+    """A season with a corrupt, an empty and a zero-length unit: shut while one is open, published once it is withdrawn."""
+    source, out, book, routes, season = (scratch_path(spark, f"season-{c}") for c in ("in", "rows", "ledger", "routes", "out"))
+    good = write_documents(spark, folder)
+    docs = spark.read.text(good)
+    one = docs.where(F.col("value") == docs.agg(F.min("value")).scalar()).limit(1)
+    one.select(F.expr("left(value, length(value) - 9)").alias("value")).write.text(f"{source}/corrupt")
+    one.select(F.regexp_replace("value", r'"moments":.*$', '"moments":[]}]}').alias("value")).write.text(f"{source}/empty")
+    docs.where("value is null").limit(0).write.text(f"{source}/void")
+    places, attempts = [good, f"{source}/empty", f"{source}/void"], []
+    lg.ingest_new(spark, [*places, f"{source}/corrupt"], out, book, _extract(spark), "*.txt", limit=1, routes=routes)
+    for name, listed in (("all units", [*places, f"{source}/corrupt"]), ("corrupt unit withdrawn", places)):
+        status = lg.ingest_new(spark, listed, out, book, _extract(spark), "*.txt", routes=routes)
+        done = lg.publish(spark, lg.list_units(spark, listed, "*.txt"), out, book, season)
+        table = lg.read_published(spark, season).select("game_id") if done else spark.createDataFrame([], "game_id string")
+        side = [lg.read_route(spark, routes, s).agg(F.count_distinct("file")).scalar() for s in ("empty", "failed")]
+        size, games = table.agg(F.count(F.lit(1))).scalar(), table.agg(F.count_distinct("game_id")).scalar()
+        attempts.append(status.select(
+            F.lit(name).alias("attempt"), F.lit(done).alias("published"), side[0].alias("empty"), side[1].alias("failed"),
+            F.col("rows").alias("extracted"), size.alias("rows"), games.alias("games")))
+    return attempts[0].unionByName(attempts[1])
+
+
 def _units(spark, folder):
     """Users as units: views are frames, purchases events, cheap purchases rows."""
     return load(spark, folder, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file")).agg(

@@ -1,4 +1,4 @@
-"""Incremental ingest: what is new, what came of it, and where it went.
+"""Incremental ingest: what is new, what came of it, where it went, and when the whole may be published.
 
 The ledger is an append-only table of (file, status, reason, rows) with status ``ok``, ``empty`` or ``failed``. Files
 that are ``ok`` or ``empty`` are settled and never read again; failed ones are tried again.
@@ -6,7 +6,10 @@ that are ``ok`` or ``empty`` are settled and never read again; failed ones are t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+import uuid
+from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +22,32 @@ LEDGER = T.StructType([
     T.StructField("reason", T.StringType()), T.StructField("rows", T.LongType()),
 ])
 SETTLED = ("ok", "empty")
+COMMITS = T.StructType([
+    T.StructField("version", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("units", T.LongType()),
+    T.StructField("rows", T.LongType()), T.StructField("digest", T.LongType()),
+])
+# Files that one extraction job takes; only their paths are ever held by the driver's Python.
+BATCH_FILES = 10_000
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files below a path, without their contents."""
+def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """Files below a path (or several), without their contents."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     return listing.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length")
 
 
+def list_units(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """``list_files``, stored, with the files of no length that a scan leaves out.
+
+    Their names come from the file index, which the driver holds for every read of a folder.
+    """
+    found = list_files(spark, path, pattern)
+    named = [(unquote(f), unquote(f).rsplit("/", 1)[-1]) for f in found.inputFiles()]
+    indexed = spark.createDataFrame(named, "path string, file string")
+    void = indexed.join(found.select("file"), "file", "left_anti").select("path", "file", F.lit(0).cast("long").alias("length"))
+    return materialise(found.unionByName(void), "units")
+
+
 def latest_status(ledger: DataFrame) -> DataFrame:
     """One row per file: settled if it ever settled."""
     rank = F.when(F.col("status") == "ok", 0).when(F.col("status") == "empty", 1).otherwise(2)
@@ -79,25 +100,34 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_new(
-    spark: SparkSession, source: str, out: str, ledger_path: str,
+    spark: SparkSession, source: str | list[str], out: str, ledger_path: str,
     extract: Callable[[DataFrame], tuple[DataFrame, DataFrame]], pattern: str = "*", limit: int | None = None,
+    routes: str | None = None, batch: int = BATCH_FILES,
 ) -> DataFrame:
     """Extract files that are not settled, write their rows and their outcomes, and return the status report.
 
     ``extract`` maps the pending files (path, file, length) to (rows with a ``file`` column, per-file counts, with an
-    optional flag ``corrupt``). Every pending file gets its line in the ledger: one that ``extract`` says nothing about
-    has no frames. Only rows of files that came out ``ok`` are written, and a failure that repeats itself is not noted
-    twice. Files are processed by one job, not one at a time. Rows are written before the ledger, below a folder per
-    file, so a run that dies in between is repeated without duplicates.
+    optional flag ``corrupt``). Every pending file gets its line in the ledger: one that ``extract`` says nothing about,
+    such as a file of no length, has no frames. Only rows of files that came out ``ok`` are written, and a failure that
+    repeats itself is not noted twice. ``routes`` names a folder for side outputs: new outcomes below ``status=ok``,
+    ``status=empty`` and ``status=failed``, by one write.
+
+    Files are processed by one job per ``batch`` files, dealt by hash. Rows are written before the ledger, below a folder
+    per file, so a run that dies in between is repeated without duplicates and keeps the batches before.
     """
-    listing = list_files(spark, source, pattern)
+    listing = list_units(spark, source, pattern)
     todo = pending(listing, read_ledger(spark, ledger_path))
     if limit:
         todo = todo.orderBy("file").limit(limit)
-    if not todo.isEmpty():
-        rows, units = extract(todo)
+    todo = materialise(todo, "pending")
+    jobs = math.ceil(todo.count() / batch)
+    for turn in range(jobs):
+        part = todo.where(F.pmod(F.xxhash64("file"), F.lit(jobs)) == turn)
+        if part.isEmpty():
+            continue
+        rows, units = extract(part)
         flag = "corrupt" if "corrupt" in units.columns else None
-        seen = todo.select(F.col("file").alias("_file")).join(units, F.col("_file") == F.col("file"), "left").drop("file")
+        seen = part.select(F.col("file").alias("_file")).join(units, F.col("_file") == F.col("file"), "left").drop("file")
         routed = materialise(route_outcomes(seen.withColumnRenamed("_file", "file"), corrupt=flag).select(
             "file", "status", "reason", F.when(F.col("status") == "ok", F.col("n_rows")).cast("long").alias("rows")), "outcomes")
         good = routed.where("status = 'ok'").select(F.col("file").alias("_good"))
@@ -105,15 +135,70 @@ def ingest_new(
             "partitionOverwriteMode", "dynamic").partitionBy("file").parquet(out)
         known = read_ledger(spark, ledger_path).select(*[F.col(c).alias(f"_{c}") for c in ("file", "status", "reason")])
         repeat = (F.col("file") == F.col("_file")) & (F.col("status") == F.col("_status")) & F.col("reason").eqNullSafe(F.col("_reason"))
-        routed.join(known, repeat, "left_anti").write.mode("append").parquet(ledger_path)
+        fresh = materialise(routed.join(known, repeat, "left_anti"), "outcomes")
+        if routes:
+            fresh.write.mode("append").partitionBy("status").parquet(routes)
+        fresh.write.mode("append").parquet(ledger_path)
     return ingest_status(listing, read_ledger(spark, ledger_path))
 
 
+def read_route(spark: SparkSession, routes: str, status: str) -> DataFrame:
+    """Units that came out as ``ok``, ``empty`` or ``failed`` at some time, once per reason."""
+    kept = [f for f in LEDGER if f.name != "status"]
+    table = spark.read.schema(T.StructType([*kept, T.StructField("status", T.StringType())])).parquet(routes)
+    return table.where(F.col("status") == status).select(*LEDGER.names).dropDuplicates(["file", "reason"])
+
+
 def all_settled(listing: DataFrame, ledger: DataFrame, limited: bool = False) -> bool:
     """Whether the combined table may be written: nothing is pending and the run was not limited."""
     return not limited and pending(listing, ledger).isEmpty()
 
 
-def split_routes(routed: DataFrame, statuses: Sequence[str] = ("ok", "empty", "failed")) -> dict[str, DataFrame]:
-    """One table per status."""
-    return {s: routed.where(F.col("status") == s) for s in statuses}
+def publish(spark: SparkSession, listing: DataFrame, rows_path: str, ledger_path: str, target: str,
+            limited: bool = False) -> bool:
+    """Write the combined table of all listed units, if every one of them is settled; says whether it did or stands.
+
+    The table is staged in a folder of its own below ``target`` and becomes visible by one line in ``target``/commits,
+    written last: readers see the version before or the new one, and a run that dies leaves nothing but an unnamed folder.
+    A set of units that is published already is not written again. Without any row there is a line and no table.
+    """
+    ledger = read_ledger(spark, ledger_path)
+    if not all_settled(listing, ledger, limited):
+        return False
+    state = materialise(listing.select("file").join(latest_status(ledger), "file"), "settled")
+    mark = state.agg(F.count(F.lit(1)).alias("units"), F.sum("rows").alias("rows"),
+                     F.bit_xor(F.xxhash64("file", "status", "rows")).alias("digest")).first()
+    last = _last_commit(spark, target)
+    if last and (last.units, last.digest) == (mark.units, mark.digest):
+        return True
+    version = uuid.uuid4().hex
+    good = state.where("status = 'ok'").select(F.col("file").alias("_good"))
+    staged = f"{target}/versions/{version}"
+    if mark.rows:
+        rows = spark.read.parquet(rows_path)
+        rows.join(good, F.col("file") == F.col("_good"), "left_semi").hint("rebalance").write.parquet(staged)
+    line = spark.createDataFrame([(version, mark.units, mark.rows or 0, mark.digest)],
+                                 "version string, units long, rows long, digest long")
+    line.withColumn("at", F.current_timestamp()).select(*COMMITS.names).coalesce(1).write.mode("append").parquet(
+        f"{target}/commits")
+    return True
+
+
+def _last_commit(spark: SparkSession, target: str):
+    from .readers import MissingTable, read_table
+
+    try:
+        commits = read_table(spark, f"{target}/commits", schema=COMMITS)
+    except MissingTable:
+        return None
+    return commits.orderBy(F.col("at").desc(), "version").first()
+
+
+def read_published(spark: SparkSession, target: str) -> DataFrame:
+    """The version of the combined table that was committed last."""
+    from .readers import MissingTable, read_table
+
+    last = _last_commit(spark, target)
+    if last is None:
+        raise MissingTable(f"{target}: nothing is published yet")
+    return read_table(spark, f"{target}/versions/{last.version}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +62,18 @@ def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return docs.withColumn("file", F.col("_metadata.file_name"))
 
 
-def flatten_frames(documents: DataFrame) -> DataFrame:
-    """One row per frame: a position array holds period, timestamp, clock, shot clock, a blank and the entities."""
-    events = documents.select(F.col("gameid").alias("game_id"), F.col("gamedate").alias("game_date"),
+def flatten_frames(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per frame: a position array holds period, timestamp, clock, shot clock, a blank and the entities.
+
+    ``keep`` names columns of the documents that go along.
+    """
+    events = documents.select(*keep, F.col("gameid").alias("game_id"), F.col("gamedate").alias("game_date"),
                               F.posexplode("events").alias("event_idx", "event"))
-    moments = events.select("game_id", "game_date", "event_idx", F.col("event.eventId").alias("event_id"),
+    moments = events.select(*keep, "game_id", "game_date", "event_idx", F.col("event.eventId").alias("event_id"),
                             F.posexplode("event.moments").alias("moment_idx", "moment"))
     parts = moments.withColumn("m", F.from_json("moment", "array<string>")).where(F.size("m") >= 6)
     frames = parts.select(
-        "game_id", "game_date", "event_idx", "event_id", "moment_idx",
+        *keep, "game_id", "game_date", "event_idx", "event_id", "moment_idx",
         F.col("m")[0].try_cast("int").alias("period"), F.col("m")[1].try_cast("long").alias("ts_ms"),
         F.col("m")[2].try_cast("double").alias("clock"), F.col("m")[3].try_cast("double").alias("shot_clock"),
         F.from_json(F.col("m")[5], "array<array<double>>").alias("entities"),

@@ -54,3 +54,42 @@ def test_status_counts_each_file_once(spark):
     row = lg.ingest_status(listing, book).first().asDict()
     assert row == {"total": 4, "extracted": 1, "empty": 1, "remaining": 2, "rows": 5, "open_failures": 1}
     assert sorted(r.file for r in lg.pending(listing, book).collect()) == ["c", "d"]
+
+
+def test_publishing_waits_for_every_unit(spark, tmp_path):
+    source = tmp_path / "units"
+    source.mkdir()
+    for name, text in (("a b.txt", "1\n2\n"), ("c.txt", "3\n"), ("void.txt", ""), ("bad.txt", "x\n")):
+        (source / name).write_text(text)
+    taken = []
+
+    def extract(todo):
+        files = [r.path for r in todo.collect()]
+        taken.append(sorted(f.rsplit("/", 1)[1] for f in files))
+        lines = spark.read.text(files).withColumn("file", F.col("_metadata.file_name")).withColumn(
+            "v", F.col("value").try_cast("int")).withColumn("file", F.replace("file", F.lit("%20"), F.lit(" ")))
+        counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_frames"), F.count(F.lit(1)).alias("n_events"),
+                                           F.count("v").alias("n_rows"), (F.count("v") == 0).alias("corrupt"))
+        return lines.where("v is not null").select("file", "v"), counts
+
+    out, book, routes, target = (scratch_path(spark, f"t-season-{c}") for c in ("rows", "ledger", "routes", "target"))
+    run = lambda: lg.ingest_new(spark, str(source), out, book, extract, "*.txt", routes=routes, batch=2).first()
+    listing = lambda: lg.list_units(spark, str(source), "*.txt")
+    first = run()
+    assert (first.total, first.extracted, first["empty"], first.open_failures, first.rows) == (4, 2, 1, 1, 3)
+    assert sorted(f for files in taken for f in files) == ["a b.txt", "bad.txt", "c.txt", "void.txt"]
+    side = {s: sorted(r.file for r in lg.read_route(spark, routes, s).collect()) for s in ("ok", "empty", "failed")}
+    assert side == {"ok": ["a b.txt", "c.txt"], "empty": ["void.txt"], "failed": ["bad.txt"]}
+    assert not lg.publish(spark, listing(), out, book, target)  # a failure is open
+    with pytest.raises(MissingTable):
+        lg.read_published(spark, target)
+    (source / "bad.txt").write_text("7\n")
+    assert run().open_failures == 0 and not lg.publish(spark, listing(), out, book, target, limited=True)
+    assert lg.publish(spark, listing(), out, book, target) and lg.publish(spark, listing(), out, book, target)
+    assert sorted(r.v for r in lg.read_published(spark, target).collect()) == [1, 2, 3, 7]
+    assert spark.read.parquet(f"{target}/commits").count() == 1  # the second call found it published
+    (source / "new.txt").write_text("9\n")
+    assert not lg.publish(spark, listing(), out, book, target)  # the old version stays readable
+    assert lg.read_published(spark, target).count() == 4
+    assert run().remaining == 0 and lg.publish(spark, listing(), out, book, target)
+    assert sorted(r.v for r in lg.read_published(spark, target).collect()) == [1, 2, 3, 7, 9]
