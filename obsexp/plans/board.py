@@ -13,6 +13,7 @@ from ..operators import association as st
 from ..operators import panel as pn
 from ..operators import shrinkage as sh
 from ..operators.folds import cell_mean, group_folds
+from ..operators.crossfit import cross_fit_logistic
 from ..operators.models import ExpectationModel, cross_fit
 from ..operators.resampling import bootstrap
 
@@ -37,6 +38,16 @@ def score_by_model(
     return scored.withColumn("residual", F.col(outcome) - F.col("expected"))
 
 
+def score_by_logistic(
+    df: DataFrame, group: str, outcome: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5, seed: int = 42,
+    method: str = "hash",
+) -> DataFrame:
+    """The same with logistic regressions, all folds at once."""
+    folded = group_folds(df, group, k, seed, outcome, method)
+    scored = cross_fit_logistic(folded, outcome, numeric, categorical, "fold", k)
+    return scored.withColumn("residual", F.col(outcome) - F.col("expected"))
+
+
 def write_scored(scored: DataFrame, path: str, period: str) -> None:
     """Store scored events once, a folder per period, for the board and every report to read."""
     scored.write.partitionBy(period).parquet(path)

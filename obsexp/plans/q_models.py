@@ -8,7 +8,7 @@ from ..operators import aggregates as ag
 from ..operators import models as md
 from ..operators import profiles as pr
 from ..operators import scores as sc
-from .board import score_by_model
+from .board import score_by_logistic, score_by_model
 from .registry import LINE_ID, banded, load, query, r6
 
 NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -46,7 +46,7 @@ def holdout_metrics(spark, folder):
 
 @query("cross_fit_logistic")
 def cross_fit_logistic(spark, folder):
-    scored = score_by_model(lines(spark, folder), "l_orderkey", "made", logistic)
+    scored = score_by_logistic(lines(spark, folder), "l_orderkey", "made", NUMERIC, CATEGORICAL)
     return ag.oe_table(scored, ["l_suppkey"], floor=150)
 
 
