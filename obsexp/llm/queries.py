@@ -167,10 +167,16 @@ def dated_captures(pages: DataFrame) -> DataFrame:
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
-    host = url_filters.host_of(F.col("url"))
-    folder = F.when(F.col("page_id") % 7 == 0, F.lower(url_filters.folder_of(F.col("url"))))
-    names = pages.select("page_id", F.explode(F.array(host, F.regexp_replace(host, r"^[^.]*\.", ""), folder)).alias("pattern"))
-    seen = names.where(F.col("pattern").isNotNull() & (F.col("page_id") % 3 != 1)).groupBy("pattern").agg(F.min("page_id").alias("n"))
+    """Entries for every page: its host, the domain above, its first folder, its whole path, and the folder in capitals.
+
+    The folder's host is written in capitals, which match like small letters; those of a path do not.
+    """
+    host, folder = url_filters.host_of(F.col("url")), url_filters.folder_of(F.col("url"))
+    segment = F.substr(folder, F.length(host) + 1)
+    patterns = F.array(host, F.regexp_replace(host, r"^[^.]*\.", ""), F.concat(F.upper(host), segment),
+                       url_filters.path_of(F.col("url")), F.concat(host, F.upper(segment)))
+    names = pages.select("page_id", F.explode(patterns).alias("pattern"))
+    seen = names.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.min("page_id").alias("n"))
     start = F.lit("2019-12-01").cast("date")
     first = F.when(F.col("n") % 2 == 0, "block").otherwise("allow")
     history = F.array(*[F.struct(a.alias("action"), F.date_add(start, d.cast("int")).alias("listed")) for a, d in (
@@ -184,21 +190,24 @@ WITH parts AS (
     nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^/?#]*)?', 1)), '\.+$', ''), '') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^/?#]*)?', 2) AS segment
   FROM pages),
-rows AS (SELECT *, CASE WHEN length(segment) > 1 THEN host || segment END AS folder FROM parts),
+rows AS (
+  SELECT *, CASE WHEN length(segment) > 1 THEN segment END AS part,
+    nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/+$', ''), '') AS path FROM parts),
 names AS (
-  SELECT page_id, unnest([host, regexp_replace(host, '^[^.]*\.', ''), CASE WHEN page_id % 7 = 0 THEN lower(folder) END]) AS pattern FROM rows),
-seen AS (SELECT pattern, min(page_id) AS n FROM names WHERE pattern IS NOT NULL AND page_id % 3 <> 1 GROUP BY pattern),
+  SELECT page_id, unnest([host, regexp_replace(host, '^[^.]*\.', ''), upper(host) || part, host || path, host || upper(part)]) AS pattern FROM rows),
+seen AS (SELECT pattern, min(page_id) AS n FROM names WHERE pattern IS NOT NULL GROUP BY pattern),
 entries AS (
   SELECT pattern, CASE WHEN n % 2 = 0 THEN 'block' ELSE 'allow' END AS action, date '2019-12-01' + (n * 53 % 400)::INTEGER AS listed FROM seen
   UNION ALL SELECT pattern, 'remove', date '2019-12-01' + (200 + n * 29 % 300)::INTEGER FROM seen
   UNION ALL SELECT pattern, 'block', date '2019-12-01' + (380 + n * 17 % 300)::INTEGER FROM seen),
 daily AS (
-  SELECT pattern, listed, arg_max(action, CASE action WHEN 'remove' THEN 3 WHEN 'block' THEN 2 ELSE 1 END) AS action
-  FROM entries GROUP BY pattern, listed),
+  SELECT regexp_replace(lower(split_part(pattern, '/', 1)) || substr(pattern, length(split_part(pattern, '/', 1)) + 1), '/+$', '') AS pattern,
+    listed, arg_max(action, CASE action WHEN 'remove' THEN 3 WHEN 'block' THEN 2 ELSE 1 END) AS action FROM entries GROUP BY 1, 2),
 spans AS (SELECT *, lead(listed) OVER (PARTITION BY pattern ORDER BY listed) AS until FROM daily),
 keys AS (
   SELECT row_number() OVER () AS r, page_id, url, fetched, host,
-    CASE WHEN folder IS NULL THEN [] ELSE [folder] END || list_transform(range(1, len(string_split(host, '.')) + 1),
+    CASE WHEN path IS NULL THEN [] ELSE list_transform(range(len(string_split(path, '/')), 1, -1),
+      lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/')) END || list_transform(range(1, len(string_split(host, '.')) + 1),
       lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')) AS ks FROM rows),
 places AS (SELECT r, fetched, unnest(ks) AS k, generate_subscripts(ks, 1) AS place FROM keys),
 found AS (
