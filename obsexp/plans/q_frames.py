@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import frames as fr
@@ -12,6 +14,8 @@ from .extraction import extract_events
 from .registry import load, query, r6, s6
 
 _LIMIT = 80.0
+# Events of one document, about, when a user and day has more.
+DOCUMENT_EVENTS = 100_000
 
 
 def ticks(spark, folder):
@@ -88,8 +92,12 @@ def demoted(spark, folder):
     return fr.demote(docs, "measured", "reported").select("doc_id", r6("dist_error").alias("dist_error"), "release_confidence")
 
 
-def write_documents(spark, folder) -> str:
-    """Frame documents from the events table, one per line: the user is at a fixed spot, the ball is as high as the value."""
+def write_documents(spark, folder, grouped: bool = False) -> str:
+    """Frame documents from the events table, one per line: the user is at a fixed spot, the ball is as high as the value.
+
+    An event is a document of its own, or, ``grouped``, one of those of its user and day, with a second frame that
+    repeats the time of the first. A user and day of many events is dealt over several documents.
+    """
     e = ticks(spark, folder)
     num = lambda c: c.cast("string")
     x = F.pmod("user_id", F.lit(94)).cast("double")
@@ -102,9 +110,17 @@ def write_documents(spark, folder) -> str:
     clock = F.lit(86400.0) - F.pmod(F.col("t"), F.lit(86400000000)) / 1e6
     moment = F.concat(F.lit("["), F.concat_ws(",", F.lit("1"), num(F.floor(F.col("t") / 1000)), num(F.round(clock, 3)),
                                               F.lit("14.0"), F.lit("null"), entities), F.lit("]"))
+    moments = F.concat_ws(",", moment, moment) if grouped else moment
+    event = F.concat(F.lit('{"eventId":"'), num(F.col("event_id")), F.lit('","moments":['), moments, F.lit("]}"))
+    e = e.select("user_id", "day", "t", "event_id", event.alias("events"))
+    if grouped:
+        parts = max(1, math.ceil(e.count() / DOCUMENT_EVENTS))
+        part = F.pmod(F.xxhash64("event_id"), F.lit(parts))
+        listed = F.array_sort(F.collect_list(F.struct("t", "event_id", "events")))
+        e = e.groupBy("user_id", "day", part).agg(F.array_join(listed["events"], ",").alias("events"))
     doc = F.concat(
         F.lit('{"gameid":"'), num(F.col("user_id")), F.lit("-"), num(F.col("day")), F.lit('","gamedate":"'), num(F.col("day")),
-        F.lit('","events":[{"eventId":"'), num(F.col("event_id")), F.lit('","moments":['), moment, F.lit("]}]}"))
+        F.lit('","events":['), F.col("events"), F.lit("]}"))
     path = scratch_path(spark, "documents")
     e.select(doc.alias("value")).write.text(path)
     return path
@@ -122,6 +138,20 @@ def frames_scan(spark, folder):
         r6(F.max(F.element_at(F.col("entities")[0], 5))).alias("max_height"), F.max("ts_ms").alias("last_ms"))
 
 
+@query("frames_grouped", f"""
+WITH f AS (SELECT {_GAME} AS game_id, epoch_us(ts) // 1000 AS ms, value, event_id::VARCHAR AS e FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY game_id, ms ORDER BY e) AS place FROM f)
+SELECT game_id, 2 * count(*) AS frames, count(DISTINCT e) AS events, count(*) FILTER (WHERE place = 1) AS kept,
+  {s6('max(value) FILTER (WHERE place = 1)')} AS max_height FROM k GROUP BY 1""")
+def frames_grouped(spark, folder):
+    """Documents of many events, whose frames repeat their time: of each time the first frame is kept."""
+    frames = fr.split_roles(read_frames(spark, write_documents(spark, folder, grouped=True), multi_line=False))
+    whole = frames.groupBy("game_id").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("event_id").alias("events"))
+    kept = fr.dedup_frames(frames, order=["moment_idx", "event_id"]).groupBy("game_id").agg(
+        F.count(F.lit(1)).alias("kept"), r6(F.max("ball_z")).alias("max_height"))
+    return whole.join(kept, "game_id")
+
+
 @query("split_roles", f"""
 SELECT event_id::VARCHAR AS event_id, {s6('value')} AS ball_z, 3::INTEGER AS players, user_id AS first_player, {s6('user_id % 94')} AS first_x FROM events""")
 def split_roles(spark, folder):

@@ -47,14 +47,14 @@ _DOCUMENT = T.StructType([
     T.StructField("gamedate", T.StringType()),
     T.StructField("events", T.ArrayType(T.StructType([
         T.StructField("eventId", T.StringType()),
-        T.StructField("moments", T.ArrayType(T.StringType())),
+        T.StructField("moments", T.ArrayType(T.VariantType())),
     ]))),
     T.StructField("corrupt", T.StringType()),
 ])
 
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Frame documents, one row each; the mixed arrays inside stay text until they are needed.
+    """Frame documents, one row each; the mixed arrays inside are parsed once, to variants.
 
     A document that does not parse is a row with its text in ``corrupt`` and nothing else.
     """
@@ -71,12 +71,11 @@ def flatten_frames(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
                               F.posexplode("events").alias("event_idx", "event"))
     moments = events.select(*keep, "game_id", "game_date", "event_idx", F.col("event.eventId").alias("event_id"),
                             F.posexplode("event.moments").alias("moment_idx", "moment"))
-    parts = moments.withColumn("m", F.from_json("moment", "array<string>")).where(F.size("m") >= 6)
-    frames = parts.select(
+    part = lambda i, kind: F.try_variant_get("moment", f"$[{i}]", kind)
+    frames = moments.select(
         *keep, "game_id", "game_date", "event_idx", "event_id", "moment_idx",
-        F.col("m")[0].try_cast("int").alias("period"), F.col("m")[1].try_cast("long").alias("ts_ms"),
-        F.col("m")[2].try_cast("double").alias("clock"), F.col("m")[3].try_cast("double").alias("shot_clock"),
-        F.from_json(F.col("m")[5], "array<array<double>>").alias("entities"),
+        part(0, "int").alias("period"), part(1, "long").alias("ts_ms"), part(2, "double").alias("clock"),
+        part(3, "double").alias("shot_clock"), part(5, "array<array<double>>").alias("entities"),
     )
     return frames.where(F.size("entities") > 0)
 

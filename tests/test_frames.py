@@ -206,3 +206,18 @@ def test_ingest_resumes_and_routes(spark, tmp_path):
 def test_demotion(spark, measured, reported, before, after):
     df = spark.createDataFrame([(measured, reported, before)], "m double, r double, release_confidence string")
     assert fr.demote(df, "m", "r").first().release_confidence == after
+
+
+def test_odd_moments_are_parsed_once(spark, tmp_path):
+    ball = [-1, -1, 1.5, 2.5, 1e-3]
+    frames = stored(spark, {"gameid": "g", "gamedate": "d", "events": [
+        {"eventId": "1", "moments": [["2", "7", 9.25, None, None, [ball]], [1, 8, "x", 3, None, [["?", 4, 1, 1, 0], ball]],
+                                     [1, 9, 8.0, 1.0, None, None], [1, 10, 8.0, 1.0, None, "text"], "no array", None, 5]},
+        {"eventId": "2", "moments": None}, {"eventId": "3", "moments": [[1, 7, 5, 4.0, None, [ball], "more"]]}]}, tmp_path)
+    rows = {(r.event_id, r.ts_ms): r for r in frames.collect()}
+    assert sorted(rows) == [("1", 7), ("1", 8), ("3", 7)]
+    first, second = rows[("1", 7)], rows[("1", 8)]
+    assert (first.period, first.clock, first.shot_clock, first.entities) == (2, 9.25, None, [[-1.0, -1.0, 1.5, 2.5, 0.001]])
+    assert (second.clock, second.shot_clock, second.entities[0]) == (None, 3.0, [None, 4.0, 1.0, 1.0, 0.0])
+    plan = frames._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
