@@ -33,7 +33,7 @@ def model_features(spark, folder):
     """Feature vectors of the training rows, summarised per category."""
     train = lines(spark, folder)
     features = md.FeaturePipeline(NUMERIC, CATEGORICAL, scale=True)
-    model = md.fit_model(train, "made", features, md.LogisticRegression(maxIter=5, regParam=0.01))
+    model = md.fit_model(train, "made", features, md.LogisticRegression(maxIter=1000, regParam=0.01))
     vectors = model.fitted.transform(features.prepare(train, model.modes))
     return vectors.withColumn("v", md.vector_to_array("features")).groupBy("l_linestatus", "q_band").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg(F.col("v")[0])).alias("mean_scaled_quantity"), F.max(F.size("v")).alias("width"))
