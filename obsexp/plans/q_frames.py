@@ -97,8 +97,11 @@ def write_documents(spark, folder, grouped: bool = False) -> str:
 
     An event is a document of its own, or, ``grouped``, one of those of its user and day, with a second frame that
     repeats the time of the first. A user and day of many events is dealt over several documents.
+
+    Events are dealt evenly before they are written: a table of few row groups would otherwise be written by few tasks,
+    and the first of them, if its split of the table holds no row group, leaves a file of no length.
     """
-    e = ticks(spark, folder)
+    e = ticks(spark, folder).repartition("event_id")
     num = lambda c: c.cast("string")
     x = F.pmod("user_id", F.lit(94)).cast("double")
     entity = lambda *v: F.concat(F.lit("["), F.concat_ws(",", *v), F.lit("]"))
