@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as fr
 from ..operators.ordered import top_k
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import ledger as lg
 from ..sources.manifest import build_manifest, flat_manifest, test_table
 from ..sources.readers import flatten_frames, read_documents, read_events_csv, read_frames, read_periods, read_table
@@ -260,7 +260,8 @@ def activity_runs(spark, folder):
 def stream_claims(spark, folder):
     """Frame documents as a stream of candidates, claimed with state."""
     path = write_documents(spark, folder)
-    frames = fr.number_frames(fr.dedup_frames(fr.split_roles(read_frames(spark, path, multi_line=False))))
+    parsed = fr.dedup_frames(fr.split_roles(read_frames(spark, path, multi_line=False)))
+    frames = fr.number_frames(materialise(parsed, "frames"))  # documents are parsed once
     contacts = fr.actor_contacts(frames).where("actor_id > 0")
     found = contacts.select("game_id", "period", "actor_id", F.xxhash64("game_id", F.floor(F.col("clock") / 7200)).alias("event_id"),
                             F.floor(F.col("clock") / 7200).cast("double").alias("event_clock"), "pos", "clock", "ball_z", "ball_distance")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,42 +87,62 @@ def activity_runs(
 
 
 _CLAIMED = "event_id long, pos long, release_confidence string"
-_CLAIM_STATE = "pos array<long>, clock array<double>, settled array<long>"
+# Claims still in reach and settled events, each with the chain (game, period, actor) it belongs to.
+_CLAIM_STATE = "claim_chain array<string>, pos array<long>, clock array<double>, settled_chain array<string>, settled array<long>"
+# State keys that the chains are dealt over. A stream's checkpoint is bound to the number it began with.
+CLAIM_BUCKETS = 4096
 
 
 def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pos_before, clock_before, settled = state.get if state.exists else ([], [], [])
-    taken, done = list(zip(pos_before, clock_before)), set(settled)
-    rows = pd.concat(list(batches)).sort_values(["event_clock", "event_id"], ascending=[False, True], kind="stable")
+    claim_chains, claim_pos, claim_clock, settled_chains, settled = state.get if state.exists else ([], [], [], [], [])
+    claims, done = defaultdict(list), defaultdict(set)
+    for chain, pos, clock in zip(claim_chains, claim_pos, claim_clock):
+        claims[chain].append((pos, clock))
+    for chain, event_id in zip(settled_chains, settled):
+        done[chain].add(event_id)
+    rows = pd.concat(list(batches), ignore_index=True).dropna(subset=["event_id"])
+    rows = rows.sort_values(["event_clock", "event_id"], ascending=[False, True], kind="stable", ignore_index=True)
+    # Candidates of an event, the best first: held ones by height, then the others by distance; the first free one is taken.
+    chain, event = rows["chain"].factorize()[0], rows.groupby(["chain", "event_id"], sort=False).ngroup().to_numpy()
+    loose = ~(rows["ball_distance"] <= HELD_DISTANCE).to_numpy()
+    worth = np.where(loose, rows["ball_distance"].fillna(np.inf), -rows["ball_z"].fillna(-np.inf))
+    rows, event = (x.take(np.lexsort([rows["pos"], worth, loose, event, chain])) for x in (rows, event))
+    starts = np.flatnonzero(np.diff(event, prepend=-1)) if len(event) else []
+    chains, event_ids, reaches, pos, clock, gap = (rows[c].tolist() for c in (
+        "chain", "event_id", "event_clock", "pos", "clock", "ball_distance"))
     out = []
-    for event_id, event in rows.groupby("event_id", sort=False):
-        if int(event_id) in done:
+    for a, b in zip(starts, [*starts[1:], len(rows)]):
+        own, event_id = chains[a], int(event_ids[a])
+        if event_id in done[own]:
             continue
-        done.add(int(event_id))
+        done[own].add(event_id)
         # The clock runs down: claims of frames beyond this event's reach can no longer matter.
-        reach = event["event_clock"].iloc[0] + RELEASE_WINDOW_S + CLAIM_SECONDS
-        taken = [t for t in taken if t[1] <= reach]
-        free = event
-        for pos, clock in taken:
-            near = ((free["pos"] - pos).abs() <= CLAIM_POSITIONS) & ((free["clock"] - clock).abs() <= CLAIM_SECONDS)
-            free = free[~near]
-        if free.empty:
-            continue
-        held = free[free["ball_distance"] <= HELD_DISTANCE]
-        best = (held.sort_values(["ball_z", "pos"], ascending=[False, True]) if len(held)
-                else free.sort_values(["ball_distance", "pos"])).iloc[0]
-        taken.append((int(best["pos"]), float(best["clock"])))
-        out.append((int(event_id), int(best["pos"]), "high" if len(held) else "low"))
-    state.update(([p for p, _ in taken], [c for _, c in taken], sorted(done)))
+        reach = reaches[a] + RELEASE_WINDOW_S + CLAIM_SECONDS
+        taken = claims[own] = [t for t in claims[own] if t[1] <= reach]
+        for i in range(a, b):
+            if not any(abs(pos[i] - p) <= CLAIM_POSITIONS and abs(clock[i] - c) <= CLAIM_SECONDS for p, c in taken):
+                taken.append((int(pos[i]), float(clock[i])))
+                out.append((event_id, int(pos[i]), "high" if gap[i] <= HELD_DISTANCE else "low"))
+                break
+    in_reach = [(k, p, c) for k, taken in claims.items() for p, c in taken]
+    closed = [(k, event_id) for k, ids in done.items() for event_id in sorted(ids)]
+    state.update((*([t[i] for t in in_reach] for i in range(3)), *([t[i] for t in closed] for i in range(2))))
     yield pd.DataFrame(out, columns=["event_id", "pos", "release_confidence"])
 
 
-def claim_stream(candidates: DataFrame) -> DataFrame:
+def claim_stream(candidates: DataFrame, buckets: int = CLAIM_BUCKETS) -> DataFrame:
     """Exclusive release frames over a stream of candidates; claims live in the state of (game, period, actor).
 
     A game's candidates must lie in one file, as its document does; whole files arrive together, so the batch size makes
     no difference. An event is settled once; candidates that come again change nothing. The state holds the claims still
     in reach and the numbers of the settled events. It has no timeout: with one, a run over the files present would not end.
+
+    Chains are dealt by hash over ``buckets`` state keys, as a call for each chain would cost more than its events. A
+    task holds the rows and the state of one bucket at a time, and a batch reads and writes the state of those it meets.
     """
-    return candidates.groupBy("game_id", "period", "actor_id").applyInPandasWithState(
+    place = ["game_id", "period", "actor_id"]
+    slim = candidates.select(
+        F.pmod(F.xxhash64(*place), F.lit(buckets)).alias("bucket"), F.to_json(F.struct(*place)).alias("chain"),
+        "event_id", "event_clock", "pos", "clock", "ball_z", "ball_distance")
+    return slim.groupBy("bucket").applyInPandasWithState(
         _claim, _CLAIMED, _CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -3,7 +3,11 @@
 import glob
 import os
 
+from pyspark.sql import functions as F
+
 from obsexp.plans.q_frames import write_documents
+from obsexp.session import scratch_path
+from obsexp.streaming import jobs
 
 
 def test_documents_leave_no_file_of_no_length(spark, small):
@@ -20,3 +24,27 @@ def test_documents_leave_no_file_of_no_length(spark, small):
     sizes = [os.path.getsize(f) for f in glob.glob(f"{path}/*.txt")]
     assert sizes and min(sizes) > 0
     assert spark.read.text(path).count() == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_claims_of_many_games_take_no_state_key_each(spark):
+    """Two events of each game compete for its best frame: the later one gets the other, in one batch or over two."""
+    root = scratch_path(spark, "t-many-claims")
+    games, place = 3000, F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(p).alias("p")) for e in (0, 1) for p in (10, 200)]))
+    rows = spark.range(games).select(F.col("id").alias("game"), place.alias("x")).select(
+        F.col("game").cast("string").alias("game_id"), F.lit(1).alias("period"), F.lit(7).cast("long").alias("actor_id"),
+        (F.col("game") * 2 + F.col("x.e")).alias("event_id"), (100.0 - F.col("x.e")).alias("event_clock"),
+        F.col("x.p").cast("long").alias("pos"), (100.0 - F.col("x.p") / 100).alias("clock"),
+        (9.0 - F.col("x.p") / 100).alias("ball_z"), F.lit(1.0).alias("ball_distance"))
+    rows.where("event_clock = 100").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+
+    def run(times):
+        for _ in range(times):
+            claimed = jobs.claim_stream(jobs.read_stream(spark, f"{root}/in", schema), buckets=64)
+            jobs.run_to_end(claimed, f"{root}/out", f"{root}/check")
+        return {r.event_id: r.pos for r in spark.read.parquet(f"{root}/out").collect()}
+
+    assert run(1) == {2 * g: 10 for g in range(games)}
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/in")  # the first event once more, and the second
+    assert run(2) == {2 * g + e: (10, 200)[e] for g in range(games) for e in (0, 1)}
+    assert spark.read.format("statestore").load(f"{root}/check").count() <= 64
