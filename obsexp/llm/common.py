@@ -46,15 +46,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either a component or has one edge, to a component; ``u`` is always the larger end."""
+    ends = F.array(*[F.struct(F.col(end).alias("node"), F.lit(up).alias("up")) for end, up in (("u", 1), ("v", 0))])
+    nodes = edges.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.up").alias("ups"), F.min("x.up").alias("low"))
+    return nodes.where((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0))).isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components: ``edges(u long, v long)`` to ``(node, component)``, the component being its smallest node.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) until the edge set stands still. Every step
+    Alternates the large-star and small-star steps of Kiveris et al. (2014) until only stars are left. Every step
     is a partial aggregate (the smallest neighbour of a node) and a join whose two sides are shuffled tables, so that
     a node holding a third of all edges is split at run time. Each round is written to the shared folder. Nodes without
     an edge are not returned. Loops and null ends are ignored.
@@ -63,10 +65,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.where(F.col("u") != F.col("v"))
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(edges, "edges")
-    before = _state(edges)
-    if before[0] == 0:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
+        if _settled(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), F.least("_m", "u").alias("m"))
         least = materialise(least, "least")
@@ -79,10 +80,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()
         edges = materialise(small, "small-star")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -29,8 +29,9 @@ THRESHOLD = 0.8
 # At a similarity of 0.8, four registers agree with probability 0.41 and some of 24 bands do with 0.999997.
 BANDS, ROWS = 24, 4
 LEADER_ROUNDS = 2
-# Members, and bytes of their texts, that one side of a comparison holds; bytes of one call.
-BLOCK, BLOCK_BYTES, BATCH_BYTES = 512, 8 << 20, 8 << 20
+# Members, and bytes of their texts, that one side of a comparison holds; bytes of one call, few enough that even short
+# texts, which take more time a byte, make calls for all cores.
+BLOCK, BLOCK_BYTES, BATCH_BYTES = 512, 8 << 20, 1 << 20
 # Shingle sets that a verifying task remembers.
 MEMORY_TEXTS = 200
 
@@ -109,10 +110,23 @@ def _among(rows: DataFrame, numbers: DataFrame, label: str) -> DataFrame:
 
 def compare(rid: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list, threshold: float) -> list[tuple[int, int]]:
     """A forest of the links between members of different parts: of all members, or across the two sides if both occur."""
-    whole = not side.any()
-    left = np.flatnonzero(~side)
-    right = left if whole else np.flatnonzero(side)
-    root = {int(x): int(x) for x in part}
+    root, edges = {int(x): int(x) for x in part}, []
+    # Members of the largest part only meet those outside it: what is linked already is not compared again.
+    values, sizes = np.unique(part, return_counts=True)
+    main = part == values[sizes.argmax()]
+    if not side.any():
+        _meet(np.flatnonzero(~main), np.arange(len(part)), rid, part, sets, threshold, root, edges)
+    else:
+        _meet(np.flatnonzero(~side & ~main), np.flatnonzero(side), rid, part, sets, threshold, root, edges)
+        _meet(np.flatnonzero(~side & main), np.flatnonzero(side & ~main), rid, part, sets, threshold, root, edges)
+    return edges
+
+
+def _meet(left: np.ndarray, right: np.ndarray, rid: np.ndarray, part: np.ndarray, sets: list, threshold: float,
+          root: dict[int, int], edges: list[tuple[int, int]]) -> None:
+    """Add the links between members on the left and on the right to the forest ``edges`` of the parts in ``root``."""
+    if not len(left) or not len(right):
+        return
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -128,7 +142,6 @@ def compare(rid: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list, thr
     weight = np.concatenate([sets[j][1] / sets[j][1].sum() for j in right])[order]
     shingle, starts = np.unique(every[order], return_index=True)
     starts = np.append(starts, len(every))
-    edges = []
     for i in left:
         own, p = sets[i][0], sets[i][1] / sets[i][1].sum()
         at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
@@ -145,7 +158,6 @@ def compare(rid: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list, thr
             if a != b and shingles.probability_jaccard(sets[i], sets[j]) >= threshold:
                 root[max(a, b)] = min(a, b)
                 edges.append((int(rid[i]), int(rid[j])))
-    return edges
 
 
 def _remaining(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -192,6 +204,8 @@ def links(stored: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
     wanted = materialise(entries.groupBy(F.col("rid").alias("_r")).agg(F.sum("n").alias("met")), "candidates")
     texts = stored_texts(_among(stored.select("rid", "text"), wanted, "candidate-bits"), "candidate-texts")
     entries = materialise(entries.join(wanted, F.col("rid") == F.col("_r")).select("rid", "band", "hash", "met"), "bucket-entries")
+    # Components grow from turn to turn: the stars of the last turn and the links that the next one adds.
+    stars = lambda p: p.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     tested, parts = None, None
     for turn in range(LEADER_ROUNDS + 1):
         members = entries.withColumn("component", F.col("rid"))
@@ -208,8 +222,7 @@ def links(stored: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
         buckets = materialise(buckets, "open-buckets")
         if turn == LEADER_ROUNDS:
             rest = _remaining(members.join(buckets, on).select("rid", "band", "hash", "component", "size"), texts, threshold, size)
-            near = tested.where(F.col("similarity") >= threshold).select("u", "v").unionByName(rest)
-            return materialise(components(near), "components")
+            return parts if rest.isEmpty() else materialise(components(stars(parts).unionByName(rest)), "components")
         pairs = _ordered(members.join(buckets, on).where("component <> leader.component").select(
             F.col("rid").alias("u"), F.col("leader.rid").alias("v")))
         if tested is not None:
@@ -217,7 +230,11 @@ def links(stored: DataFrame, heads: DataFrame, threshold: float = THRESHOLD, siz
                                (F.col("u") == F.col("_tu")) & (F.col("v") == F.col("_tv")), "left_anti")
         found = _verified(pairs, texts, size)
         tested = found if tested is None else tested.unionByName(found)
-        parts = materialise(components(tested.where(F.col("similarity") >= threshold)), "components")
+        near = found.where(F.col("similarity") >= threshold).select("u", "v")
+        if parts is None:
+            parts = materialise(components(near), "components")
+        elif not near.isEmpty():
+            parts = materialise(components(stars(parts).unionByName(near)), "components")
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,

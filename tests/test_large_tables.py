@@ -3,8 +3,10 @@
 import glob
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from obsexp.llm import common, near_dedup, shingles
 from obsexp.plans.q_frames import write_documents
 from obsexp.session import scratch_path
 from obsexp.streaming import jobs
@@ -48,3 +50,31 @@ def test_claims_of_many_games_take_no_state_key_each(spark):
     rows.coalesce(1).write.mode("append").parquet(f"{root}/in")  # the first event once more, and the second
     assert run(2) == {2 * g + e: (10, 200)[e] for g in range(games) for e in (0, 1)}
     assert spark.read.format("statestore").load(f"{root}/check").count() <= 64
+
+
+def test_a_component_is_not_compared_with_itself(monkeypatch):
+    """Of 300 members in one part and two outside, only the two are looked up, and their link is found from both sides."""
+    calls = []
+    whole = near_dedup._meet
+    monkeypatch.setattr(near_dedup, "_meet", lambda left, right, *rest: (calls.append(len(left) * len(right)), whole(left, right, *rest)))
+    hashes = shingles.WordHashes()
+    words = [f"w{i}".encode() for i in range(40)]
+    sets = [shingles.shingle_counts([*words, b"x%d" % i], hashes) for i in range(301)]
+    sets.append(shingles.shingle_counts([b"apart"] * 9, hashes))
+    rid, part = np.arange(302), np.array([0] * 300 + [300, 301])
+    sides = np.zeros(302, bool), np.arange(302) >= 150
+    for side in sides:
+        calls.clear()
+        edges = near_dedup.compare(rid, part, side, sets, 0.8)
+        assert len(edges) == 1 and 300 in edges[0]
+        assert sum(calls) <= 2 * 302
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i % 3) for i in range(3, 30)], "u long, v long")
+    labels = []
+    kept = common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, label: (labels.append(label), kept(df, label))[1])
+    found = {r.node: r.component for r in common.components(edges).collect()}
+    assert found == {i: i % 3 for i in range(30)}
+    assert labels == ["edges"]
