@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as fr
 from ..operators import ordered as od
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources.readers import read_frames
 from .extraction import extract_events
 from .registry import load, query, r6, s6
@@ -194,7 +194,9 @@ def extract(spark, folder):
 SELECT event_id::VARCHAR AS event_id, {s6('least(3.0, abs(event_id % 50 - 25))')} AS closest_distance, {s6('greatest(3.0, abs(event_id % 50 - 25))')} AS second_distance,
   (1 + CAST(abs(event_id % 50 - 25) <= 6 AS INTEGER))::INTEGER AS n_close FROM events""")
 def nearest_at_frame(spark, folder):
-    frames = fr.split_roles(read_frames(spark, write_documents(spark, folder), multi_line=False))
+    # Stored, as the planner would otherwise read the entities out of the document again for every use of them.
+    parsed = materialise(read_frames(spark, write_documents(spark, folder), multi_line=False), "parsed")
+    frames = fr.split_roles(parsed)
     near = fr.nearest_others(frames.withColumn("actor_id", F.element_at(F.split("game_id", "-"), 1).cast("long")))
     return near.select("event_id", r6("closest_distance").alias("closest_distance"), r6("second_distance").alias("second_distance"), "n_close")
 

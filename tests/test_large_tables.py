@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from obsexp.llm import common, near_dedup, shingles
 from obsexp.plans.q_frames import write_documents
+from obsexp.plans.registry import QUERIES
 from obsexp.session import scratch_path
 from obsexp.streaming import jobs
 
@@ -78,3 +79,9 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     found = {r.node: r.component for r in common.components(edges).collect()}
     assert found == {i: i % 3 for i in range(30)}
     assert labels == ["edges"]
+
+
+def test_neighbours_read_parsed_frames(spark, small):
+    """Distances are taken from stored entities: none of their uses reads the document again."""
+    plan = QUERIES["nearest_at_frame"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant" not in plan.lower()
