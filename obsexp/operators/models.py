@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
@@ -17,6 +18,14 @@ from .folds import base_rate, group_holdout
 from .scores import scorecard
 
 SEED = 42
+# Training rows that one task of a tree fit holds at most; the fit keeps some hundred bytes of each.
+ROWS_PER_TASK = 300_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over as many tasks as their number needs, whatever the splits of the files; a small table stays as it is."""
+    parts = math.ceil(df.count() / ROWS_PER_TASK)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else df
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
@@ -92,7 +101,11 @@ def fit_logistic(train: DataFrame, outcome: str, numeric: Sequence[str], categor
 
 def fit_boosted(train: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str],
                 max_iter: int = 300, step_size: float = 0.05, seed: int = SEED) -> ExpectationModel:
-    """Boosted trees of depth 5 with row and column sampling. Fewer rounds need a larger step."""
+    """Boosted trees of depth 5 with row and column sampling. Fewer rounds need a larger step.
+
+    The fit keeps its rows unpacked, task by task, so they are dealt by their number and not by the size of the files.
+    """
+    train = spread(train.select(*dict.fromkeys([*numeric, *categorical, outcome])))
     classifier = GBTClassifier(maxIter=max_iter, maxDepth=5, stepSize=step_size, subsamplingRate=0.8,
                                featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed)
     return fit_model(train, outcome, FeaturePipeline(numeric, categorical), classifier)

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from obsexp.llm import common, near_dedup, shingles
+from obsexp.operators import models
 from obsexp.plans.q_frames import write_documents
 from obsexp.plans.registry import QUERIES
 from obsexp.session import scratch_path
@@ -85,3 +86,22 @@ def test_neighbours_read_parsed_frames(spark, small):
     """Distances are taken from stored entities: none of their uses reads the document again."""
     plan = QUERIES["nearest_at_frame"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "variant" not in plan.lower()
+
+
+def test_tree_fits_deal_their_rows_by_number(spark, monkeypatch):
+    """One file split of 5,000 rows goes to tasks of some 1,000 rows each, and none is lost."""
+    held = []
+
+    class Recorded(models.Pipeline):
+        def fit(self, dataset, params=None):
+            held.extend(dataset.groupBy(F.spark_partition_id()).count().toPandas()["count"])
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(models, "Pipeline", Recorded)
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 1000)
+    table = spark.range(0, 5000, 1, 1).select(
+        (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("c"),
+        F.expr("int(id % 97 > 50)").alias("made"), F.col("id"))
+    model = models.fit_boosted(table, "made", ["x"], ["c"], max_iter=2, step_size=0.3)
+    assert sum(held) == 5000 and max(held) <= 1000
+    assert model.score(table).where((F.col("expected") > 0.5) == (F.col("made") == 1)).count() == 5000
