@@ -14,7 +14,7 @@ from ..session import materialise
 from ..functions.hashing import md5_hex, poisson1_hex, poisson1_thresholds
 
 ROWS_PER_CHUNK = 100_000
-_SLAB = 4_000_000
+_SLAB = 1 << 18  # draws looked at together; their arrays stay in a core's cache
 
 
 def _point(df: DataFrame, keys: Sequence[str], value: str, floor: int) -> DataFrame:
@@ -88,33 +88,45 @@ def _weight_table() -> tuple[np.ndarray, np.ndarray]:
 
 def _mix(z: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit counters over the whole range."""
-    with np.errstate(over="ignore"):
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    z = z ^ (z >> np.uint64(30))
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
+
+
+# Beyond the first counts a prefix is rare enough to be looked up.
+_PREFIXES = (_LIMITS >> np.uint64(32)).astype(np.uint16)[:5]
 
 
 def _poisson_sums(x: np.ndarray, row: np.ndarray, replicates: int, table: tuple[np.ndarray, np.ndarray]):
     """(sum of weight times value, sum of weights) per replicate; each hash gives the prefixes of four draws.
 
-    Few prefixes leave the count open; those draws take 32 more bits from a second hash.
+    Counts below four follow from comparisons of the prefixes, others from the table. Few prefixes leave the count
+    open; those draws take 32 more bits from a second hash.
     """
     counts_of, undecided = table
     words = (replicates + 3) // 4
     steps = _mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    sums, counts = np.zeros(words * 4), np.zeros(words * 4)
+    values, sums = np.vstack([x, np.ones(len(x))]), np.zeros((2, words * 4))
     slab = max(1, _SLAB // (words * 4))
     for at in range(0, len(x), slab):
         part = _mix(row[at:at + slab, None] ^ steps[None, :])
-        prefix = np.ascontiguousarray(part).view(np.uint16)
-        w = counts_of[prefix]
-        i, j = np.nonzero(undecided[prefix])
-        if len(i):
-            more = _mix(part[i, j // 4] ^ _mix(j.astype(np.uint64) % np.uint64(4) + np.uint64(1))) >> np.uint64(32)
-            w[i, j] = np.searchsorted(_LIMITS, (prefix[i, j].astype(np.uint64) << np.uint64(32)) | more, side="right")
-        sums += x[at:at + slab] @ w
-        counts += w.sum(axis=0, dtype=np.float64)
-    return sums[:replicates], counts[:replicates]
+        prefix = part.view(np.uint16)
+        w, rare = np.zeros(prefix.shape, np.uint8), prefix >= _PREFIXES[-1]
+        for limit in _PREFIXES[:-1]:
+            w += prefix >= limit
+            rare |= prefix == limit
+        i, j = np.divmod(np.flatnonzero(rare), words * 4)
+        found = prefix[i, j]
+        count, is_open = counts_of[found], undecided[found]
+        i_open, j_open = i[is_open], j[is_open]
+        more = _mix(part[i_open, j_open // 4] ^ _mix(j_open.astype(np.uint64) % np.uint64(4) + np.uint64(1))) >> np.uint64(32)
+        count[is_open] = np.searchsorted(_LIMITS, (found[is_open].astype(np.uint64) << np.uint64(32)) | more, side="right")
+        w[i, j] = count
+        sums += values[:, at:at + slab] @ w.astype(np.float64)
+    return sums[0, :replicates], sums[1, :replicates]
 
 
 def bootstrap(

@@ -2,12 +2,14 @@
 
 import glob
 import os
+import threading
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from obsexp.llm import common, near_dedup, shingles
-from obsexp.operators import models
+from obsexp.operators import models, multinomial, profiles, resampling
 from obsexp.plans.q_frames import write_documents
 from obsexp.plans.registry import QUERIES
 from obsexp.session import scratch_path
@@ -105,3 +107,54 @@ def test_tree_fits_deal_their_rows_by_number(spark, monkeypatch):
     model = models.fit_boosted(table, "made", ["x"], ["c"], max_iter=2, step_size=0.3)
     assert sum(held) == 5000 and max(held) <= 1000
     assert model.score(table).where((F.col("expected") > 0.5) == (F.col("made") == 1)).count() == 5000
+
+
+def peak(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_poisson_draws_stay_in_the_cache():
+    """Draws are looked at some hundred thousand at a time, and counts by comparison equal those of the limits."""
+    row, table = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), resampling._weight_table()
+    x = np.sin(np.arange(4000))
+    assert peak(lambda: resampling._poisson_sums(x, row, 2000, table)) < 16e6
+    sums, counts = np.zeros(40), np.zeros(40)
+    for value, word in zip(x, row):
+        for q in range(10):
+            h = resampling._mix(np.array([word]) ^ resampling._mix(np.array([q + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            for j, prefix in enumerate(h.view(np.uint16)):
+                more = resampling._mix(h ^ resampling._mix(np.array([j + 1], np.uint64)))[0] >> np.uint64(32)
+                w = np.searchsorted(resampling._LIMITS, (np.uint64(prefix) << np.uint64(32)) | more, side="right")
+                sums[4 * q + j] += value * w
+                counts[4 * q + j] += w
+    got = resampling._poisson_sums(x, row, 40, table)
+    np.testing.assert_allclose(got[0], sums, atol=1e-9)
+    assert got[1].tolist() == counts.tolist()
+
+
+def test_exact_draws_stay_in_the_cache():
+    draws = np.full(2000, 1000, np.int64)
+    assert peak(lambda: multinomial.leaf_sums(np.arange(1000.0), draws, 3, 0)) < 16e6
+
+
+def test_starts_of_clusters_run_side_by_side(spark, monkeypatch):
+    """Every start waits for the others, and the passes go over profiles dealt by their number."""
+    parts, meet = [], threading.Barrier(4, timeout=60)
+
+    class Waiting(profiles.KMeans):
+        def fit(self, dataset, params=None):
+            parts.append(dataset.rdd.getNumPartitions())
+            meet.wait()
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(profiles, "KMeans", Waiting)
+    monkeypatch.setattr(profiles, "ROWS_PER_TASK", 40, raising=False)
+    df = spark.range(0, 200, 1, 1).select("id", (F.col("id") % 2 * 50 + F.col("id") % 5).cast("double").alias("x"))
+    found = profiles.cluster_profiles(df, ["x"], k=2, starts=4).collect()
+    assert parts == [5] * 4
+    assert len(found) == 200 and len({(r.id % 2, r.cluster) for r in found}) == 2
