@@ -24,16 +24,18 @@ from .resampling import _finish, _point
 LEAF_ROWS = 1024
 ROWS_PER_CHUNK = 1 << 17
 ROW_BITS = 60
-_CELLS = 2_000_000
+_CELLS = 1 << 18  # draws looked at together; their arrays stay in a core's cache
 _STEP = 0x9E3779B1  # an odd number: its multiples run through all 32-bit numbers
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
     """Bijective mixing of 32-bit numbers; plain enough to be repeated in SQL."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(2246822507)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(3266489909)
-        return h ^ (h >> np.uint32(16))
+    h = h ^ (h >> np.uint32(16))
+    h *= np.uint32(2246822507)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(3266489909)
+    h ^= h >> np.uint32(16)
+    return h
 
 
 def _numbered(n: int) -> np.ndarray:
@@ -47,12 +49,17 @@ def leaf_sums(x: np.ndarray, draws: np.ndarray, seed: int, prefix: int) -> np.nd
     with np.errstate(over="ignore"):
         base = scramble(start + _numbered(len(draws)))
     most = int(draws.max(initial=0))
+    even = bool((draws == most).all())
     column, out = scramble(_numbered(most)), np.zeros(len(draws))
     slab = max(1, _CELLS // max(most, 1))
     for i in range(0, len(draws), slab):
         h = scramble(base[i:i + slab, None] ^ column[None, :])
-        value = x[((h.astype(np.uint64) * np.uint64(len(x))) >> np.uint64(32)).astype(np.int64)]
-        value[np.arange(most)[None, :] >= draws[i:i + slab, None]] = 0.0
+        place = h.astype(np.uint64)
+        place *= np.uint64(len(x))
+        place >>= np.uint64(32)
+        value = x.take(place.view(np.int64))
+        if not even:
+            value[np.arange(most)[None, :] >= draws[i:i + slab, None]] = 0.0
         out[i:i + slab] = value.sum(axis=1)
     return out
 
