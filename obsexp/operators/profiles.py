@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
@@ -13,6 +16,8 @@ from ..session import materialise
 
 # Cluster names in board order, and the features that decide them.
 NAMES = ("On-Ball Creators", "Catch-and-Shoot", "Mid-Range Scorers", "Interior Finishers")
+# Profiles that one task of a pass holds at most.
+ROWS_PER_TASK = 25_000
 STYLE_FEATURES = ("avg_shot_dist", "avg_def_dist", "avg_touch_time", "avg_dribbles", "three_rate")
 
 
@@ -44,16 +49,20 @@ def cluster_profiles(
     """K-means on standardised features, the best of several starts.
 
     The scaler's sample deviation differs from the population one by the same factor in every feature, which leaves the
-    clusters as they are.
+    clusters as they are. The starts run side by side: a pass over the profiles is short, and a start makes hundreds. The
+    files that hold the profiles follow from the events, so the passes go over profiles dealt by their number.
     """
     stored = materialise(profiles.dropna(subset=list(features)), "profiles")
     assembled = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(stored)
     scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(assembled).transform(assembled)
-    best = None
-    for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, maxIter=300, tol=1e-4).fit(scaled)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    dealt = scaled.select("features").repartition(max(1, math.ceil(stored.count() / ROWS_PER_TASK)))
+
+    def fit(start: int):
+        return KMeans(k=k, seed=seed + start, maxIter=300, tol=1e-4).fit(dealt)
+
+    with ThreadPool(starts) as pool:
+        models = pool.map(inheritable_thread_target(profiles.sparkSession)(fit), range(starts))
+    best = min(models, key=lambda model: model.summary.trainingCost)
     return best.setPredictionCol(out).transform(scaled).select(*profiles.columns, out)
 
 
