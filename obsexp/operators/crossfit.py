@@ -1,17 +1,19 @@
 """Logistic expectations of all folds at once.
 
 What a fit needs from its rows besides the optimiser (counts, moments, medians, category counts) is gathered per fold in
-one pass each and merged: all folds less the one left out. The fits run side by side, and one pass scores every row with
-the coefficients of its fold.
+one pass each and merged: all folds less the one left out. The fits of all folds share the passes over the rows, a handful
+of Newton steps, and one pass scores every row with the coefficients of its fold.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -22,6 +24,9 @@ from ..session import materialise
 from .models import FeaturePipeline
 from .ordered import Scan, running, value_bucket
 
+# Up to so many coefficients a fit takes Newton steps, whose matrix grows with their square; beyond, Spark's optimiser.
+MAX_NEWTON = 48
+
 
 @dataclass
 class Preparation:
@@ -53,9 +58,20 @@ def cross_fit_logistic(
     train = stored.where(F.col(outcome).isNotNull())
     if stored.where(F.col(fold).isNull() | ~F.col(fold).between(0, k - 1)).limit(1).count():
         raise ValueError("every row must be scored out of fold")
+    names, plans, fitted = fit_folds(train, outcome, numeric, categorical, fold, k, max_iter, parallel)
+    return stored.withColumn(out, _score(F.col(fold), values, texts, names, plans, fitted)).select(*df.columns, out)
+
+
+def fit_folds(train: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str], fold: str, k: int,
+              max_iter: int, parallel: int = 5):
+    """(values per text column, preparations, coefficients) of the k fits, each on the rows outside its fold."""
     counts = category_counts(train, categorical, fold)
     names = [sorted({value for column, value, _ in counts if column == i}) for i in range(len(categorical))]
     plans = preparations(train, numeric, categorical, fold, k, counts)
+    if 1 + len(numeric) + sum(map(len, names)) <= MAX_NEWTON:
+        return names, plans, _newton(train, outcome, numeric, categorical, fold, names, plans, max_iter)
+    values = [_number(c) for c in numeric]
+    texts = [F.col(c).cast("string") for c in categorical]
 
     def fit(i: int):
         plan = plans[i]
@@ -70,8 +86,100 @@ def cross_fit_logistic(
         return model.intercept, [float(c) for c in model.coefficients]
 
     with ThreadPool(min(parallel, k)) as pool:
-        fitted = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(k))
-    return stored.withColumn(out, _score(F.col(fold), values, texts, names, plans, fitted)).select(*df.columns, out)
+        return names, plans, pool.map(inheritable_thread_target(train.sparkSession)(fit), range(k))
+
+
+def _newton(train: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str], fold: str,
+            names: Sequence[Sequence[str]], plans: Sequence[Preparation], max_iter: int):
+    """Newton steps on the ridge-penalised loss of all folds. A pass returns one sum per fold and matrix entry.
+
+    A step that raises a loss is halved. Where all outcomes are equal, the intercept is infinite.
+    """
+    codes = [F.array_position(F.array(*[F.lit(v) for v in names[c]]).cast("array<string>"), F.col(t).cast("string")).cast("double")
+             for c, t in enumerate(categorical)]
+    rows = train.select(F.col(fold).cast("int").alias("_fold"), F.col(outcome).cast("double").alias("_y"),
+                        *[_number(c).alias(f"_x{j}") for j, c in enumerate(numeric)],
+                        *[F.coalesce(code, F.lit(0.0)).alias(f"_c{c}") for c, code in enumerate(codes)])
+    width = 1 + len(numeric) + sum(map(len, names))
+    ridge = np.diag([0.0] + [1.0] * (width - 1))
+    at = {i: np.zeros(width) for i, plan in enumerate(plans) if plan.n}
+    kept: dict[int, tuple[np.ndarray, float]] = {}
+    fitted: list = [None] * len(plans)
+    for turn in range(max(1, max_iter)):
+        if not at:
+            break
+        found = _sums(rows, at, len(numeric), names, plans)
+        for i, w in list(at.items()):
+            positive, loss = found[i][:2]
+            gradient, matrix = found[i][2:2 + width], found[i][2 + width:].reshape(width, width)
+            loss += w[1:] @ w[1:] / 2
+            if positive in (0, plans[i].n):
+                fitted[i] = (math.inf if positive else -math.inf, [0.0] * (width - 1))
+                del at[i]
+                continue
+            if i in kept and loss > kept[i][1] * (1 + 1e-12):
+                at[i] = (kept[i][0] + w) / 2
+                continue
+            step = np.linalg.solve(matrix + ridge, gradient - ridge @ w)
+            kept[i], at[i] = (w, loss), w + step
+            fitted[i] = (float(at[i][0]), at[i][1:].tolist())
+            if np.abs(step).max() < 1e-6:  # the next one would be about the square of it
+                del at[i]
+    return fitted
+
+
+def _sums(rows: DataFrame, at: dict[int, np.ndarray], numbers: int, names: Sequence[Sequence[str]],
+          plans: Sequence[Preparation]) -> dict[int, np.ndarray]:
+    """Per fold over the rows outside it: positive outcomes, loss, gradient and matrix of second derivatives at ``at``."""
+    sizes = [len(v) for v in names]
+    modes = [[values.index(p.modes[c]) + 1 if p.modes[c] in values else 0 for c, values in enumerate(names)] for p in plans]
+    fills = [(np.array(p.fill), np.array(p.mean), np.array([1 / s if s else 0.0 for s in p.spread])) for p in plans]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {i: np.zeros(2 + len(w) + len(w) ** 2) for i, w in at.items()}
+        for batch in batches:
+            fold, y, *columns = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(batch.num_columns)]
+            if not len(y):
+                continue
+            raw = np.column_stack(columns[:numbers]) if numbers else np.empty((len(y), 0))
+            holes = np.isnan(raw)
+            for i, w in at.items():
+                fill, mean, scale = fills[i]
+                parts = [np.ones((len(y), 1)), (np.where(holes, fill, raw) - mean) * scale]
+                for c, size in enumerate(sizes):
+                    code = np.where(columns[numbers + c] == 0, modes[i][c], columns[numbers + c])
+                    parts.append((code[:, None] == np.arange(1, size + 1)).astype(np.float64))
+                x, own = np.hstack(parts)[fold != i], y[fold != i]
+                z = x @ w
+                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                total = sums[i]
+                total[0] += own.sum()
+                total[1] += (np.logaddexp(0, z) - own * z).sum()
+                total[2:2 + len(w)] += x.T @ (own - p)
+                total[2 + len(w):] += ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()])],
+                                         names=["fold", "sums"])
+
+    parts = rows.mapInArrow(run, "fold int, sums array<double>").select("fold", F.posexplode("sums").alias("place", "part"))
+    out = {i: np.zeros(2 + len(w) + len(w) ** 2) for i, w in at.items()}
+    for r in parts.groupBy("fold", "place").agg(F.sum("part").alias("total")).collect():
+        out[r.fold][r.place] = r.total
+    return out
+
+
+class LogisticModel:
+    """One fit on all rows of a table; ``score`` adds the expected probability."""
+
+    def __init__(self, train: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str], max_iter: int):
+        FeaturePipeline(numeric, categorical, scale=True)  # refuses columns that describe the outcome
+        self.numeric, self.categorical = list(numeric), list(categorical)
+        known = train.where(F.col(outcome).isNotNull()).withColumn("_left_out", F.lit(-1))
+        self.names, self.plans, self.fitted = fit_folds(known, outcome, numeric, categorical, "_left_out", 1, max_iter)
+
+    def score(self, df: DataFrame, out: str = "expected") -> DataFrame:
+        values = [_number(c) for c in self.numeric]
+        texts = [F.col(c).cast("string") for c in self.categorical]
+        return df.select(*df.columns, _score(F.lit(0), values, texts, self.names, self.plans, self.fitted).alias(out))
 
 
 def _number(column: str) -> Column:

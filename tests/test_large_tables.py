@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from obsexp.llm import common, near_dedup, shingles
-from obsexp.operators import models, multinomial, profiles, resampling
+from obsexp.operators import crossfit, models, multinomial, profiles, resampling
 from obsexp.plans.q_frames import write_documents
 from obsexp.plans.registry import QUERIES
 from obsexp.session import scratch_path
@@ -158,3 +158,20 @@ def test_starts_of_clusters_run_side_by_side(spark, monkeypatch):
     found = profiles.cluster_profiles(df, ["x"], k=2, starts=4).collect()
     assert parts == [5] * 4
     assert len(found) == 200 and len({(r.id % 2, r.cluster) for r in found}) == 2
+
+
+def test_logistic_folds_share_a_handful_of_passes(spark, monkeypatch):
+    """Few coefficients need no optimiser that holds unpacked rows, and the table is gone over a few times for all folds."""
+    passes, whole = [], crossfit._sums
+    monkeypatch.setattr(crossfit, "_sums", lambda *args: (passes.append(1), whole(*args))[1])
+    monkeypatch.setattr(crossfit, "LogisticRegression", None)
+    table = spark.range(4000).select(
+        "id", (F.col("id") % 5).cast("int").alias("fold"), (F.col("id") % 83).cast("double").alias("x"),
+        (F.col("id") % 3).cast("string").alias("c"), F.expr("int(id % 83 + 7 * (id % 3) > 20 + id % 47)").alias("made"))
+    scored = crossfit.cross_fit_logistic(table, "made", ["x"], ["c"]).toPandas()
+    assert len(scored) == 4000 and 0 < len(passes) <= 10
+    for _, part in scored.groupby(scored["fold"]):  # each fold is scored by the fit on the others
+        assert abs((part["made"] - part["expected"]).mean()) < 0.05
+    # At the optimum the residuals of the training rows sum to zero.
+    model = models.fit_logistic(table, "made", ["x"], ["c"])
+    assert abs(model.score(table).agg(F.sum(F.col("made") - F.col("expected"))).first()[0]) < 1e-5
