@@ -178,9 +178,10 @@ def manifest(spark, folder):
 SELECT 'Error bars' AS test, printf('%d of %d entities separable', count(*) FILTER (WHERE separable), count(*)) AS headline FROM shrunk UNION ALL
 SELECT 'Reliability', printf('r %.3f over %d entities, corrected %.3f', corr(half_a, half_b), count(*), 2 * corr(half_a, half_b) / (1 + corr(half_a, half_b))) FROM halves"""))
 def test_rows(spark, folder):
+    rows = q_stat.stored_scores(spark, folder)
     return test_table([
-        ("Error bars", q_stat.board_summary(spark, folder), "%d of %d entities separable", ["n_separable", "n_entities"]),
-        ("Reliability", q_stat.half_correlation(spark, folder), "r %.3f over %d entities, corrected %.3f",
+        ("Error bars", q_stat.board_summary(spark, folder, rows), "%d of %d entities separable", ["n_separable", "n_entities"]),
+        ("Reliability", q_stat.half_correlation(spark, folder, rows), "r %.3f over %d entities, corrected %.3f",
          ["half_r", "n", "corrected"]),
     ])
 

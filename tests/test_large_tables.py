@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from obsexp.llm import common, near_dedup, shingles
 from obsexp.operators import crossfit, models, multinomial, profiles, resampling
+from obsexp.plans import registry
 from obsexp.plans.q_frames import write_documents
 from obsexp.plans.registry import QUERIES
 from obsexp.session import scratch_path
@@ -175,3 +176,10 @@ def test_logistic_folds_share_a_handful_of_passes(spark, monkeypatch):
     # At the optimum the residuals of the training rows sum to zero.
     model = models.fit_logistic(table, "made", ["x"], ["c"])
     assert abs(model.score(table).agg(F.sum(F.col("made") - F.col("expected"))).first()[0]) < 1e-5
+
+
+def test_board_and_halves_of_the_test_table_share_their_scores(spark, small, monkeypatch):
+    scored, whole = [], registry.score_by_cells
+    monkeypatch.setattr(registry, "score_by_cells", lambda *args, **named: (scored.append(1), whole(*args, **named))[1])
+    assert QUERIES["test_table"](spark, small).count() == 2
+    assert len(scored) == 1
