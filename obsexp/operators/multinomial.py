@@ -24,7 +24,7 @@ from .resampling import _finish, _point
 LEAF_ROWS = 1024
 ROWS_PER_CHUNK = 1 << 17
 ROW_BITS = 60
-_CELLS = 1 << 18  # draws looked at together; their arrays stay in a core's cache
+_CELLS = 1 << 18  # draws looked at together
 _STEP = 0x9E3779B1  # an odd number: its multiples run through all 32-bit numbers
 
 

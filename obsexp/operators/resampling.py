@@ -14,7 +14,7 @@ from ..session import materialise
 from ..functions.hashing import md5_hex, poisson1_hex, poisson1_thresholds
 
 ROWS_PER_CHUNK = 100_000
-_SLAB = 1 << 18  # draws looked at together; their arrays stay in a core's cache
+_SLAB = 1 << 20  # draws looked at together
 
 
 def _point(df: DataFrame, keys: Sequence[str], value: str, floor: int) -> DataFrame:

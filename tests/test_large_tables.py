@@ -119,8 +119,8 @@ def peak(run) -> int:
         tracemalloc.stop()
 
 
-def test_poisson_draws_stay_in_the_cache():
-    """Draws are looked at some hundred thousand at a time, and counts by comparison equal those of the limits."""
+def test_poisson_draws_go_in_small_pieces():
+    """Draws are looked at a million at a time, and counts by comparison equal those of the limits."""
     row, table = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), resampling._weight_table()
     x = np.sin(np.arange(4000))
     assert peak(lambda: resampling._poisson_sums(x, row, 2000, table)) < 16e6
@@ -138,7 +138,7 @@ def test_poisson_draws_stay_in_the_cache():
     assert got[1].tolist() == counts.tolist()
 
 
-def test_exact_draws_stay_in_the_cache():
+def test_exact_draws_go_in_small_pieces():
     draws = np.full(2000, 1000, np.int64)
     assert peak(lambda: multinomial.leaf_sums(np.arange(1000.0), draws, 3, 0)) < 16e6
 
