@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import distance
-from .ordered import Scan, first_per_key, neighbours, row_numbers, running, value_bucket
+from .ordered import CHUNK_ROWS, Scan, first_per_key, neighbours, row_numbers, running, value_bucket
 from .timejoin import band_join
 
 # Frame conventions and release detection.
@@ -49,9 +49,18 @@ def dedup_frames(frames: DataFrame, game: str = "game_id", ts: str = "ts_ms",
 
 
 def number_frames(frames: DataFrame, keys: Sequence[str] = ("game_id", "period"), clock: str = "clock",
-                  order: Sequence[str] = ("event_idx", "moment_idx"), out: str = "pos") -> DataFrame:
-    """Position within the period: clock downwards (a missing clock counts as 0), then arrival order."""
-    elapsed = value_bucket(frames.withColumn("_down", -F.coalesce(F.col(clock), F.lit(0.0))), "_down", "_chunk")
+                  order: Sequence[str] = ("event_idx", "moment_idx"), out: str = "pos", window_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Position within the period: clock downwards (a missing clock counts as 0), then arrival order.
+
+    Periods are numbered by one window each if none has more than ``window_rows`` frames, otherwise chunk by chunk.
+    ``frames`` is counted first and should be stored.
+    """
+    elapsed = frames.withColumn("_down", -F.coalesce(F.col(clock), F.lit(0.0)))
+    largest = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= window_rows:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_down", *order))
+        return elapsed.withColumn(out, place.cast("long")).drop("_down")
+    elapsed = value_bucket(elapsed, "_down", "_chunk")
     return row_numbers(elapsed, keys, "_chunk", ["_down", *order], out).drop("_down", "_chunk")
 
 
@@ -210,10 +219,16 @@ def demote(df: DataFrame, measured: str, reported: str, limit: float = MAX_DISTA
     return df.withColumns({"dist_error": err, confidence: F.when(far, "low").otherwise(F.col(confidence))})
 
 
-def actor_contacts(frames: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per frame and player present, with the distance from the ball."""
+def actor_contacts(frames: DataFrame, carry: Sequence[str] = (), among: str | None = None) -> DataFrame:
+    """One row per frame and player present, with the distance from the ball.
+
+    ``among`` names a column with the ids of the players wanted; the others are left out before anything is exploded.
+    """
+    players = F.col("players")
+    if among is not None:
+        players = F.filter(players, lambda p: F.array_contains(F.col(among), p["entity_id"]))
     rows = frames.where(F.col("ball_x").isNotNull()).select(
-        "game_id", "period", "pos", "ts_ms", "clock", "ball_x", "ball_y", "ball_z", *carry, F.explode("players").alias("p"))
+        "game_id", "period", "pos", "ts_ms", "clock", "ball_x", "ball_y", "ball_z", *carry, F.explode(players).alias("p"))
     return rows.select(
         "game_id", "period", "pos", "ts_ms", "clock", "ball_z", *carry, F.col("p.entity_id").alias("actor_id"),
         F.hypot(F.col("ball_x") - F.col("p.x"), F.col("ball_y") - F.col("p.y")).alias("ball_distance"),

@@ -14,18 +14,22 @@ def extract_events(frames: DataFrame, events: DataFrame, store: bool = False) ->
     """Release frame, distances, contact time and bounces for every event that a frame can be found for.
 
     ``frames`` comes from ``read_frames``; ``events`` holds event_num, game_id, period, player_id, player_name, made,
-    is_3pt, reported_distance and clock_s. With ``store`` the parsed frames, the ordered frames and the contacts are
-    written once to the shared folder, so documents are parsed once; leave it off for small inputs.
+    is_3pt, reported_distance and clock_s. With ``store`` the frames without repeats, the ordered frames and the contacts
+    are written once to the shared folder, so documents are parsed once; leave it off for small inputs.
+
+    Once they are numbered, only frames of periods that an event asks for go on, and of their players the actors of
+    those events: no other row can be claimed or belongs to an actor's run.
     """
-    parsed = fr.split_roles(frames)
+    parsed = fr.dedup_frames(fr.split_roles(frames))
     parsed = materialise(parsed, "parsed") if store else parsed
-    ordered = fr.number_frames(fr.dedup_frames(parsed))
-    ordered = materialise(ordered, "frames") if store else ordered
-    contacts = fr.actor_contacts(ordered)
-    contacts = materialise(contacts, "contacts") if store else contacts
     asked = events.select(
         F.col("event_num").cast("long").alias("event_id"), "game_id", "period", F.col("player_id").alias("actor_id"),
         F.col("clock_s").alias("event_clock"), "event_num", "player_name", "made", "is_3pt", "reported_distance")
+    actors = asked.groupBy("game_id", "period").agg(F.collect_set("actor_id").alias("actors"))
+    ordered = fr.number_frames(parsed).join(actors, ["game_id", "period"])
+    ordered = materialise(ordered, "frames") if store else ordered
+    contacts = fr.actor_contacts(ordered, among="actors")
+    contacts = materialise(contacts, "contacts") if store else contacts
     claimed = fr.claim_frames(asked, contacts)
     chosen = asked.drop("event_clock").join(claimed, ["game_id", "event_id"])
     at_frame = chosen.join(

@@ -177,7 +177,9 @@ def _shot_events(spark, folder):
 @query("claim_frames")
 def claim_frames(spark, folder):
     """Exclusive frames with a window wide enough for ticks that are minutes apart."""
-    frames = fr.number_frames(fr.dedup_frames(fr.split_roles(read_frames(spark, write_documents(spark, folder), False))))
+    # Stored, as frames are counted before they are numbered and contacts are read more than once.
+    parsed = materialise(fr.dedup_frames(fr.split_roles(read_frames(spark, write_documents(spark, folder), False))), "parsed")
+    frames = fr.number_frames(parsed)
     asked = _shot_events(spark, folder).select(
         F.col("event_num").alias("event_id"), "game_id", "period", F.col("player_id").alias("actor_id"),
         F.col("clock_s").alias("event_clock"))

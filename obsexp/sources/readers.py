@@ -75,7 +75,9 @@ def flatten_frames(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     frames = moments.select(
         *keep, "game_id", "game_date", "event_idx", "event_id", "moment_idx",
         part(0, "int").alias("period"), part(1, "long").alias("ts_ms"), part(2, "double").alias("clock"),
-        part(3, "double").alias("shot_clock"), part(5, "array<array<double>>").alias("entities"),
+        part(3, "double").alias("shot_clock"),
+        # As a generated column, so that the filter below tests it and does not read the entities a second time.
+        F.explode(F.array(part(5, "array<array<double>>"))).alias("entities"),
     )
     return frames.where(F.size("entities") > 0)
 

@@ -9,11 +9,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from obsexp.llm import common, near_dedup, shingles
-from obsexp.operators import crossfit, models, multinomial, profiles, resampling
-from obsexp.plans import registry
+from obsexp.operators import crossfit, frames, models, multinomial, profiles, resampling
+from obsexp.plans import extraction, registry
 from obsexp.plans.q_frames import write_documents
 from obsexp.plans.registry import QUERIES
 from obsexp.session import scratch_path
+from obsexp.sources.readers import read_frames
 from obsexp.streaming import jobs
 
 
@@ -196,6 +197,37 @@ def test_logistic_folds_share_a_handful_of_passes(spark, monkeypatch):
     assert abs(model.score(table).agg(F.sum(F.col("made") - F.col("expected"))).first()[0]) < 1e-5
 
 
+def test_entities_are_read_out_of_a_document_once(spark, small):
+    plan = read_frames(spark, write_documents(spark, small), False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$[5]") == 1
+
+
+def test_extraction_stores_what_events_ask_for(spark, small, monkeypatch):
+    """Documents are read and repeats dropped for one stored table; contacts are those of asking actors in their games."""
+    stored, whole = {}, extraction.materialise
+    monkeypatch.setattr(extraction, "materialise", lambda df, label: stored.setdefault(label, whole(df, label)))
+    found = QUERIES["extract_events"](spark, small).count()
+    events = spark.read.parquet(f"{small}/events.parquet").select(
+        "event_type", F.concat_ws("-", "user_id", F.to_date("ts").cast("string")).alias("game_id"))
+    asking = events.where("event_type = 'purchase'").select("game_id").distinct()
+    asked = events.join(asking, "game_id", "left_semi").count()
+    assert stored["parsed"].count() == events.count() > asked
+    assert stored["frames"].count() == stored["contacts"].count() == asked
+    assert 0 < found <= events.where("event_type = 'purchase'").count()
+
+
+def test_frames_of_small_and_of_large_periods_get_the_same_numbers(spark):
+    """Periods above the limit go chunk by chunk, the others by one window each."""
+    table = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("a")).otherwise("b").alias("game_id"), F.expr("if(id % 7 < 6, int(id % 2), null)").alias("period"),
+        F.expr("if(id % 11 > 0, double(id % 100), null)").alias("clock"), F.col("id").alias("event_idx"), F.lit(0).alias("moment_idx"))
+    plans = [frames.number_frames(table, window_rows=n) for n in (3000, 10)]
+    small, large = ({r.event_idx: (r.game_id, r.period, r.clock, r.pos) for r in p.collect()} for p in plans)
+    assert small == large and len(small) == 3000
+    assert plans[0].schema["pos"].dataType == plans[1].schema["pos"].dataType
+    assert [p._jdf.queryExecution().optimizedPlan().toString().count("Join") for p in plans] == [0, 1]
+
+
 def test_board_and_halves_of_the_test_table_share_their_scores(spark, small, monkeypatch):
     scored, whole = [], registry.score_by_cells
     monkeypatch.setattr(registry, "score_by_cells", lambda *args, **named: (scored.append(1), whole(*args, **named))[1])
