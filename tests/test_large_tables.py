@@ -228,6 +228,15 @@ def test_frames_of_small_and_of_large_periods_get_the_same_numbers(spark):
     assert [p._jdf.queryExecution().optimizedPlan().toString().count("Join") for p in plans] == [0, 1]
 
 
+def test_a_model_of_early_years_takes_a_handful_of_passes(spark, small, monkeypatch):
+    """Its fit goes over the rows a few times, without an optimiser that holds them, and its early gap is none."""
+    passes, whole = [], crossfit._sums
+    monkeypatch.setattr(crossfit, "_sums", lambda *args: (passes.append(1), whole(*args))[1])
+    monkeypatch.setattr(crossfit, "LogisticRegression", None)
+    found = {r.period: r for r in QUERIES["score_with"](spark, small).collect()}
+    assert abs(found["early"].gap) < 1e-6 and 0 < len(passes) <= 10
+
+
 def test_board_and_halves_of_the_test_table_share_their_scores(spark, small, monkeypatch):
     scored, whole = [], registry.score_by_cells
     monkeypatch.setattr(registry, "score_by_cells", lambda *args, **named: (scored.append(1), whole(*args, **named))[1])
