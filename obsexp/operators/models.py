@@ -84,11 +84,19 @@ class ExpectationModel:
         return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
-def fit_model(train: DataFrame, outcome: str, features: FeaturePipeline, classifier: Estimator) -> ExpectationModel:
+def fit_model(
+    train: DataFrame, outcome: str, features: FeaturePipeline, classifier: Estimator,
+    deal: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> ExpectationModel:
+    """The classifier sees the finished features and labels, laid out by ``deal``."""
     modes = most_frequent(train, features.categorical)
     prepared = features.prepare(train, modes).withColumn("label", F.col(outcome).cast("double"))
-    fitted = Pipeline(stages=[*features.stages(), classifier]).fit(prepared)
-    return ExpectationModel(features, modes, fitted)
+    fitted = []
+    for stage in features.stages():
+        fitted.append(stage.fit(prepared) if isinstance(stage, Estimator) else stage)
+        prepared = fitted[-1].transform(prepared)
+    last = Pipeline(stages=[classifier]).fit(deal(prepared.select("label", "features")))
+    return ExpectationModel(features, modes, PipelineModel([*fitted, last]))
 
 
 def fit_logistic(train: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str], max_iter: int = 1000):
@@ -107,11 +115,12 @@ def fit_boosted(train: DataFrame, outcome: str, numeric: Sequence[str], categori
     """Boosted trees of depth 5 with row and column sampling. Fewer rounds need a larger step.
 
     The fit keeps its rows unpacked, task by task, so they are dealt by their number and not by the size of the files.
+    What is dealt are the finished features, so they are computed once and move once.
     """
-    train = spread(train.select(*dict.fromkeys([*numeric, *categorical, outcome])))
+    train = train.select(*dict.fromkeys([*numeric, *categorical, outcome]))
     classifier = GBTClassifier(maxIter=max_iter, maxDepth=5, stepSize=step_size, subsamplingRate=0.8,
                                featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed)
-    return fit_model(train, outcome, FeaturePipeline(numeric, categorical), classifier)
+    return fit_model(train, outcome, FeaturePipeline(numeric, categorical), classifier, spread)
 
 
 def cross_fit(

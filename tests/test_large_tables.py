@@ -112,11 +112,15 @@ def test_tree_fits_deal_their_rows_by_number(spark, monkeypatch):
 
 
 def test_fits_of_all_folds_deal_their_rows_by_number(spark, monkeypatch):
-    """The stored folds lie in one file each; no fit on the others holds more than some 1,000 rows in a task."""
-    held = []
+    """The stored folds lie in one file each; no fit on the others holds more than some 1,000 rows in a task.
+
+    What is dealt are finished features, so that no pass of the trees computes them again.
+    """
+    held, columns = [], []
 
     class Recorded(models.Pipeline):
         def fit(self, dataset, params=None):
+            columns.append(dataset.columns)
             held.append(dataset.groupBy(F.spark_partition_id()).count().toPandas()["count"])
             return super().fit(dataset, params)
 
@@ -126,6 +130,7 @@ def test_fits_of_all_folds_deal_their_rows_by_number(spark, monkeypatch):
         "string").alias("c"), F.expr("int(id % 97 > 50)").alias("made"), F.expr("int(id % 2)").alias("fold"))
     scored = models.cross_fit(table, lambda t: models.fit_boosted(t, "made", ["x"], ["c"], max_iter=2, step_size=0.3), k=2)
     assert [sum(h) for h in held] == [6000, 6000] and max(max(h) for h in held) <= 1000
+    assert columns == [["label", "features"]] * 2
     assert scored.where((F.col("expected") > 0.5) == (F.col("made") == 1)).count() == 12000
 
 
