@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression  # noqa: F401
+from pyspark.ml.classification import LogisticRegression  # noqa: F401
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .boosting import Bins, BoostedTrees, Settings, find_bins, spread
 from .cleaning import OUTCOME_COLUMNS
 from .folds import base_rate, group_holdout
 from .scores import scorecard
 
 SEED = 42
-# Training rows that one task of a tree fit holds at most; the fit keeps some hundred bytes of each.
-ROWS_PER_TASK = 300_000
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over as many tasks as their number needs, whatever the splits of the files; a small table stays as it is."""
-    parts = math.ceil(df.count() / ROWS_PER_TASK)
-    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else df
+# Training rows that one task of a tree fit counts at most.
+ROWS_PER_TASK = 10_000_000
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
@@ -84,21 +80,27 @@ class ExpectationModel:
         return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
-def fit_model(
-    train: DataFrame, outcome: str, features: FeaturePipeline, classifier: Estimator,
-    deal: Callable[[DataFrame], DataFrame] = lambda rows: rows,
-) -> ExpectationModel:
-    """The classifier sees the finished features and labels, laid out by ``deal``."""
+def fit_model(train: DataFrame, outcome: str, features: FeaturePipeline, classifier: Estimator) -> ExpectationModel:
     modes = most_frequent(train, features.categorical)
     prepared = features.prepare(train, modes).withColumn("label", F.col(outcome).cast("double"))
     fitted = []
     for stage in features.stages():
         fitted.append(stage.fit(prepared) if isinstance(stage, Estimator) else stage)
         prepared = fitted[-1].transform(prepared)
-    last = Pipeline(stages=[classifier]).fit(deal(prepared.select("label", "features")))
+    last = Pipeline(stages=[classifier]).fit(prepared.select("label", "features"))
     return ExpectationModel(features, modes, PipelineModel([*fitted, last]))
 
 
+class BoostedModel:
+    """Fitted trees and the bins they split; ``score`` adds the expected probability."""
+
+    def __init__(self, bins: Bins, fitted: PipelineModel):
+        self.bins, self.fitted = bins, fitted
+
+    def score(self, df: DataFrame, out: str = "expected") -> DataFrame:
+        return self.fitted.transform(self.bins.coded(df)).select(*df.columns, F.col("probability").alias(out))
+
+
 def fit_logistic(train: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str], max_iter: int = 1000):
     """L2 logistic regression on scaled inputs; the penalty is that of a unit-strength ridge on the summed loss.
 
@@ -111,33 +113,38 @@ def fit_logistic(train: DataFrame, outcome: str, numeric: Sequence[str], categor
 
 
 def fit_boosted(train: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str],
-                max_iter: int = 300, step_size: float = 0.05, seed: int = SEED) -> ExpectationModel:
+                max_iter: int = 300, step_size: float = 0.05, seed: int = SEED) -> BoostedModel:
     """Boosted trees of depth 5 with row and column sampling. Fewer rounds need a larger step.
 
-    The fit keeps its rows unpacked, task by task, so they are dealt by their number and not by the size of the files.
-    What is dealt are the finished features, so they are computed once and move once.
+    Rows become codes of bins, which are counted in one pass; the trees grow on the counts. Numbers are filled with the
+    median, texts with the most frequent value; rows without an outcome are not learned from.
     """
-    train = train.select(*dict.fromkeys([*numeric, *categorical, outcome]))
-    classifier = GBTClassifier(maxIter=max_iter, maxDepth=5, stepSize=step_size, subsamplingRate=0.8,
-                               featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed)
-    return fit_model(train, outcome, FeaturePipeline(numeric, categorical), classifier, spread)
+    FeaturePipeline(numeric, categorical)  # refuses columns that describe the outcome
+    known = train.where(F.col(outcome).isNotNull()).select(*dict.fromkeys([*numeric, *categorical, outcome]))
+    bins = find_bins(known, numeric, categorical)
+    rows = bins.coded(known).select(F.col(outcome).cast("double").alias("label"), "features")
+    trees = BoostedTrees(bins.sizes(), len(bins.numeric), Settings(max_iter, step_size, seed))
+    return BoostedModel(bins, Pipeline(stages=[trees]).fit(spread(rows, ROWS_PER_TASK)))
 
 
 def cross_fit(
     df: DataFrame, fit: Callable[[DataFrame], ExpectationModel], fold: str = "fold", k: int = 5, out: str = "expected",
-    check: bool = True,
+    check: bool = True, parallel: int = 5,
 ) -> DataFrame:
     """Score every row with a model fitted on the other folds.
 
     The features are written to the shared folder once, one directory per fold: the k fits read them instead of
-    recomputing them, and a fit skips the files of the fold it leaves out.
+    recomputing them, and a fit skips the files of the fold it leaves out. The fits run side by side, up to ``parallel``.
     """
     stored = materialise(df, "cross-fit", [fold])
-    scored = None
-    for i in range(k):
-        model = fit(stored.where(F.col(fold) != i))
-        part = model.score(stored.where(F.col(fold) == i), out)
-        scored = part if scored is None else scored.unionByName(part)
+
+    def scored_by_others(i: int) -> DataFrame:
+        return fit(stored.where(F.col(fold) != i)).score(stored.where(F.col(fold) == i), out)
+
+    with ThreadPool(min(parallel, k)) as pool:
+        scored, *others = pool.map(inheritable_thread_target(df.sparkSession)(scored_by_others), range(k))
+    for part in others:
+        scored = scored.unionByName(part)
     if check:
         left_out = stored.where(F.col(fold).isNull() | ~F.col(fold).between(0, k - 1)).limit(1).count()
         if left_out:
