@@ -32,6 +32,8 @@ ROWS_PER_TASK = 300_000
 # Stretches of the first count of a column's values, and the share of the rows that one of them may hold uncut.
 STRETCHES, HEAVY = 4096, 1 / 1024
 _PIECE = 1 << 18
+# Bins of columns that are counted together; their own counts are sums of these.
+_JOINT = 2048
 
 
 def number(column: str) -> Column:
@@ -321,6 +323,7 @@ def _grow_all(batches: Iterator[pa.RecordBatch], sizes: Sequence[int], numbers:
     order = np.lexsort(codes.T[::-1])
     columns = np.ascontiguousarray(codes[order].T)
     n, positive = n[order].astype(np.int64), positive[order].astype(np.int64)
+    groups = _joint(columns, sizes)
     margin, out = np.zeros(len(n)), []
     for m in range(settings.max_iter):
         rng = np.random.default_rng([settings.seed, m])
@@ -328,7 +331,8 @@ def _grow_all(batches: Iterator[pa.RecordBatch], sizes: Sequence[int], numbers:
         # Minus the gradient of 2 log(1 + exp(-2 y F)) for y of 1 and of -1; the first tree learns y itself.
         p = _probability(margin)
         up, down = (4 * (1 - p), -4 * p) if m else (1.0, -1.0)
-        column, cut, value, last = _grow(columns, sizes, numbers, (won + lost).astype(np.float64), won * up + lost * down, rng, settings)
+        column, cut, value, last = _grow(
+            columns, groups, sizes, numbers, (won + lost).astype(np.float64), won * up + lost * down, rng, settings)
         value = value * (settings.step_size if m else 1.0)
         margin += value[last]
         out.append((m, column.tolist(), cut.tolist(), value.tolist()))
@@ -337,7 +341,19 @@ def _grow_all(batches: Iterator[pa.RecordBatch], sizes: Sequence[int], numbers:
         names=["tree", "column", "cut", "value"])
 
 
-def _grow(columns: np.ndarray, sizes: Sequence[int], numbers: int, weight: np.ndarray, total: np.ndarray,
+def _joint(columns: np.ndarray, sizes: Sequence[int]) -> list[tuple[list[int], list[int], np.ndarray]]:
+    """Columns in groups, the sizes of a group, and the code that tells all its bins apart."""
+    groups: list = []
+    for j, size in enumerate(sizes):
+        if groups and math.prod(groups[-1][1]) * size <= _JOINT:
+            members, shape, code = groups[-1]
+            groups[-1] = ([*members, j], [*shape, size], code * size + columns[j])
+        else:
+            groups.append(([j], [size], columns[j].astype(np.int64)))
+    return groups
+
+
+def _grow(columns: np.ndarray, groups: Sequence[tuple], sizes: Sequence[int], numbers: int, weight: np.ndarray, total: np.ndarray,
           rng: np.random.Generator, settings: Settings):
     """One regression tree, level by level: (column, cut, values of the last level, the last node of every cell).
 
@@ -361,12 +377,16 @@ def _grow(columns: np.ndarray, sizes: Sequence[int], numbers: int, weight: np.nd
         whole_w, whole_s = np.bincount(node, weight, nodes), np.bincount(node, total, nodes)
         with np.errstate(divide="ignore", invalid="ignore"):
             own = whole_s ** 2 / whole_w
+            counts = {}
+            for members, shape, code in groups:
+                key = node * math.prod(shape) + code
+                both = [np.bincount(key, x, nodes * math.prod(shape)).reshape(nodes, *shape) for x in (weight, total)]
+                for at, j in enumerate(members):
+                    counts[j] = [x.sum(axis=tuple(i + 1 for i in range(len(shape)) if i != at)) for x in both]
             for j, size in enumerate(sizes):
                 if size < 2:
                     continue
-                key = node * size + columns[j]
-                w = np.bincount(key, weight, nodes * size).reshape(nodes, size)
-                s = np.bincount(key, total, nodes * size).reshape(nodes, size)
+                w, s = counts[j]
                 if j < numbers:
                     left_w, left_s = np.cumsum(w, axis=1)[:, :-1], np.cumsum(s, axis=1)[:, :-1]
                     allowed = drawn[:, [j]]

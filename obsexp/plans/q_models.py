@@ -13,7 +13,6 @@ from .registry import LINE_ID, banded, load, query, r6
 
 NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 CATEGORICAL = ("l_linestatus", "q_band")
-ROUNDS = 5
 
 
 def lines(spark, folder):
@@ -30,7 +29,7 @@ def logistic(train):
 
 
 def boosted(train):
-    return md.fit_boosted(train, "made", NUMERIC, CATEGORICAL, max_iter=ROUNDS, step_size=0.1)
+    return md.fit_boosted(train, "made", NUMERIC, CATEGORICAL)
 
 
 @query("model_features")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from obsexp.operators import boosting as bo
 from obsexp.operators import models as md
+from obsexp.plans.registry import QUERIES
 
 
 def table(spark, n=6000):
@@ -76,7 +77,8 @@ def test_a_tree_on_cells_equals_one_on_rows():
     cells, of, n = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
     settings = bo.Settings(1, 1.0, 0, depth=3, columns=1.0)
     total = np.bincount(of.ravel(), y)
-    *_, value, last = bo._grow(np.ascontiguousarray(cells.T), [5, 4, 4], 2, n.astype(float), total, np.random.default_rng(0), settings)
+    columns, sizes = np.ascontiguousarray(cells.T), [5, 4, 4]
+    *_, value, last = bo._grow(columns, bo._joint(columns, sizes), sizes, 2, n.astype(float), total, np.random.default_rng(0), settings)
     want = np.zeros(900)
     for part, mean in plain_tree(rows, y, [range(5), range(4), range(4)], 2, 3, 5):
         want[part] = mean
@@ -151,3 +153,28 @@ def test_fits_of_folds_run_side_by_side(spark):
 
     folded = spark.range(30).withColumn("fold", (F.col("id") % 3).cast("int"))
     assert md.cross_fit(folded, fit, k=3).where("expected = 0.5").count() == 30
+
+
+def test_registered_boosted_models_grow_all_their_trees(spark, small, monkeypatch):
+    """300 rounds with steps of 0.05, as the functions' defaults and the README say, and all rows of the other side."""
+    grown, settings = [], []
+
+    class Seen(bo.CellTrees):
+        def __init__(self, trees, numbers):
+            super().__init__(trees, numbers)
+            grown.append([len(part) for part in trees])
+
+    class Asked(bo.BoostedTrees):
+        def __init__(self, sizes, numbers, asked):
+            super().__init__(sizes, numbers, asked)
+            settings.append((asked.max_iter, asked.step_size, asked.depth))
+
+    monkeypatch.setattr(bo, "CellTrees", Seen)
+    monkeypatch.setattr(md, "BoostedTrees", Asked)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    for name, fits in (("holdout_metrics", 1), ("cross_fit_boosted", 3)):
+        rows = {r.model: r for r in QUERIES[name](spark, small).collect()}
+        assert grown == [[300] * 3] * fits and settings == [(300, 0.05, 5)] * fits
+        assert (rows["boosted"].n_test + rows["boosted"].n_train if name == "holdout_metrics" else rows["expected"].n) == lines
+        grown.clear()
+        settings.clear()
