@@ -14,6 +14,8 @@ from .extraction import extract_events
 from .registry import load, query, r6, s6
 
 _LIMIT = 80.0
+# Seconds around an event in which its frame is looked for, as ticks are minutes apart.
+CLAIM_WINDOW_S = 3600.0
 # Events of one document, about, when a user and day has more.
 DOCUMENT_EVENTS = 100_000
 
@@ -164,8 +166,10 @@ def split_roles(spark, folder):
                          first["entity_id"].alias("first_player"), r6(first["x"]).alias("first_x"))
 
 
-def _shot_events(spark, folder):
-    e = ticks(spark, folder).where("event_type = 'purchase'")
+def game_events(spark, folder, kind: str | None = None):
+    """Events that ask for their frame, of one type or of all."""
+    e = ticks(spark, folder)
+    e = e if kind is None else e.where(F.col("event_type") == kind)
     clock = F.lit(86400.0) - F.pmod(F.col("t"), F.lit(86400000000)) / 1e6
     return e.select(
         F.col("event_id").alias("event_num"), F.concat_ws("-", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("game_id"),
@@ -174,16 +178,24 @@ def _shot_events(spark, folder):
         F.round(clock, 3).alias("clock_s"))
 
 
+def _shot_events(spark, folder):
+    return game_events(spark, folder, "purchase")
+
+
+def asking(events):
+    """The columns of events that a claim needs."""
+    return events.select(
+        F.col("event_num").alias("event_id"), "game_id", "period", F.col("player_id").alias("actor_id"),
+        F.col("clock_s").alias("event_clock"))
+
+
 @query("claim_frames")
 def claim_frames(spark, folder):
     """Exclusive frames with a window wide enough for ticks that are minutes apart."""
     # Stored, as frames are counted before they are numbered and contacts are read more than once.
     parsed = materialise(fr.dedup_frames(fr.split_roles(read_frames(spark, write_documents(spark, folder), False))), "parsed")
     frames = fr.number_frames(parsed)
-    asked = _shot_events(spark, folder).select(
-        F.col("event_num").alias("event_id"), "game_id", "period", F.col("player_id").alias("actor_id"),
-        F.col("clock_s").alias("event_clock"))
-    return fr.claim_frames(asked, fr.actor_contacts(frames), 3600.0)
+    return fr.claim_frames(asking(_shot_events(spark, folder)), fr.actor_contacts(frames), CLAIM_WINDOW_S)
 
 
 @query("extract_events")

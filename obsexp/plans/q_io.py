@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as fr
 from ..operators.ordered import top_k
+from ..operators.timejoin import band_join
 from ..session import materialise, scratch_path
 from ..sources import ledger as lg
 from ..sources.manifest import build_manifest, flat_manifest, test_table
@@ -13,7 +14,7 @@ from ..sources.readers import flatten_frames, read_documents, read_events_csv, r
 from ..sources.writers import compact, write_table
 from ..streaming import jobs
 from . import q_agg, q_stat
-from .q_frames import write_documents
+from .q_frames import CLAIM_WINDOW_S, asking, game_events, write_documents
 from .registry import banded, load, query, r6, s6, scored, with_scored
 
 
@@ -259,15 +260,15 @@ def activity_runs(spark, folder):
 
 @query("stream_claims")
 def stream_claims(spark, folder):
-    """Frame documents as a stream of candidates, claimed with state."""
-    path = write_documents(spark, folder)
-    parsed = fr.dedup_frames(fr.split_roles(read_frames(spark, path, multi_line=False)))
-    frames = fr.number_frames(materialise(parsed, "frames"))  # documents are parsed once
-    contacts = fr.actor_contacts(frames).where("actor_id > 0")
-    found = contacts.select("game_id", "period", "actor_id", F.xxhash64("game_id", F.floor(F.col("clock") / 7200)).alias("event_id"),
-                            F.floor(F.col("clock") / 7200).cast("double").alias("event_clock"), "pos", "clock", "ball_z", "ball_distance")
+    """Frame documents as a stream of candidates, claimed with state: every event asks for a frame of its actor within the hour."""
+    path, order = write_documents(spark, folder, grouped=True), ["moment_idx", "event_id"]
+    parsed = fr.dedup_frames(fr.split_roles(read_frames(spark, path, multi_line=False)), order=order)
+    frames = fr.number_frames(materialise(parsed, "frames"), order=order)  # documents are parsed once
+    contacts = fr.actor_contacts(frames).where(F.col("clock").isNotNull()).drop("ts_ms")
+    found = band_join(asking(game_events(spark, folder)), contacts, ["game_id", "period", "actor_id"], "event_clock", "clock",
+                      CLAIM_WINDOW_S)
     root = scratch_path(spark, "stream-claims")
     found.repartition("game_id").write.parquet(f"{root}/in")  # a game in one file
-    claimed = jobs.claim_stream(jobs.read_stream(spark, f"{root}/in", found.schema))
+    claimed = jobs.claim_stream(jobs.read_stream(spark, f"{root}/in", found.schema), window=CLAIM_WINDOW_S)
     jobs.run_to_end(claimed, f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out")

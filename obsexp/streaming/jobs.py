@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -93,7 +94,7 @@ _CLAIM_STATE = "claim_chain array<string>, pos array<long>, clock array<double>,
 CLAIM_BUCKETS = 4096
 
 
-def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, window: float) -> Iterator[pd.DataFrame]:
     claim_chains, claim_pos, claim_clock, settled_chains, settled = state.get if state.exists else ([], [], [], [], [])
     claims, done = defaultdict(list), defaultdict(set)
     for chain, pos, clock in zip(claim_chains, claim_pos, claim_clock):
@@ -117,7 +118,7 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             continue
         done[own].add(event_id)
         # The clock runs down: claims of frames beyond this event's reach can no longer matter.
-        reach = reaches[a] + RELEASE_WINDOW_S + CLAIM_SECONDS
+        reach = reaches[a] + window + CLAIM_SECONDS
         taken = claims[own] = [t for t in claims[own] if t[1] <= reach]
         for i in range(a, b):
             if not any(abs(pos[i] - p) <= CLAIM_POSITIONS and abs(clock[i] - c) <= CLAIM_SECONDS for p, c in taken):
@@ -130,11 +131,12 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame(out, columns=["event_id", "pos", "release_confidence"])
 
 
-def claim_stream(candidates: DataFrame, buckets: int = CLAIM_BUCKETS) -> DataFrame:
+def claim_stream(candidates: DataFrame, buckets: int = CLAIM_BUCKETS, window: float = RELEASE_WINDOW_S) -> DataFrame:
     """Exclusive release frames over a stream of candidates; claims live in the state of (game, period, actor).
 
-    A game's candidates must lie in one file, as its document does; whole files arrive together, so the batch size makes
-    no difference. An event is settled once; candidates that come again change nothing. The state holds the claims still
+    Candidates lie at most ``window`` seconds from their event, which tells how long a claim stays in reach. A game's
+    candidates must lie in one file, as its document does; whole files arrive together, so the batch size makes no
+    difference. An event is settled once; candidates that come again change nothing. The state holds the claims still
     in reach and the numbers of the settled events. It has no timeout: with one, a run over the files present would not end.
 
     Chains are dealt by hash over ``buckets`` state keys, as a call for each chain would cost more than its events. A
@@ -145,4 +147,4 @@ def claim_stream(candidates: DataFrame, buckets: int = CLAIM_BUCKETS) -> DataFra
         F.pmod(F.xxhash64(*place), F.lit(buckets)).alias("bucket"), F.to_json(F.struct(*place)).alias("chain"),
         "event_id", "event_clock", "pos", "clock", "ball_z", "ball_distance")
     return slim.groupBy("bucket").applyInPandasWithState(
-        _claim, _CLAIMED, _CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)
+        partial(_claim, window=window), _CLAIMED, _CLAIM_STATE, "append", GroupStateTimeout.NoTimeout)

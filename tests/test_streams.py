@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from obsexp.operators import frames as fr
+from obsexp.plans.registry import QUERIES
 from obsexp.session import scratch_path
 from obsexp.streaming import jobs
 from test_frames import sequential_claims
@@ -112,3 +113,43 @@ def test_claims_do_not_depend_on_the_batch_size(spark):
         jobs.run_to_end(jobs.claim_stream(stream), f"{root}/out{size}", f"{root}/check{size}")
         found.append(sorted((r.event_id, r.pos, r.release_confidence) for r in spark.read.parquet(f"{root}/out{size}").collect()))
     assert found[0] == found[1] == sorted((n, *v) for n, v in sequential_claims(events, frames).items() for _ in range(3))
+
+
+def claims_of_all_events(events, window=3600.0):
+    """Every event asks for a frame of its game, in the order of the clock; the rule written as a loop over the events table."""
+    import math
+
+    games, out, second = {}, {}, 0
+    for e in events:
+        us = int((e.ts - datetime.datetime(1970, 1, 1)) / datetime.timedelta(microseconds=1))
+        x = float(e.user_id % 94)
+        clock = round(86400.0 - us % 86400000000 / 1e6, 3)
+        games.setdefault((e.user_id, us // 86400000000), []).append((us // 1000, str(e.event_id), clock, math.hypot(x + e.value / 50 - x, 0), e.value))
+    for rows in games.values():
+        first = {}
+        for row in sorted(rows):
+            first.setdefault(row[0], row)  # of frames at one time the first is kept
+        frames = [(p, *row[2:]) for p, row in enumerate(sorted(first.values(), key=lambda r: (-r[2], r[1])), 1)]
+        taken = []
+        for _, event, at, *_ in sorted(rows, key=lambda r: (-r[2], int(r[1]))):
+            near = sorted(((gap > fr.HELD_DISTANCE, gap if gap > fr.HELD_DISTANCE else -z, p), p, c) for p, c, gap, z in frames if abs(c - at) <= window)
+            free = [n for n in near if not any(abs(n[1] - p) <= fr.CLAIM_POSITIONS and abs(n[2] - c) <= fr.CLAIM_SECONDS for p, c in taken)]
+            if free:
+                second += free[0] != near[0]
+                taken.append(free[0][1:])
+                out[int(event)] = (free[0][1], "low" if free[0][0][0] else "high")
+    return out, second
+
+
+def test_every_event_claims_a_frame_that_no_earlier_one_took(spark, small, tmp_path):
+    """In crowded games events find their best frame taken, and many happen at the same time."""
+    events = spark.read.parquet(f"{small}/events.parquet")
+    crowd = events.withColumn("user_id", F.col("user_id") % 3).withColumn("ts", F.when(
+        F.col("event_id") % 9 == 0, F.timestamp_seconds(F.lit(1400000000) + F.floor(F.col("event_id") / 90))).otherwise(F.col("ts")).cast("timestamp_ntz"))
+    for name, table in (("plain", events), ("crowd", crowd)):
+        table.coalesce(1).write.parquet(str(tmp_path / name / "events.parquet"))
+        rows = spark.read.parquet(str(tmp_path / name / "events.parquet")).withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()
+        want, second = claims_of_all_events(rows)
+        got = QUERIES["stream_claims"](spark, str(tmp_path / name)).collect()
+        assert len(got) == len(want) and {r.event_id: (r.pos, r.release_confidence) for r in got} == want
+        assert len(want) > 0.8 * len(rows) and (name == "plain" or second > 50)
